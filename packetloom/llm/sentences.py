@@ -19,11 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Abbreviations by what may follow them, in lower case.
+#: Titles, written with a capital: never the end.
+TITLES = frozenset("Mr Mrs Ms Mx Dr Prof St".split())
 #: Before a name or in the middle of a sentence: never the end.
 NEVER = frozenset(
-    "mr mrs ms dr prof st hr fr frl sra srta dra sr dña mme mlle mm messrs gen col capt lt rev hon "
+    "mr mrs dr prof st hr fr frl sra srta dra sr dña mme mlle mm messrs gen col capt lt rev hon "
     "vs cf e.g i.e eg ie viz approx esp incl z.b d.h u.a bzw ca evtl ggf vgl sog inkl bspw zzgl "
-    "p.ej ej ud uds av vda c.-à-d env apr av см т.е т.к напр им ул проф акад π.χ δηλ βλ κ.κ".split()
+    "p.ej ej p.ex ex ud uds av vda c.-à-d env apr av см т.е т.к напр им ул проф акад π.χ δηλ βλ κ.κ".split()
 )
 #: Before a number only.
 NUMBERED = frozenset("no nos nr num núm núms fig figs sec secs sect abb abschn kap bd pág págs pag p pp s art arts vol ch chap eq tab ver стр рис гл табл п пп σελ αρ εικ n nº § ziff tel".split())
@@ -35,6 +37,7 @@ OPENERS_DE = frozenset("der die das ein eine es er sie wir ich ihr man am im in
 OPEN_CLOSE = {"(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "【": "】", "「": "」", "『": "』", "《": "》", "〈": "〉", "«": "»", "‹": "›", "“": "”", "„": "“”", "‘": "’", "‚": "‘’", '"': '"', "＂": "＂"}
 DASHES = ",;:—–-，、：；،؛፣፤·"
 
+_BLANKS = " \xa0\u202f\n"
 _MARKS = ".!?…。！？｡؟۔።፧।॥;;‼⁇⁈⁉"
 _END = regex.compile(r"[.!?…。！？｡؟۔።፧।॥;;‼⁇⁈⁉]+")
 _PAIRS = regex.compile(r"[()\[\]{}（）［］【】「」『』《》〈〉«»‹›“”„‘’‚\"＂]")
@@ -212,7 +215,7 @@ def _score(block: str, first: int, last: int, cut: int, quote: tuple[int, int] |
         return 6.0
     word, written = _closing(block, first, marks)
     following = _WORD_AT.match(nxt)[0]
-    if word in NEVER:
+    if word in NEVER or written in TITLES:
         return -_SURE
     if c.isdigit() and word in NUMBERED:
         return -_SURE
@@ -269,6 +272,9 @@ def spans(block: str) -> list[tuple[int, int]]:
             if cut in close_at:
                 quote = close_at[cut]
                 cut += 1
+            elif block[cut] in _BLANKS and cut + 1 in close_at and block[cut + 1] in "»›":  # « ainsi. »
+                quote = close_at[cut + 1]
+                cut += 2
             elif block[cut] in _MARKS and block[cut] not in ";;" and quote is not None:
                 quote, first = None, cut
                 cut += 1
