@@ -31,6 +31,8 @@ NEVER = frozenset(
 NUMBERED = frozenset("no nos nr num núm núms fig figs sec secs sect abb abschn kap bd pág págs pag p pp s art arts vol ch chap eq tab ver стр рис гл табл п пп σελ αρ εικ n nº § ziff tel".split())
 #: Also at the end of a sentence, if a new one opens after them.
 MAYBE = frozenset("etc usw u.s.w inc ltd co corp bros jr p.m a.m pm am u.s u.k e.u u.n ph.d b.a т.д т.п др пр г гг руб тыс млн κ.λπ κ.ά κλπ ee.uu ff usf o.ä".split())
+#: After a time of day these go on with the sentence.
+GO_ON = frozenset("and or but to until till on in at by for from with every each daily as if when while so then local sharp is was the a".split())
 MONTHS = frozenset("januar jänner februar märz april mai juni juli august september oktober november dezember jan feb mär apr jun jul aug sep sept okt nov dez".split())
 #: Words that open German sentences; after an ordinal any other noun belongs to it.
 OPENERS_DE = frozenset("der die das ein eine es er sie wir ich ihr man am im in an auf bei mit nach von vor zu zum zur für nr siehe bitte läuft warum wie was wer wo wenn als aber und oder dann hier dort jeder jede jedes dieser diese dieses kein keine dr".split())
@@ -191,14 +193,17 @@ def _score(block: str, first: int, last: int, cut: int, quote: tuple[int, int] |
             return -_SURE
     if not full and not spaced and not (own and _OWN_MARKS.match(c) and "." not in marks and "…" not in marks):
         return -_SURE
-    lower = c.islower()
-    upper = c.isupper() or c.istitle()
+    head = _WORD_AT.match(nxt)[0]
+    upper = c.isupper() or c.istitle() or (c.islower() and any(x.isupper() for x in head[1:]))  # names such as iOS open too
+    lower = c.islower() and not upper
     if quote is not None and block[quote[1]] != "`":
         led = block[opened : quote[0]].strip()
         if _KANA.search(block):
             return -_SURE if regex.match(r"[とっ、。がのをにはでもや]", c) else 4.0
         lead_in = bool(led) and (led[-1] in ":：" or (led[-1] in ",，" and any(x in led for x in "”»\"“」")))
         if not led:  # the quotation opens the sentence: words that follow may tell who spoke
+            if block[quote[0]] in "([（［【":
+                return 3.0
             return -_SURE if lower or _CASELESS.match(c) else 5.0
         if lower:
             return 5.0 if lead_in else -5.0
@@ -214,19 +219,20 @@ def _score(block: str, first: int, last: int, cut: int, quote: tuple[int, int] |
     if marks != ".":
         return 6.0
     word, written = _closing(block, first, marks)
-    following = _WORD_AT.match(nxt)[0]
     if word in NEVER or written in TITLES:
         return -_SURE
     if c.isdigit() and word in NUMBERED:
         return -_SURE
+    if word in ("a.m", "p.m"):
+        return 3.0 if not lower or head not in GO_ON else -6.0
     if word in MAYBE:
-        return 3.0 if not lower and not c.isdigit() else -6.0
+        return -6.0 if lower or (c.isdigit() and len(word) < 3) else 3.0
     if word in NUMBERED and len(word) > 1 and regex.match(r"[IVXLC]+\b", nxt):
         return -4.0
     if written.isdigit():
-        if following.lower() in MONTHS and len(written) <= 2:
+        if head.lower() in MONTHS and len(written) <= 2:
             return -_SURE
-        if _GERMAN.search(block) and len(written) <= 2 and (lower or (following.lower() not in OPENERS_DE and upper)):
+        if _GERMAN.search(block) and len(written) <= 2 and (lower or (head.lower() not in OPENERS_DE and upper)):
             return -2.0
         return 4.0
     if len(written) == 1 and written.isalpha():
