@@ -83,3 +83,18 @@ def canonical_address(host: Column) -> Column:
 def endpoint_address(endpoint: Column) -> Column:
     """The address of an endpoint without its port, in one spelling."""
     return canonical_address(endpoint_host(endpoint))
+
+
+def ip_bytes(address: Column) -> Column:
+    """4 or 16 bytes of a canonical address; null for other text."""
+
+    def six(t: Column) -> Column:
+        halves = F.split(t, "::")
+        side = lambda h: F.filter(F.split(h, ":"), lambda g: g != "")
+        left = side(F.element_at(halves, 1))
+        right = F.coalesce(side(F.get(halves, F.lit(1))), F.array().cast("array<string>"))
+        groups = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - F.size(left) - F.size(right))), right)
+        digits = F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), "")
+        return F.when((F.length(digits) == 32) & digits.rlike("^[0-9a-f]+$"), F.unhex(digits))
+
+    return F.when(address.contains(":"), _let(address, six)).otherwise(F.unhex(F.lpad(F.hex(ipv4_number(address)), 8, "0")))
