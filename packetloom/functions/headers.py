@@ -17,6 +17,14 @@ def _bits(c: Column, shift: int, mask: int) -> Column:
     return F.shiftright(c, shift).bitwiseAND(mask).cast("int")
 
 
+def _level(df: DataFrame, made: dict[str, Column]) -> DataFrame:
+    """df with columns that later ones build on. A row's struct comes out of a generator of one element, which the
+    optimizer leaves whole; else it would write each column out wherever it is used, again and again."""
+    kept = [c for c in df.columns if c not in made]
+    one = F.explode(F.array(F.struct(*[c.alias(n) for n, c in made.items()]))).alias("__made")
+    return df.select(*kept, one).select(*kept, *[F.col(f"__made.{n}").alias(n) for n in made])
+
+
 def decode(frames: DataFrame, frame: str = "frame", names: list[str] | None = None) -> DataFrame:
     """frames with the columns of the packet schema and of single header fields.
 
@@ -26,38 +34,35 @@ def decode(frames: DataFrame, frame: str = "frame", names: list[str] | None = No
     """
     f = F.col(frame)
     have = set(frames.columns)
-    df = frames.withColumn("__type0", number(f, 12, 2))
+    df = _level(frames, {"__type0": number(f, 12, 2)})
     tagged = F.col("__type0") == 0x8100
-    df = df.withColumns({"__l3": F.when(tagged, 18).otherwise(14), "vlan_tci": F.when(tagged, number(f, 14, 2)).cast("int")})
-    df = df.withColumn("__type", F.when(tagged, number(f, 16, 2)).otherwise(F.col("__type0")))
+    df = _level(df, {"__l3": F.when(tagged, 18).otherwise(14), "vlan_tci": F.when(tagged, number(f, 14, 2)).cast("int"), "__type": F.when(tagged, number(f, 16, 2)).otherwise(F.col("__type0"))})
     l3 = F.col("__l3")
     v4, v6 = F.col("__type") == 0x0800, F.col("__type") == 0x86DD
-    df = df.withColumns({"ip_version": F.when(v4, 4).when(v6, 6), "__b0": number(f, l3, 1)})
-    df = df.withColumns({
-        "__ihl": F.when(v4, F.col("__b0").bitwiseAND(15) * 4).when(v6, F.lit(40).cast("bigint")),
-        "__next": F.when(v4, number(f, l3 + 9, 1)).when(v6, number(f, l3 + 6, 1)),
-        "total_length": F.when(v4, number(f, l3 + 2, 2)).cast("int"),
-        "time_to_live": F.when(v4, number(f, l3 + 8, 1)).cast("int"),
+    df = _level(df, {
+        "ip_version": F.when(v4, 4).when(v6, 6), "__ihl": F.when(v4, number(f, l3, 1).bitwiseAND(15) * 4).when(v6, F.lit(40).cast("bigint")),
+        "__next": F.when(v4, number(f, l3 + 9, 1)).when(v6, number(f, l3 + 6, 1)), "__l3len": F.when(v4, number(f, l3 + 2, 2)).when(v6, number(f, l3 + 4, 2) + 40),
+        "total_length": F.when(v4, number(f, l3 + 2, 2)).cast("int"), "time_to_live": F.when(v4, number(f, l3 + 8, 1)).cast("int"),
         "src_ip": F.when(v4, F.substring(f, l3 + 13, F.lit(4))).when(v6, F.substring(f, l3 + 9, F.lit(16))),
         "dst_ip": F.when(v4, F.substring(f, l3 + 17, F.lit(4))).when(v6, F.substring(f, l3 + 25, F.lit(16))),
         "src_addr": F.when(v4, number(f, l3 + 12, 4)), "dst_addr": F.when(v4, number(f, l3 + 16, 4)),
-        "__l3len": F.when(v4, number(f, l3 + 2, 2)).when(v6, number(f, l3 + 4, 2) + 40),
     })
-    df = df.withColumn("__l4", (l3 + F.col("__ihl")).cast("int"))
-    l4 = F.col("__l4")
     tcp, udp = F.col("__next") == 6, F.col("__next") == 17
-    df = df.withColumns({"__off": F.when(tcp, F.shiftright(number(f, l4 + 12, 1), 4) * 4).when(udp, F.lit(8).cast("bigint"))})
+    l4 = (l3 + F.col("__ihl")).cast("int")
+    df = _level(df, {"__l4": l4, "__off": F.when(tcp, F.shiftright(number(f, l4 + 12, 1), 4) * 4).when(udp, F.lit(8).cast("bigint")), "__end": number(f, l4 + F.when(tcp, 18).otherwise(6), 2)})
+    l4 = F.col("__l4")
     size = F.col("__l3len") - F.col("__ihl") - F.col("__off")
-    df = df.withColumns({"__len": size, "__end": number(f, l4 + F.when(tcp, 18).otherwise(6), 2)})
-    good = F.coalesce((F.col("__len") >= 0) & F.col("__end").isNotNull() & (F.col("__ihl") >= 20), F.lit(False))
-    df = df.withColumns({
+    df = _level(df, {"__good": F.coalesce((size >= 0) & F.col("__end").isNotNull() & (F.col("__ihl") >= 20), F.lit(False)), "__len": size})
+    good = F.col("__good")
+    df = _level(df, {
         "proto": F.when(good, F.col("__next")).cast("int"), "src_port": F.when(good, number(f, l4, 2)).cast("int"), "dst_port": F.when(good, number(f, l4 + 2, 2)).cast("int"),
         "seq_no": F.when(good & tcp, number(f, l4 + 4, 4)).when(good, F.lit(0).cast("bigint")), "ack_no": F.when(good & tcp, number(f, l4 + 8, 4)).when(good, F.lit(0).cast("bigint")),
         "tcp_flags": F.when(good & tcp, number(f, l4 + 13, 1)).when(good, 0).cast("int"),
         "payload_off": F.when(good, l4 + F.col("__off")).cast("int"), "payload_len": F.when(good, F.col("__len")).cast("int"),
     })
     fields = _fields(f)
-    df = df.withColumns({n: c for n, c in fields.items() if names is None or n in names})
+    wanted = {n: c for n, c in fields.items() if names is None or n in names}
+    df = _level(df, wanted) if wanted else df
     if "frame_len" not in have:
         df = df.withColumn("frame_len", F.length(f))
     return df.drop(*[c for c in df.columns if c.startswith("__")])

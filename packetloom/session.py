@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from packetloom.plans.shipping import ship
+
 #: Settings for any master. Arrow is needed by the parsers, UTC by every comparison of times.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -27,4 +29,5 @@ def local_session(cpus: int = 8, memory: str = "8g", **extra: str) -> SparkSessi
         b = b.config(k.replace("__", "."), v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
