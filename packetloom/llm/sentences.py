@@ -108,7 +108,7 @@ def blocks(text: str) -> Iterator[tuple[int, int, str]]:
         if item:
             number = int(item[2]) if item[2] else 0
             # inside a paragraph a number with a dot is a wrapped word unless it begins or goes on a list
-            begins = start is None or item[1] is not None or (listed is not None and number == listed + 1) or (number == 1 and listed is None and not _open_ended(text[start:end]))
+            begins = start is None or item[1] is not None or (listed is not None and number == listed + 1) or (number == 1 and listed is None and not _open_ended(text[max(start, end - 40) : end]))
             if begins:
                 if start is not None:
                     yield start, end, "text"
@@ -134,8 +134,10 @@ def _pairs(block: str) -> list[tuple[int, int]]:
     starts = [a for a, _ in ticks]
     out: list[tuple[int, int]] = list(ticks)
     stack: list[tuple[str, int]] = []
+    quotes = block.count('"')
     for m in _PAIRS.finditer(block):
         c, i = m[0], m.start()
+        quotes -= c == '"'
         if starts and (k := bisect_right(starts, i) - 1) >= 0 and i <= ticks[k][1]:
             continue
         before, after = block[i - 1 : i], block[i + 1 : i + 2]
@@ -143,7 +145,7 @@ def _pairs(block: str) -> list[tuple[int, int]]:
         if c == "’" and (after.isalnum() or closes is None):
             continue
         if c in "\"＂" and closes is not None and before.isspace() and after and not after.isspace() and c == '"':
-            closes = closes if block.count('"', i) % 2 else None
+            closes = closes if quotes % 2 == 0 else None  # looks like an opening one; the rest must come out even
         if closes is not None:
             out.append((stack[closes][1], i))
             del stack[closes:]
@@ -170,10 +172,11 @@ def _closing(block: str, at: int, mark: str) -> tuple[str, str]:
     return word.lower().strip("."), word
 
 
-def _score(block: str, first: int, last: int, cut: int, quote: tuple[int, int] | None, opened: int) -> float:
+def _score(block: str, first: int, last: int, cut: int, quote: tuple[int, int] | None, opened: int, kana: bool, german: bool) -> float:
     """How well a sentence closes with the marks block[first:last] and another opens at cut.
 
-    quote: the quotation or bracket that ends after the last mark; opened: where the sentence is known to begin.
+    quote: the quotation or bracket that ends after the last mark; opened: where the sentence is known to begin; kana and
+    german: what the block is written in.
     """
     marks = block[first:last]
     rest = block[cut : cut + 40]
@@ -198,7 +201,7 @@ def _score(block: str, first: int, last: int, cut: int, quote: tuple[int, int] |
     lower = c.islower() and not upper
     if quote is not None and block[quote[1]] != "`":
         led = block[opened : quote[0]].strip()
-        if _KANA.search(block):
+        if kana:
             return -_SURE if regex.match(r"[とっ、。がのをにはでもや]", c) else 4.0
         lead_in = bool(led) and (led[-1] in ":：" or (led[-1] in ",，" and any(x in led for x in "”»\"“」")))
         if not led:  # the quotation opens the sentence: words that follow may tell who spoke
@@ -232,7 +235,7 @@ def _score(block: str, first: int, last: int, cut: int, quote: tuple[int, int] |
     if written.isdigit():
         if head.lower() in MONTHS and len(written) <= 2:
             return -_SURE
-        if _GERMAN.search(block) and len(written) <= 2 and (lower or (head.lower() not in OPENERS_DE and upper)):
+        if german and len(written) <= 2 and (lower or (head.lower() not in OPENERS_DE and upper)):
             return -2.0
         return 4.0
     if len(written) == 1 and written.isalpha():
@@ -242,13 +245,19 @@ def _score(block: str, first: int, last: int, cut: int, quote: tuple[int, int] |
     return 3.0 if lower else 6.0
 
 
+#: A span costs more the longer it is, from LONG code points on, but at most LONGEST. No cut of less than -LONGEST can
+#: pay, and none of more than LONGEST + 1 between spans with words can be worth leaving out.
+_LONG, _LONGEST = 600, 1.5
+_FAR = _LONG + int(2000 * _LONGEST)
+
+
 def _length(block: str, a: int, b: int) -> float:
     """A span without letters or digits is no sentence; one word alone seldom is."""
     part = block[a:b]
     if not _ALNUM.search(part):
         return -20.0
     n = len(part.split(None, 3))
-    return -0.5 if n < 2 and part.isascii() else (0.0 if b - a <= 600 else -min(3.0, (b - a - 600) / 2000))
+    return -0.5 if n < 2 and part.isascii() else -min(_LONGEST, max(0, b - a - _LONG) / 2000)
 
 
 def spans(block: str) -> list[tuple[int, int]]:
@@ -264,6 +273,7 @@ def spans(block: str) -> list[tuple[int, int]]:
     places: list[tuple[int, float]] = []
     sure = 0  # where the sentence begins that the next candidate would close, by sure cuts only
     lead = _LEAD.match(block).end()
+    kana, german = bool(_KANA.search(block)), bool(_GERMAN.search(block))
     thai = [(m.start(), _SURE) for m in _THAI.finditer(block) if not inside(m.start())]
     t = 0
     for m in _END.finditer(block):
@@ -295,35 +305,50 @@ def spans(block: str) -> list[tuple[int, int]]:
             continue
         if first > 0 and quote is None and inside(first):
             continue
-        s = _score(block, first, last, cut, quote, max(sure, lead) if sure <= lead else sure)
+        s = _score(block, first, last, cut, quote, max(sure, lead), kana, german)
         if s > -_SURE:
             places.append((cut, s))
             if s >= 3.0:
                 sure = cut
-    places = sorted({p: s for p, s in [*places, *thai] if p < len(block)}.items())
-    # the program runs between sure cuts; best[i] is the best sum of spans that end at place i
+    places = sorted({p: s for p, s in [*places, *thai] if p < len(block) and s >= -_LONGEST}.items())
+    # the program runs between places that are cut in any case
     out: list[tuple[int, int]] = []
     run = [0]
     scores = [0.0]
-    for p, s in [*places, (len(block), _SURE)]:
+    bounds = [0, *(p for p, _ in places), len(block)]
+    worded = [bool(_ALNUM.search(block, a, b)) for a, b in zip(bounds, bounds[1:], strict=False)]
+    for k, (p, s) in enumerate([*places, (len(block), _SURE)]):
         run.append(p)
         scores.append(s)
-        if s >= _SURE:
+        if s >= _SURE or s >= _LONGEST + 1 and worded[k] and worded[k + 1]:
             out += _choose(block, run, scores)
             run, scores = [p], [0.0]
     return out
 
 
 def _choose(block: str, run: list[int], scores: list[float]) -> list[tuple[int, int]]:
+    """The best spans over the places of a run; best[j] is the best sum of those that end at place j."""
     n = len(run)
     if n == 2:
         return [(run[0], run[1])]
     best, back = [0.0] + [float("-inf")] * (n - 1), [0] * n
+    words = [0]  # pieces with letters or digits up to a place
+    for a, b in zip(run, run[1:], strict=False):
+        words.append(words[-1] + bool(_ALNUM.search(block, a, b)))
+    top = [0] * n  # where best is highest up to a place: all spans from far back cost the same
     for j in range(1, n):
-        for i in range(j - 1, -1, -1):
-            got = best[i] + scores[j] + _length(block, run[i], run[j])
-            if got > best[j]:
-                best[j], back[j] = got, i
+        i, mine = j - 1, scores[j]
+        while i >= 0 and (size := run[j] - run[i]) <= _FAR:
+            if size <= 60 or words[j] == words[i]:
+                cost = _length(block, run[i], run[j])
+            else:
+                cost = 0.0 if size <= _LONG else (_LONG - size) / 2000
+            if best[i] + mine + cost > best[j]:
+                best[j], back[j] = best[i] + mine + cost, i
+            i -= 1
+        if i >= 0 and best[top[i]] + scores[j] - _LONGEST > best[j]:
+            best[j], back[j] = best[top[i]] + scores[j] - _LONGEST, top[i]
+        top[j] = j if best[j] > best[top[j - 1]] else top[j - 1]
     out, j = [], n - 1
     while j:
         out.append((run[back[j]], run[j]))
