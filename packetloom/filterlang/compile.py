@@ -2,7 +2,8 @@
 
 A filter is decided on packets, on connections or on sessions. Each stage has the columns of FIELDS it can see; a conjunct
 that needs a later stage is left out at an earlier one, so the earlier column lets more rows through, never fewer, and can
-run before the shuffle by connection. At connection and session stage src and dst mean originator and responder.
+run before the shuffle by connection. A column is null where a value is missing, which counts as false: there is no
+negation, so nothing turns it round, and comparisons stay bare enough to reach a parquet scan. holds() makes it two-valued. At connection and session stage src and dst mean originator and responder.
 """
 
 from __future__ import annotations
@@ -81,6 +82,11 @@ def compare(c: Column, p: Predicate, kind: str) -> Column:
     return {Op.EQ: c == F.lit(v), Op.NE: c != F.lit(v), Op.CONTAINS: F.contains(c, F.lit(v)), Op.NOT_CONTAINS: ~F.contains(c, F.lit(v))}[op]
 
 
+def holds(c: Column) -> Column:
+    """A filter's column as true or false, for use other than in where()."""
+    return F.coalesce(c, F.lit(False))
+
+
 class Filter:
     """A checked filter. text is kept as it was given, as it may itself be delivered."""
 
@@ -128,7 +134,7 @@ class Filter:
         got = walk(self.tree)
         if got is None and exact:
             raise InvalidPredType(f"not decided at this stage: {self.text}")
-        return F.coalesce(F.lit(True) if got is None else got, F.lit(False))
+        return F.lit(True) if got is None else got
 
     def on_packets(self, columns: list[str], exact: bool = False) -> Column:
         """The column for packet rows (the packet schema or decoded frames)."""
@@ -147,7 +153,7 @@ class Filter:
             c = R.header_column(p.proto, name, have)
             if c is None:
                 raise InvalidHeader(f"{p.proto}.{p.field} is in none of the columns")
-            return layer & F.coalesce(compare(c, p, R.ADDR if "addr" in p.field else R.INT), F.lit(False))
+            return layer & compare(c, p, R.ADDR if "addr" in p.field else R.INT)
 
         if exact and self.stage() != "packet":
             raise InvalidPredType(f"not decided by packets: {self.text}")
@@ -159,10 +165,10 @@ class Filter:
 
         def decide(p: Predicate) -> Column | None:
             if p.proto not in HEADERS:
-                known = F.coalesce(F.col(service) == p.proto, F.lit(False))
+                known = F.col(service) == p.proto
                 return known if p.unary or not exact else None
             layer = _layer(p.proto)
-            return layer if p.unary else layer & F.coalesce(compare(F.col(_end(p)), p, R.ADDR), F.lit(False))
+            return layer if p.unary else layer & compare(F.col(_end(p)), p, R.ADDR)
 
         if exact and self.stage() == "session":
             raise InvalidPredType(f"not decided by connections: {self.text}")
@@ -174,13 +180,13 @@ class Filter:
 
         def decide(p: Predicate) -> Column:
             if p.proto not in HEADERS:
-                own = F.coalesce(F.col(service) == p.proto, F.lit(False))
+                own = F.col(service) == p.proto
                 if p.unary:
                     return own
                 kind, made = R.SESSION_FIELDS[p.proto][p.field]
                 return own & compare(made(), p, kind)
             layer = _layer(p.proto)
-            return layer if p.unary else layer & F.coalesce(compare(F.col(_end(p)), p, R.ADDR), F.lit(False))
+            return layer if p.unary else layer & compare(F.col(_end(p)), p, R.ADDR)
 
         return self._column(decide, True)
 

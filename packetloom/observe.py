@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from packetloom.filterlang import Filter
+from packetloom.filterlang import Filter, holds
 from packetloom.functions.net import CHECKSUM, GAP, PREAMBLE
 
 
@@ -16,7 +16,7 @@ def counted(packets: DataFrame, ignored_by: Filter | None = None) -> tuple[DataF
     one = lambda c, v: F.coalesce(F.sum(F.when(c, v)), F.lit(0)).cast("bigint")
     metrics = [one(F.lit(True), 1).alias("total_pkts"), one(F.lit(True), size).alias("total_bytes"), one(F.col("proto") == 6, 1).alias("tcp_pkts"), one(F.col("proto") == 6, size).alias("tcp_bytes"), one(F.col("proto") == 17, 1).alias("udp_pkts"), one(F.col("proto") == 17, size).alias("udp_bytes")]
     if ignored_by:
-        kept = ignored_by.on_packets(packets.columns)
+        kept = holds(ignored_by.on_packets(packets.columns))
         metrics += [one(~kept, 1).alias("ignored_pkts"), one(~kept, size).alias("ignored_bytes")]
     return packets.observe(seen, *metrics), seen
 

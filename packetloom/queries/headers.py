@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.filterlang import Filter
+from packetloom.filterlang import Filter, holds
 from packetloom.functions.net import ipv4_subnet, wire_bits, wrapping_lt
 from packetloom.operators.rules import Rule, match_filters, match_prefixes
 from packetloom.sources.tables import table
@@ -115,7 +115,7 @@ def fn_wire_bits(spark: SparkSession, d: str) -> DataFrame:
 def obs_counters(spark: SparkSession, d: str) -> DataFrame:
     """Counts of packets and bytes, in all and by transport, and of those a filter ignores."""
     p = _packets(spark, d, *[c for c in _HEADERS if c != "pkt_id"])
-    kept = Filter("tcp or udp.port = 53").on_packets(p.columns, exact=True)
+    kept = holds(Filter("tcp or udp.port = 53").on_packets(p.columns, exact=True))
     size = F.col("frame_len").cast("bigint")
     one = lambda c, v: F.coalesce(F.sum(F.when(c, v)), F.lit(0)).cast("bigint")
     tcp, udp, any_ = F.col("proto") == 6, F.col("proto") == 17, F.lit(True)
