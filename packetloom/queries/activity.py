@@ -53,17 +53,22 @@ select side, device, min(s) start_us, max(e) end_us, max(e) - min(s) duration_us
 """
 
 
-def _records(spark: SparkSession, d: str) -> DataFrame:
-    """field, addr, id, t of every record of connections and packets, each once."""
+def _rows(spark: SparkSession, d: str) -> DataFrame:
+    """field, addr, id, t of every row of connections and packets, copies included."""
     conns = _sides(table(spark, d, "connections").select("conn_id", "five_tuple", micros("start_ts").alias("t")), "conn_id", "t")
     ends = conns.select(F.col("side").alias("field"), F.col("device").alias("addr"), F.col("conn_id").alias("id"), "t")
     packets = table(spark, d, "packets").select(F.lit("src_addr").alias("field"), F.col("src_addr").cast("string").alias("addr"), F.col("pkt_id").cast("string").alias("id"), micros("ts").alias("t"))
-    return ends.unionByName(packets).where(F.col("addr").isNotNull()).distinct()
+    return ends.unionByName(packets).where(F.col("addr").isNotNull())
+
+
+_FIELD = ["field", "addr"]
 
 
 def p5_addresses(spark: SparkSession, d: str) -> DataFrame:
     """Every address with its number of records and its share in the field."""
-    per = balanced_aggregate(_records(spark, d), ["field", "addr"], {"n": F.count(F.lit(1))}, {"n_records": F.sum("n")}, spread=["id"])
+    rows = _rows(spark, d)
+    # loads are estimated on rows as they are: that needs no shuffle, and copies hardly change who is heavy
+    per = balanced_aggregate(rows.select(*_FIELD, "id").distinct(), _FIELD, {"n": F.count(F.lit(1))}, {"n_records": F.sum("n")}, ["id"], plan_placement(rows, _FIELD))
     totals = per.groupBy("field").agg(F.sum("n_records").alias("n_field"))
     return per.join(F.broadcast(totals), "field")  # one row for each of three fields
 
@@ -74,12 +79,13 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_first_hour(spark: SparkSession, d: str) -> DataFrame:
     """Of each address, the records within an hour after its first: every record meets its address's row in a join."""
-    rec = _records(spark, d)
-    plan = plan_placement(rec, ["field", "addr"])
-    first = balanced_aggregate(rec, ["field", "addr"], {"t": F.min("t")}, {"first_us": F.min("t")}, ["id"], plan)
-    met = balanced_join(rec, first, ["field", "addr"], ["id"], placement=plan)
+    rows = _rows(spark, d)
+    plan = plan_placement(rows, _FIELD)
+    rec = rows.distinct()
+    first = balanced_aggregate(rec, _FIELD, {"t": F.min("t")}, {"first_us": F.min("t")}, ["id"], plan)
+    met = balanced_join(rec, first, _FIELD, ["id"], placement=plan)
     early = F.when(F.col("t") - F.col("first_us") <= 3_600_000_000, 1).otherwise(0)
-    return met.groupBy("field", "addr").agg(F.min("first_us").alias("first_us"), F.sum(early).alias("n_first_hour"), F.count(F.lit(1)).alias("n_records"))
+    return met.groupBy(*_FIELD).agg(F.min("first_us").alias("first_us"), F.sum(early).alias("n_first_hour"), F.count(F.lit(1)).alias("n_records"))
 
 
 _RECORDS_SQL = f"""
