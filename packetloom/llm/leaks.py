@@ -35,6 +35,11 @@ _GUTTER = re.compile(r"(?m)^[^\w\n]*\d+\s*[|\u2502]")
 _WORD = re.compile(r"[^\W_]+")
 
 
+def _tag(m: re.Match) -> str:
+    """Nothing for a tag; its text if it holds a passage itself, as an attribute may."""
+    return f" {m[0][1:-1]} " if len(m[0]) > 2 * RUN and len(_WORD.findall(m[0])) >= RUN else ""
+
+
 def _code(m: re.Match) -> str:
     n = int(next(g for g in m.groups() if g), 16)
     return chr(n) if n < 0x110000 and not 0xD800 <= n < 0xE000 else " "
@@ -49,7 +54,7 @@ def words(text: str | None) -> list[str]:
     if "&" in text:
         text = html.unescape(text)
     if "<" in text:
-        text = _TAG.sub("", _BLOCK_TAG.sub(" ", text))
+        text = _TAG.sub(_tag, _BLOCK_TAG.sub(lambda m: _tag(m) or " ", text))
     if "](" in text:
         text = _LINK.sub("]", text)
     if "|" in text or "\u2502" in text:

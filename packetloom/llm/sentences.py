@@ -67,6 +67,8 @@ def blocks(text: str) -> Iterator[tuple[int, int, str]]:
         if line:
             lines.append((pos, line.rstrip("\r\n  ")))
             pos += len(line)
+    if lines and lines[0][1].startswith("\ufeff"):
+        lines[0] = (1, lines[0][1][1:])
     start = end = None
     listed: int | None = None  # number of the list item that is open, 0 for a bullet
     fence = None

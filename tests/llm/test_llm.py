@@ -137,6 +137,8 @@ def test_words():
     w = leaks.words
     assert w("The\\nQuick \\u0042rown <b>fo</b>x &amp; ｄｏｇ str­aße​ 12_3") == ["the", "quick", "brown", "fox", "dog", "strasse", "12", "3"]
     assert w("#  10| one\n#  11| two") == ["one", "two"]
+    passage = " ".join(f"w{i}" for i in range(13))
+    assert w(f'<meta content="{passage}">')[-13:] == passage.split() and w('<a href="x">b</a>') == ["b"]
     assert w(None) == w("") == w("...") == []
     assert w('"left " +\n "right"') == ["left", "right"]
 
@@ -247,6 +249,7 @@ def test_blocks():
     assert got == ["Title", "under", "one.", "Two", "three", "four", "five\nsix", "last"]
     text = "\ufeffFirst line.\r\nSecond\r\n\r\nThird"
     assert [text[a:b] for a, b in sentences.sentences(text)] == ["First line.", "Second", "Third"]
+    assert sentences.sentences("\ufeff# Title\n\n\ufeffx") == [(3, 8), (11, 12)]
     assert sentences.sentences("") == sentences.sentences(None) == sentences.sentences("--- !!! ...") == []
     assert len(sentences.sentences("A fine day. " * 20000)) == 20000
 
