@@ -164,6 +164,17 @@ def interarrivals(assigned: DataFrame) -> DataFrame:
     return lists.select(*KEY, "conn_no", F.col("c.g").alias("interarrivals_ctos"), F.col("s.g").alias("interarrivals_stoc"))
 
 
+def packet_lists(assigned: DataFrame, item: str = "pkt_id") -> DataFrame:
+    """key, conn_no, packets, packets_orig, packets_resp: the item (an id or the frame) of each packet in order of arrival.
+
+    A list holds all packets of its connection, so its row grows with the connection.
+    """
+    one = F.struct(micros("ts").alias("us"), F.col("pkt_id").alias("no"), F.col(item).alias("v"))
+    sides = {"packets": F.lit(True), "packets_orig": F.col("dir"), "packets_resp": ~F.col("dir")}
+    lists = assigned.groupBy(*KEY, "conn_no").agg(*[F.sort_array(F.collect_list(F.when(c, one))).alias(n) for n, c in sides.items()])
+    return lists.select(*KEY, "conn_no", *[F.col(f"{n}.v").alias(n) for n in sides])
+
+
 def content(assigned: DataFrame) -> DataFrame:
     """Final content of each direction by sequence number: key, conn_no, dir, n_chunks, content_gaps, missed_bytes.
 

@@ -107,6 +107,25 @@ def agg_sessionlist(spark: SparkSession, d: str) -> DataFrame:
     return c.select("conn_id", "service", F.size("sessions").alias("n_sessions"))
 
 
+def ex_streaming(spark: SparkSession, d: str) -> DataFrame:
+    """Packet and byte counts of connections at every tenth packet to or from one port."""
+    from packetloom.plans.subscribe import Subscription
+    from packetloom.streaming.triggers import deliver_firings
+
+    sub = Subscription("tcp.port = 443", ("PktCount", "FilterStr"), streaming=("packets", 10))
+    return deliver_firings(sub, packets_from_events(spark, d), LONG).select("pkt_id", "PktCount", "FilterStr", "byte_count")
+
+
+def ex_golden(spark: SparkSession, d: str) -> DataFrame:
+    """Name, addresses and bytes of every TLS handshake of the captures, by subscription."""
+    from packetloom.plans.subscribe import Subscription, deliver
+    from packetloom.sources.traffic import traffic_from_frames
+
+    sub = Subscription("tls", ("TlsHandshake", "FiveTuple", "ByteCount"))
+    rows = deliver(sub, traffic_from_frames(_capture(spark), sub.protocols))
+    return rows.select("conn_id", F.coalesce("TlsHandshake.client_hello.server_name", F.lit("")).alias("sni"), "FiveTuple.orig", "FiveTuple.resp", F.col("ByteCount").alias("byte_count"))
+
+
 def _fired(unit: str, n: float, until=None):
     def run(spark: SparkSession, d: str) -> DataFrame:
         return batch_triggers(packets_from_events(spark, d), unit, n, LONG, until).select("pkt_id", "pkt_count", "byte_count", "firing")
@@ -115,10 +134,11 @@ def _fired(unit: str, n: float, until=None):
 
 
 QUERIES = {
-    **{f.__name__: f for f in (ct_decode, src_pcap, prs_http, prs_dns, prs_ssh, prs_tls, prs_quic, fn_ja3_md5, ct_reassembly, ct_fin_rst, agg_chunks, agg_sessionlist)},
+    **{f.__name__: f for f in (ct_decode, src_pcap, prs_http, prs_dns, prs_ssh, prs_tls, prs_quic, fn_ja3_md5, ct_reassembly, ct_fin_rst, agg_chunks, agg_sessionlist, ex_streaming, ex_golden)},
     "str_bytes_n": _fired("bytes", 1000), "str_seconds_s": _fired("seconds", 60), "str_packets_state": _fired("packets", 3), "str_unsubscribe": _fired("packets", 2, lambda pkts, size: pkts >= 5),
 }
 SQL = {
+    "ex_streaming": f"{flows._X}, f as (select *, row_number() over (partition by hi, lo, proto, conn_no order by us, pkt_id) k, sum(frame_len) over (partition by hi, lo, proto, conn_no order by us, pkt_id) bytes from r where proto = 6 and (sport = 443 or dport = 443)) select pkt_id, k::bigint as \"PktCount\", 'tcp.port = 443' as \"FilterStr\", bytes::bigint byte_count from f where (k - 1) % 10 = 0",
     "str_packets_state": f"{flows._X} select pkt_id, nth::bigint pkt_count, byte_count::bigint byte_count, ((nth - 1) // 3 + 1)::int firing from (select *, sum(frame_len) over (partition by hi, lo, proto, conn_no order by us, pkt_id) byte_count from r) where (nth - 1) % 3 = 0",
     "str_unsubscribe": f"{flows._X} select pkt_id, nth::bigint pkt_count, byte_count::bigint byte_count, ((nth - 1) // 2 + 1)::int firing from (select *, sum(frame_len) over (partition by hi, lo, proto, conn_no order by us, pkt_id) byte_count from r) where (nth - 1) % 2 = 0 and nth <= 5",
     "ct_decode": """with pk as (select distinct pkt_id, proto, src_addr, dst_addr, src_port, dst_port, seq_no, ack_no, tcp_flags, time_to_live, total_length from packets

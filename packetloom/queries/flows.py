@@ -90,6 +90,13 @@ def agg_interarrivals(spark: SparkSession, d: str) -> DataFrame:
     return i.select(F.hex("key_hi").alias("hi"), F.hex("key_lo").alias("lo"), "proto", F.col("conn_no").cast("bigint").alias("conn_no"), *[c.cast("bigint").alias(n) for n, c in cols.items()])
 
 
+def agg_pktlists(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of each connection's packets in order of arrival, of both directions and of each."""
+    x = C.packet_lists(_assigned(spark, d))
+    text = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), ",").alias(c)
+    return x.select(F.hex("key_hi").alias("hi"), F.hex("key_lo").alias("lo"), "proto", F.col("conn_no").cast("bigint").alias("conn_no"), text("packets"), text("packets_orig"), text("packets_resp"))
+
+
 def agg_content_gaps(spark: SparkSession, d: str) -> DataFrame:
     c = C.content(_assigned(spark, d))
     return c.select(F.hex("key_hi").alias("hi"), F.hex("key_lo").alias("lo"), F.col("conn_no").cast("bigint").alias("conn_no"), F.col("dir").alias("from_orig"), *[F.col(x).cast("bigint").alias(x) for x in ("n_chunks", "content_gaps", "missed_bytes")])
@@ -109,7 +116,7 @@ def str_packets_n(spark: SparkSession, d: str) -> DataFrame:
     return p.where(F.pmod(F.col("nth") - 1, F.lit(3)) == 0).select("pkt_id", F.col("nth").cast("bigint").alias("pkt_count"), F.col("bytes_so_far").alias("byte_count"))
 
 
-QUERIES = {f.__name__: f for f in (ct_conn_key, ct_orientation, ct_offline, ct_timeout_udp, ct_timeout_tcp, agg_pktcount, agg_bytecount, agg_duration, agg_maxinactivity, agg_history, agg_flow, agg_connrecord, agg_interarrivals, agg_content_gaps, stg_packet_deliver, str_packets_n)}
+QUERIES = {f.__name__: f for f in (ct_conn_key, ct_orientation, ct_offline, ct_timeout_udp, ct_timeout_tcp, agg_pktcount, agg_bytecount, agg_duration, agg_maxinactivity, agg_history, agg_flow, agg_connrecord, agg_pktlists, agg_interarrivals, agg_content_gaps, stg_packet_deliver, str_packets_n)}
 
 _KEYED = PACKETS_SQL.rstrip() + """,
 k as (select *, src * 65536 + sport se, dst * 65536 + dport de from pk),
@@ -160,6 +167,8 @@ SQL = {
     "agg_interarrivals": f"""{_X}, i as (select *, (us - lag(us) over (partition by hi, lo, proto, conn_no, own order by us, pkt_id)) * 1000 d from r)
 select {_HEX}, proto, conn_no::bigint conn_no, count(d) filter (own)::bigint n_ctos, coalesce(sum(d) filter (own), 0)::bigint sum_ctos, coalesce(max(d) filter (own), 0)::bigint max_ctos,
   count(d) filter (not own)::bigint n_stoc, coalesce(sum(d) filter (not own), 0)::bigint sum_stoc, coalesce(max(d) filter (not own), 0)::bigint max_stoc from i group by i.hi, i.lo, proto, i.conn_no""",
+    "agg_pktlists": f"""{_X} select {_HEX}, proto, conn_no::bigint conn_no, string_agg(pkt_id::varchar, ',' order by us, pkt_id) packets, coalesce(string_agg(pkt_id::varchar, ',' order by us, pkt_id) filter (own), '') packets_orig,
+  coalesce(string_agg(pkt_id::varchar, ',' order by us, pkt_id) filter (not own), '') packets_resp from r group by r.hi, r.lo, proto, r.conn_no""",
     "agg_content_gaps": f"""{_X}, y as (select distinct r.hi, r.lo, conn_no, own, pkt_id * 500 a, pkt_id * 500 + payload_len b from r where proto = 6 and payload_len > 0),
 z as (select *, max(b) over (partition by hi, lo, conn_no, own order by a, b rows between unbounded preceding and 1 preceding) before from y)
 select {_HEX}, conn_no::bigint conn_no, own from_orig, count(*) filter (before is null or a > before)::bigint n_chunks, (count(*) filter (before is null or a > before) - 1)::bigint content_gaps,

@@ -7,7 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.functions.addresses import endpoint_address, endpoint_port, ip_bytes, ipv4_number
+from packetloom.functions.addresses import canonical_address, endpoint_address, endpoint_port, ip_bytes, ipv4_number, ipv4_text
+from packetloom.operators.conntrack import Timeouts
+from packetloom.operators.trace import sessions_of, trace_connections
+from packetloom.plans.staging import stage
 from packetloom.sources.tables import micros, table
 
 
@@ -52,3 +55,28 @@ def ssh_sessions(spark: SparkSession, d: str) -> DataFrame:
 def traffic_from_tables(spark: SparkSession, d: str) -> Traffic:
     sessions = dns_sessions(spark, d).unionByName(ssh_sessions(spark, d), allowMissingColumns=True)
     return Traffic(None, connection_rows(spark, d), sessions)
+
+
+def _ip_text(raw: str) -> F.Column:
+    """Text of 4 or 16 bytes."""
+    number = F.conv(F.hex(raw), 16, 10).cast("bigint")
+    groups = F.concat_ws(":", *[F.substring(F.lower(F.hex(raw)), 4 * i + 1, 4) for i in range(8)])
+    return F.when(F.length(raw) == 4, ipv4_text(number)).otherwise(canonical_address(groups))
+
+
+def traffic_from_frames(frames: DataFrame, protocols: set[str], timeouts: Timeouts = Timeouts(), most_out_of_order: int = 100) -> Traffic:
+    """Traffic of decoded frames with all packets of each connection; only the protocols named are parsed.
+
+    The traced connections are staged, as packets, sessions and records are all made from them.
+    """
+    c = stage(trace_connections(frames, protocols, timeouts, most_out_of_order), "connections")
+    ids = c.select("conn_id", F.explode("packet_ids").alias("p")).select("conn_id", "p.pkt_id", "p.dir")
+    pick = {"packets": lambda x: F.lit(True), "packets_orig": lambda x: x["dir"], "packets_resp": lambda x: ~x["dir"]}
+    lists = {n: F.transform(F.filter("packet_ids", of), lambda x: x["pkt_id"]).alias(n) for n, of in pick.items()}
+    number = lambda x: F.when(F.length(x) == 4, F.conv(F.hex(x), 16, 10).cast("bigint"))
+    conns = c.select("*", *lists.values()).withColumns({"orig": _ip_text("orig_ip"), "resp": _ip_text("resp_ip"), "orig_addr": number("orig_ip"), "resp_addr": number("resp_ip"), "duration_us": F.col("last_us") - F.col("first_us")})
+    statics = [x for x in ("vlan_tci", "eth_src", "eth_dst") if x in frames.columns]
+    if statics:  # of the first packet
+        first = frames.select("pkt_id", *statics)
+        conns = conns.withColumn("__first", F.col("packet_ids")[0]["pkt_id"]).join(first, F.col("__first") == F.col("pkt_id"), "left").drop("__first", "pkt_id")
+    return Traffic(frames.join(ids, "pkt_id"), conns.drop("sessions", "packet_ids"), sessions_of(c))

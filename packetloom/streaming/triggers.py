@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from packetloom.operators.conntrack import KEY, Timeouts, with_key
+from packetloom.plans.subscribe import Subscription
 from packetloom.sources.tables import micros
 
 OUT = "key_hi binary, key_lo binary, proto int, conn_no int, pkt_id bigint, us bigint, pkt_count bigint, byte_count bigint, firing int"
@@ -91,6 +92,21 @@ def batch_triggers(packets: DataFrame, unit: str, n: float, timeouts: Timeouts =
     return rows.mapInArrow(run, OUT)
 
 
+def deliver_firings(sub: Subscription, packets: DataFrame, timeouts: Timeouts = Timeouts(), until: Until | None = None) -> DataFrame:
+    """Firings of a streaming subscription whose filter packets decide, over a table or a stream of packets.
+
+    Besides the columns of OUT: FilterStr, and the wanted PktCount or ByteCount. Packets are filtered before they are
+    counted, each by its own header.
+    """
+    if not sub.streaming:
+        raise ValueError("the subscription has no trigger")
+    unit, n = sub.streaming
+    kept = packets.where(sub.parsed.on_packets(packets.columns, exact=True))
+    fired = (stream_triggers if packets.isStreaming else batch_triggers)(kept, unit, n, timeouts, until)
+    named = {"PktCount": F.col("pkt_count"), "ByteCount": F.col("byte_count"), "FilterStr": F.lit(sub.filter)}
+    return fired.select("*", *[c.alias(k) for k, c in named.items() if k in sub.datatypes])
+
+
 def stream_triggers(packets: DataFrame, unit: str, n: float, timeouts: Timeouts = Timeouts(), until: Until | None = None, late: str = "10 minutes") -> DataFrame:
     """Firings over a stream, in append mode. State of a key goes after its idle time by the watermark; packets of one
     micro-batch are put in order, packets older than the state's last are counted where they arrive."""

@@ -8,12 +8,13 @@ from packetloom.observe import counted, rates
 from packetloom.operators.conntrack import Timeouts
 from packetloom.plans.subscribe import DATATYPES, Level, Subscription, SubscriptionError, deliver, deliver_all, load_subscriptions
 from packetloom.queries import activity, captures, flows, headers, services
-from packetloom.sources import pcap, samples
+from packetloom.functions.headers import decode
+from packetloom.sources import pcap, samples, sinks
 from packetloom.sources.adapters import packets_from_events
 from packetloom.sources.config import load_config, load_packets
-from packetloom.sources.traffic import Traffic
+from packetloom.sources.traffic import Traffic, traffic_from_frames
 from packetloom.streaming.connections import stream_connections
-from packetloom.streaming.triggers import Trigger, batch_triggers, stream_triggers
+from packetloom.streaming.triggers import Trigger, batch_triggers, deliver_firings, stream_triggers
 from tests.compare import rows_of, rows_of_sql
 from tests.conftest import DATA
 
@@ -57,6 +58,31 @@ def test_delivery(traffic):
     assert ids(deliver(Subscription("ipv4.src_addr = 10.0.0.1", ("FiveTuple",)), traffic), "conn_id") == [("c1",), ("c3",)]
 
 
+def test_capture_delivery(spark, tmp_path):
+    pcap.write_pcap(str(tmp_path / "a.pcap"), samples.sample_capture())
+    t = traffic_from_frames(decode(pcap.read(spark, str(tmp_path)), names=["eth_src", "eth_dst"]), {"tls", "dns", "ssh"})
+    tls = deliver(Subscription("tls.sni = 'shop.example'", ("ZcFrame", "FilterStr")), t)
+    assert tls.count() == 12  # all packets from the first on
+    assert deliver(Subscription("tcp.syn = 1 and tcp.ack = 0", ("Payload",)), t).count() == 4
+    rows = deliver(Subscription("ipv6 and tls", ("TlsHandshake", "FiveTuple", "ConnRecord", "InterArrivals", "BidirPktStream", "OrigPktsReassembled", "EthAddr", "EtherTCI")), t).collect()
+    assert len(rows) == 1 and rows[0].FiveTuple.orig == "2001:db8::2" and len(rows[0].BidirPktStream) == 12 and len(rows[0].OrigPktsReassembled) == 8
+    assert deliver(Subscription("ssh.key_exchange_cookie_stoc contains |15 1A|", ("SshHandshake",)), t).count() == 1
+    assert {len(x.SessionList) for x in deliver(Subscription("dns", ("SessionList",)), t).collect()} == {3}
+
+
+def test_sinks(spark, tmp_path, traffic):
+    rows = deliver(Subscription("", ("ConnRecord",)), Traffic(None, traffic.connections.withColumns({"first_us": F.lit(0), "last_us": F.lit(1), "duration_us": F.lit(1), "history": F.lit("S")}), traffic.sessions))
+    sinks.write_json(rows, str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j")).count() == 3 and len(sinks.pretty_json(rows, 2)) == 2
+    counts = traffic.connections.groupBy("service").count().withColumnRenamed("count", "n")
+    assert 'seen{service="tls"} 1' in sinks.exposition(counts, "seen", ["service"])
+    sinks.write_log(counts, str(tmp_path / "log"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "log")).count() == 3
+    sinks.for_each(rows, lambda r: None)
+    fired = deliver_firings(Subscription("tcp", ("PktCount",), streaming=("packets", 4)), packets_from_events(spark, DATA))
+    assert fired.where("PktCount < 1").count() == 0
+
+
 def test_same_callback_once(traffic):
     subs = [Subscription(f, ("DnsTransaction",), "cb") for f in ("dns", "dns and udp", "dns.query_domain contains 'a'")]
     assert deliver_all(subs, traffic)["cb"].count() == 3
