@@ -104,6 +104,9 @@ def number_cells(parts: DataFrame, timeouts: Timeouts) -> DataFrame:
 def connections(packets: DataFrame, timeouts: Timeouts = Timeouts()) -> DataFrame:
     """One row for each connection with its features.
 
+    Connections end by idle time only; those that begin with a SYN, end by FIN or RST, or have a time of their own to be
+    established, come from trace_connections().
+
     packets: pkt_id (unique), ts, ip columns, ports, proto, frame_len, tcp_flags, payload_len. Rows without address,
     ports, time or another protocol are no part of any. Repeated packets must be dropped before. Result: key columns,
     conn_no, orig_/resp_ ip BINARY and port, first_us, second_us, last_us, duration_us, to_second_us, max_idle_us,

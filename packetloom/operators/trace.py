@@ -7,7 +7,7 @@ connection at a time; without expiry it keeps only what the reassembly buffer an
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -231,3 +231,35 @@ def trace_connections(packets: DataFrame, protocols: set[str] = frozenset(("tls"
 def sessions_of(connections: DataFrame) -> DataFrame:
     """conn_id, session_id and the columns of each session of traced connections."""
     return connections.select("conn_id", F.explode("sessions").alias("s")).select("conn_id", F.col("s.session_no").alias("session_id"), "s.protocol", "s.tls", "s.http", "s.dns", "s.ssh", "s.quic")
+
+
+def fold(assigned: DataFrame, columns: list[str], make: Callable[[], object], schema: str) -> DataFrame:
+    """A user's own aggregate over the packets of each connection in order: key_hi, key_lo, proto, conn_no and schema.
+
+    make() gives an object with update(**columns), called for every packet, and result(), a dict in schema. Packets are
+    those of conntrack.assign(); a task holds one object at a time.
+    """
+    keys = [*KEY, "conn_no"]
+    rows = assigned.select(*keys, micros("ts").alias("__us"), F.col("pkt_id").alias("__id"), *[F.col(c).alias(f"__c{i}") for i, c in enumerate(columns)])
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "__us", "__id").drop("__us", "__id")
+    full = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in assigned.select(*keys).schema.fields) + ", " + schema
+    arrow = to_arrow_schema(assigned.sparkSession.createDataFrame([], full).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state, out = None, None, []
+        for b in batches:
+            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if r[:4] != key:
+                    if state is not None:
+                        out.append(dict(zip(keys, key, strict=True)) | state.result())
+                    key, state = r[:4], make()
+                state.update(**dict(zip(columns, r[4:], strict=True)))
+            if len(out) >= 1024:
+                yield pa.RecordBatch.from_pylist(out, arrow)
+                out = []
+        if state is not None:
+            out.append(dict(zip(keys, key, strict=True)) | state.result())
+        if out:
+            yield pa.RecordBatch.from_pylist(out, arrow)
+
+    return rows.mapInArrow(run, full)

@@ -49,6 +49,7 @@ def _packets(of: str, order: str) -> Datatype:
 
 _CONN = ("orig", "orig_port", "resp", "resp_port", "proto")
 _RECORD = (*_CONN, "first_us", "last_us", "duration_us", "history", "pkt_count", "byte_count")
+_MORE = ("second_us", "max_idle_us", "service", "orig_flow", "resp_flow")
 
 DATATYPES: dict[str, Datatype] = {
     "ConnRecord": Datatype(Level.CONNECTION, _struct(*_RECORD), _RECORD, streamable=True),
@@ -69,6 +70,11 @@ DATATYPES: dict[str, Datatype] = {
 }
 
 
+def register_datatype(name: str, datatype: Datatype) -> None:
+    """Adds a kind of data that subscriptions may ask for."""
+    DATATYPES[name] = datatype
+
+
 class SubscriptionError(ValueError):
     """A subscription whose data don't go together."""
 
@@ -131,8 +137,29 @@ def _project(rows: DataFrame, sub: Subscription, keys: list[str]) -> DataFrame:
     missing = {n for d in sub.datatypes for n in DATATYPES[d].needs} - set(rows.columns)
     if missing:
         raise SubscriptionError(f"the traffic has no columns {sorted(missing)}")
-    cols = [F.lit(sub.filter).alias("FilterStr") if d == "FilterStr" else DATATYPES[d].make().alias(d) for d in sub.datatypes]
-    return rows.select(*keys, *cols)
+
+    def made(d: str) -> Column:
+        if d == "FilterStr":
+            return F.lit(sub.filter)
+        if d == "ConnRecord":  # with what else is known of the connection
+            return F.struct(*_RECORD, *[c for c in _MORE if c in rows.columns])
+        return DATATYPES[d].make()
+
+    return rows.select(*keys, *[made(d).alias(d) for d in sub.datatypes])
+
+
+def continue_packets(packets: DataFrame, filters: list[Filter]) -> DataFrame:
+    """Packets that at least one of the filters may still want, each judged by its own header.
+
+    Connections made from these are what all subscriptions together see; connections made from those of one filter are
+    what it sees alone.
+    """
+    if not filters:
+        return packets.limit(0)
+    any_ = F.lit(False)
+    for f in filters:
+        any_ = any_ | f.on_packets(packets.columns)
+    return packets.where(any_)
 
 
 def deliver(sub: Subscription, traffic: Traffic) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from packetloom.filterlang import Filter, holds
 from packetloom.functions.net import ipv4_subnet, wire_bits, wrapping_lt
+from packetloom.plans.subscribe import continue_packets
 from packetloom.operators.rules import Rule, match_filters, match_prefixes
 from packetloom.sources.tables import table
 
@@ -96,6 +97,12 @@ def jn_rules_packets(spark: SparkSession, d: str) -> DataFrame:
     return met.groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("dst_addr").alias("n_targets"))
 
 
+def stg_packet_shared(spark: SparkSession, d: str) -> DataFrame:
+    """Packets that any of several subscriptions may want, also those decided later."""
+    p = _packets(spark, d, *[c for c in _HEADERS if c != "pkt_id"])
+    return continue_packets(p, [Filter(t) for t in ("udp.dst_port = 53", "tls.sni ~ 'x' and tcp.dst_port = 443", "ipv4.time_to_live < 10")]).select("pkt_id", "proto")
+
+
 def fn_subnet(spark: SparkSession, d: str) -> DataFrame:
     p = _packets(spark, d, "dst_addr", "frame_len").where(F.col("dst_addr").isNotNull())
     return p.groupBy(ipv4_subnet(F.col("dst_addr")).alias("subnet")).agg(F.count(F.lit(1)).alias("n"))
@@ -140,7 +147,7 @@ _KEPT = "(proto = 6 and ip_version in (4, 6)) or (proto = 17 and (coalesce(src_p
 
 QUERIES: dict[str, Query] = {
     **{n: _filtered(f) for n, (f, _) in FILTERS.items()},
-    "src_sampling": src_sampling, "jn_cidr_range": jn_cidr_range, "jn_rules_packets": jn_rules_packets, "fn_subnet": fn_subnet, "fn_wrapping_lt": fn_wrapping_lt, "fn_wire_bits": fn_wire_bits,
+    "src_sampling": src_sampling, "jn_cidr_range": jn_cidr_range, "jn_rules_packets": jn_rules_packets, "stg_packet_shared": stg_packet_shared, "fn_subnet": fn_subnet, "fn_wrapping_lt": fn_wrapping_lt, "fn_wire_bits": fn_wire_bits,
     "obs_counters": obs_counters, "ex_port_count": ex_port_count,
 }
 SQL = {
@@ -148,6 +155,7 @@ SQL = {
     "src_sampling": f"{_PK} select proto, count(*)::bigint n, sum(frame_len)::bigint bytes from pk where src_addr is not null and src_port is not null and (src_addr + dst_addr + src_port + dst_port + proto) % 512 < 256 group by proto",
     "jn_cidr_range": f"{_PK}, nets as ({_NET_SQL}) select rule, count(*)::bigint n, sum(frame_len)::bigint bytes from pk join nets on dst_addr between low and high group by rule",
     "jn_rules_packets": f"{_PK} select rule, count(*)::bigint n, count(distinct dst_addr)::bigint n_targets from ({_CASES}) group by rule",
+    "stg_packet_shared": f"{_PK} select pkt_id, proto from pk where (proto = 17 and dst_port = 53) or (proto = 6 and dst_port = 443) or (ip_version = 4 and time_to_live < 10)",
     "fn_subnet": f"{_PK} select case when dst_addr = 4294967295 or dst_addr >> 28 = 14 then concat_ws('.', dst_addr >> 24, (dst_addr >> 16) & 255, (dst_addr >> 8) & 255, dst_addr & 255) else concat_ws('.', dst_addr >> 24, (dst_addr >> 16) & 255, (dst_addr >> 8) & 255, 0) end subnet, count(*)::bigint n from pk where dst_addr is not null group by 1",
     "fn_wrapping_lt": f"{_PK} select pkt_id, ((seq_no - ack_no) % 4294967296 + 4294967296) % 4294967296 > 2147483648 as before from pk where proto = 6",
     "fn_wire_bits": f"{_PK} select proto, ((sum(frame_len) + count(*) * 20) * 8)::bigint ingress_bits, ((sum(frame_len) + count(*) * 24) * 8)::bigint good_bits from pk group by proto",

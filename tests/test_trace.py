@@ -10,7 +10,7 @@ from packetloom.functions.fingerprints import ja3_string
 from packetloom.functions.headers import decode
 from packetloom.operators import conntrack as C
 from packetloom.operators.reassembly import ACK, FIN, SYN, Content, Stream, TooFarOutOfOrder
-from packetloom.operators.trace import sessions_of, trace_connections
+from packetloom.operators.trace import fold, sessions_of, trace_connections
 from packetloom.parsers.aes import encrypt_block
 from packetloom.parsers.quic import initial_keys
 from packetloom.sources import pcap, samples
@@ -172,3 +172,24 @@ def test_closing(spark):
     short = C.Timeouts(establish=500)
     assert {x.closed_by for x in trace_connections(df, set(), short).collect()} == {"idle"}
     assert trace_connections(df.limit(0)).count() == 0
+
+
+class Largest:
+    """A user's aggregate: the largest frame and the number of changes of direction."""
+
+    def __init__(self):
+        self.size, self.turns, self.last = 0, 0, None
+
+    def update(self, frame_len, dir):
+        self.size = max(self.size, frame_len)
+        self.turns += self.last is not None and self.last != dir
+        self.last = dir
+
+    def result(self):
+        return {"largest": self.size, "turns": self.turns}
+
+
+def test_own_aggregate(frames):
+    a = C.assign(frames, C.Timeouts(offline=True))
+    got = {(x.largest, x.turns) for x in fold(a.where("dst_port = 53 or src_port = 53"), ["frame_len", "dir"], Largest, "largest bigint, turns int").collect()}
+    assert got == {(89, 4)}
