@@ -5,7 +5,7 @@ from __future__ import annotations
 from packetloom.parsers.base import Parser, Probe, register
 
 #: Methods, of which the first four bytes are looked for. Fixed values.
-METHODS = ("GET", "HEAD", "POST", "PUT", "DELETE", "CONNECT", "OPTIONS", "TRACE", "PATCH", "PROPFIND", "MKCOL", "COPY", "MOVE")
+METHODS = ("OPTIONS", "GET", "HEAD", "POST", "PUT", "PATCH", "COPY", "MOVE", "DELETE", "LINK", "UNLINK", "TRACE", "WRAPPED")
 _PREFIXES = tuple((m + " ")[:4].encode() for m in METHODS)
 _LIMIT = 1 << 20
 
