@@ -91,18 +91,24 @@ def sketches(occurrences: DataFrame) -> DataFrame:
     return hashed.mapInArrow(build, "field string, total bigint, cells binary")
 
 
-def merge(parts: DataFrame, fan_in: int = 32) -> DataFrame:
-    """Adds up sketches of each field, fan_in and then all in a second step, so that no task reads them all."""
+def merge(parts: DataFrame, fan_in: int = 64) -> DataFrame:
+    """Adds up sketches of each field: in fan_in tasks first, then in one that reads what these leave.
 
-    def add(table: pa.Table) -> pa.Table:
-        cells = np.zeros(CELLS, np.int64)
-        for c in table.column("cells"):
-            cells += np.frombuffer(c.as_buffer(), np.int64)
-        return pa.table({"field": table.column("field")[:1], "total": pa.array([sum(table.column("total").to_pylist())], pa.int64()), "cells": pa.array([cells.tobytes()], pa.binary())})
+    A task takes its sketches batch by batch and holds one of each field.
+    """
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[str, tuple[np.ndarray, list[int]]] = {}
+        for b in batches:
+            for name, total, cells in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                sums, count = made.setdefault(name, (np.zeros(CELLS, np.int64), [0]))
+                sums += np.frombuffer(cells.as_buffer(), np.int64)
+                count[0] += total
+        for name, (sums, count) in made.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array(count, pa.int64()), pa.array([sums.tobytes()], pa.binary())], ["field", "total", "cells"])
 
     schema = "field string, total bigint, cells binary"
-    some = parts.withColumn("g", F.pmod(F.spark_partition_id(), F.lit(fan_in))).groupBy("field", "g").applyInArrow(add, schema)
-    return some.groupBy("field").applyInArrow(add, schema)
+    return parts.repartition(fan_in).mapInArrow(add, schema).repartition(1).mapInArrow(add, schema)
 
 
 def frequent_items(occurrences: DataFrame, share: float, again: DataFrame | None = None, slack: float = 0.5) -> DataFrame:

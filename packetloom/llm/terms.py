@@ -30,7 +30,7 @@ def term_counts(records: DataFrame) -> DataFrame:
     marked = F.concat(F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).alias("n"))), each)
     counts = some.select("field", F.explode(marked).alias("x")).groupBy("field", "x.term").agg(F.sum("x.n").alias("n_occurrences"), F.count(F.lit(1)).alias("n_records"))
     fields = counts.where(F.col("term").isNull()).select("field", F.col("n_records").alias("n_with_terms"))
-    return counts.where(F.col("term").isNotNull()).join(F.broadcast(fields), "field")  # one row for each of few fields
+    return counts.where(F.col("term").isNotNull()).join(fields, "field")
 
 
 def mark_terms(counts: DataFrame, rare: int = 2, common: tuple[int, int] = (1, 2)) -> DataFrame:
