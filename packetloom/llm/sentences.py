@@ -171,6 +171,7 @@ def _closing(block: str, at: int, mark: str) -> tuple[str, str]:
             prior = _WORD_BEFORE.search(gap.rstrip()[:-1])[0]
             if 0 < len(prior) <= 3:
                 return f"{prior}.{word}".lower(), word
+    word = word[max(word.rfind("'"), word.rfind("’")) + 1 :]  # l'art.
     return word.lower().strip("."), word
 
 
