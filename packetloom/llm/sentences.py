@@ -169,8 +169,9 @@ def _closing(block: str, at: int, mark: str) -> tuple[str, str]:
         gap = block[max(0, at - len(word) - 12) : at - len(word)]
         if gap.rstrip().endswith(".") and gap != gap.rstrip():
             prior = _WORD_BEFORE.search(gap.rstrip()[:-1])[0]
-            if 0 < len(prior) <= 3:
-                return f"{prior}.{word}".lower(), word
+            both = f"{prior}.{word}".lower()
+            if both in NEVER or both in MAYBE:
+                return both, word
     word = word[max(word.rfind("'"), word.rfind("’")) + 1 :]  # l'art.
     return word.lower().strip("."), word
 

@@ -227,8 +227,8 @@ def test_tokens(spark):
 SPLIT = [
     ["Mr. Adlo left.", " Dr. Velm stayed, e.g. at home."], ["The queue closes at 9 a.m.", " eBPF hooks feed it."], ["It begins at 5 p.m. and stops."], ['"Why is it slow?" asked the operator.', " Nobody knew."],
     ["“Keep it,” it says, “or lose it.”", " pcap files are read."], ["Version 4.0.24 drops No. 4.", " Next!"], ["Wait... the probe may be busy.", " Wait...", " The end"], ["(It is optional.)", " See Fig. 8 and sec. 3.14 (cf. notes.md) first."],
-    ["Nr. 31 bleibt leer, d. h. der Puffer schläft.", " Am 3. Mai kam er.", " Es gibt Listen usw.", " Der Zähler hält z. B. zwei."], ["„Warum?“, fragte sie.", " Bitte nicht!"], ["Attention !", " Il affirme : « Le filtre suffit. »", " Voir p. ex. le fichier.", " Il finit à l'art. 250.", " Oui."],
-    ["¿Por qué?", " ¡No!", " «Lleno», dijo la Sra. Belmira, p. ej. en b.txt."], ["В 2019 г. появился узел.", " Это т. е. то.", " «Где?» — спросил он."], ["不要删除！", "“模块在哪里？”工程师问道。", "他说：“先停。再开！”", "很慢……但是可用。"], ["彼は「止めて。早く！」と言った。", "値は99.9である。"],
+    ["Nr. 31 bleibt leer, d. h. der Puffer schläft.", " Am 3. Mai kam er.", " Er braucht 9 ms.", " Nr.\n31 ist frei.", " Es gibt Listen usw.", " Der Zähler hält z. B. zwei."], ["„Warum?“, fragte sie.", " Bitte nicht!"], ["Attention !", " Il affirme : « Le filtre suffit. »", " Voir p. ex. le fichier.", " Il finit à l'art. 250.", " Oui."],
+    ["¿Por qué?", " ¡No!", " «Lleno», dijo la Sra. Belmira, p. ej. en b.txt."], ["В 2019 г. появился узел.", " Равно 4 мс.", " См. файл a.conf.", " Это т. е. то.", " «Где?» — спросил он."], ["不要删除！", "“模块在哪里？”工程师问道。", "他说：“先停。再开！”", "很慢……但是可用。"], ["彼は「止めて。早く！」と言った。", "値は99.9である。"],
     ["मान 3.14 मि.से. है।", " इसे मत हटाओ!"], ["قال: «ممتلئ».", " لماذا ينتظر؟", " لا."], ["ፋይሉን ይመልከቱ።", " ለምን?"], ["Γιατί περιμένει;", " Δείτε π.χ. αυτό· τέλος."], ["ตัวนับเต็ม", " มี 90 งานรออยู่", " โปรดอย่าลบ"], ["one\ntwo wraps.", "\nThree"],
 ]
 
