@@ -201,6 +201,14 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return out.select("source", "target_share", "size", "planned_share", "met", F.coalesce("most_copies", F.lit(0)).alias("most_copies"), F.coalesce(F.col("taken") / F.col("all_taken"), F.lit(0.0)).alias("actual_share"))
 
 
+#: Sizes are UTF-8 bytes here; the margins are wide enough for these and tokens to give the same rows.
+_P8 = """
+with s as (select lower(trim(source)) k, sum(strlen(text)) n from documents where source is not null group by 1),
+t as (select source, lower(trim(source)) k, target_share, max_repeats from mix_targets),
+a as (select sum(n) total from s where k in (select k from t))
+select t.source from t left join s using (k), a where max_repeats * coalesce(n, 0) < target_share * total
+"""
+
 # Problem 9
 
 
@@ -228,4 +236,5 @@ SQL = {
     "p3_percentiles": _P3,
     "p6_found": f"select field, term, mark from ({_P6}) where mark is not null",
     "p6_terms": _P6,
+    "p8_found": _P8,
 }
