@@ -72,6 +72,7 @@ def blocks(text: str) -> Iterator[tuple[int, int, str]]:
     start = end = None
     listed: int | None = None  # number of the list item that is open, 0 for a bullet
     fence = None
+    underlined = -1  # the line that underlines a heading
     for k, (at, line) in enumerate(lines):
         bare = line.strip(" \t﻿​\xa0　\f\v")
         if fence:
@@ -81,7 +82,8 @@ def blocks(text: str) -> Iterator[tuple[int, int, str]]:
             continue
         m = _FENCE.match(line)
         rule = _RULE.match(line)
-        if m and not (m[1][0] == "~" and start is not None and rule) and not ("`" in m[2] and m[1][0] == "`"):
+        # a line of ~ under a heading that was just taken is its underline and opens no fence
+        if m and not (m[1][0] == "~" and rule and (start is not None or underlined == k)) and not ("`" in m[2] and m[1][0] == "`"):
             if start is not None:
                 yield start, end, "text"
                 start = None
@@ -105,7 +107,7 @@ def blocks(text: str) -> Iterator[tuple[int, int, str]]:
                 yield start, end, "text"
                 start = None
             yield at, at + len(line), "head"
-            listed = None
+            listed, underlined = None, k + 1 if under else -1
             continue
         if item:
             number = int(item[2]) if item[2] else 0

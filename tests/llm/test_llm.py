@@ -250,6 +250,12 @@ def test_blocks():
     text = "\ufeffFirst line.\r\nSecond\r\n\r\nThird"
     assert [text[a:b] for a, b in sentences.sentences(text)] == ["First line.", "Second", "Third"]
     assert sentences.sentences("\ufeff# Title\n\n\ufeffx") == [(3, 8), (11, 12)]
+    for mark in "=-~":
+        for gap in ("\n", "\n\n"):
+            text = f"Title\n{mark * 5}{gap}One here. Two here."
+            assert [text[a:b] for a, b in sentences.sentences(text)] == ["Title", "One here.", "Two here."]
+    text = "Title\n~~~~~\n\n~~~\ncode. Here\n~~~\nAfter."
+    assert [text[a:b] for a, b in sentences.sentences(text)] == ["Title", "After."]
     assert sentences.sentences("") == sentences.sentences(None) == sentences.sentences("--- !!! ...") == []
     assert len(sentences.sentences("A fine day. " * 20000)) == 20000
 
