@@ -14,6 +14,7 @@ import __spark_entry__ as entry
 from packetloom.llm import distinct, heavy_hitters, leaks, mixing, percentiles, sentences, terms
 from tests.compare import rows_of, rows_of_sql
 from tests.conftest import DATA
+from tests.llm import planted
 
 # Problem 1
 
@@ -260,6 +261,48 @@ def test_blocks():
     assert len(sentences.sentences("A fine day. " * 20000)) == 20000
 
 
+#: Kinds of places, and what depends on more than a few characters around one.
+JOINT = [
+    ["See Dr." + " " * 500 + "Smith now."], ["He met Dr.\n" + " " * 90 + "Smith."], ["Plan B.", " Then go."], ["item a.", " More."], ["He left.", " — She stayed."], ["Done.", " -5 is next."], ["J. Smith left."], ["John F. Kennedy spoke.", " He left."],
+    ["It ends.", ' "Stop it." he said.', " Next."], ['"' + "Very long. " * 300 + 'End." he said.', " Next."], ["He said: “" + "Long. " * 400 + "End.”", " Next."], ["मैं जाता हूँ.", " वह आता है."], ["वह है।", " डॉ. राव आए।"],
+]
+
+
+@pytest.mark.parametrize("parts", JOINT)
+def test_sentences_joint(parts):
+    test_sentences(parts)
+
+
+def test_planted():
+    languages, kinds = planted.measured()
+    assert len(languages) >= 20
+    for name, (true, found, both) in languages.items():
+        assert both >= 0.95 * true and both >= 0.98 * found, name
+    assert {k for k, (true, both) in kinds.items() if both < 0.97 * true} <= {"label"}
+
+
+def test_numbered_line_after_long_line():
+    long = "word " * 60
+    assert len(sentences.sentences(f"{long}\n1) one\n2) two")) == 1
+    assert len(sentences.sentences(f"{long}end:{chr(0x201d) * 50}\n1) one\n2) two")) == 3
+
+
+def test_linear():
+    for text in ("a. " * 5000, '"a. ' * 5000, "(" * 20000 + "x. " * 2000 + "]" * 20000, "QWxhZGRp/+." * 5000 + " End.", "3. " * 5000, "!? " * 5000):
+        sentences.sentences(text)
+
+
+def test_learn(spark):
+    said = ["Mamy xyzq. dwa psy.", "To xyzq. jest test.", "Dom stoi. Pies bury."] * 40
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(said)], "doc_id bigint, text string, n string")
+    known = sentences.learn(df, 1 / 1000)
+    assert "xyzq" in known.abbreviations and "psy" not in known.abbreviations
+    assert sentences.sentences("Widzi xyzq. kota.", known) == [(0, 17)] and len(sentences.sentences("Widzi xyzq. kota.")) == 2
+    assert sentences.learn(df.limit(0)) == sentences.learn(df.select(F.lit(None).cast("string").alias("text"))) == sentences.NOTHING
+    got = {(x.doc_id, x.start_char) for x in sentences.split_sentences(df.limit(3), known=known).collect()}
+    assert got == {(0, 0), (1, 0), (2, 0), (2, 10)}
+
+
 def test_split_table(spark):
     df = spark.createDataFrame([(1, "A one. A two.", 5), (1, "A one. A two.", 5), (2, None, 5), (3, "", 5)], "doc_id bigint, text string, start_char int")
     assert sorted((x.doc_id, x.start_char) for x in sentences.split_sentences(df).collect()) == [(1, 0), (1, 0), (1, 7), (1, 7)]
