@@ -54,14 +54,18 @@ _P2_KEYS, _P2_MEMBERS, _P2_COMBINATIONS = ["day", "dst_addr"], [6, 17], {"6": [6
 
 
 def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """The mergeable partial result: destinations of a day with each of their sources."""
+    """Destinations of a day with each of their sources, and the protocols it used (1: 6, 2: 17)."""
+    return _pairs(spark, d).drop("bucket")
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
     packets = table(spark, d, "packets").select(day("ts").alias("day"), "dst_addr", "proto", "src_addr")
     return distinct.pairs(packets, "src_addr", _P2_KEYS, F.col("proto"), _P2_MEMBERS)
 
 
 def p2_sources(spark: SparkSession, d: str) -> DataFrame:
     """Distinct sources of every destination, by day, for each protocol and for both."""
-    return distinct.distinct_counts(p2_pairs(spark, d), _P2_KEYS, _P2_MEMBERS, _P2_COMBINATIONS).withColumnRenamed("combination", "proto")
+    return distinct.distinct_counts(_pairs(spark, d), _P2_KEYS, _P2_MEMBERS, _P2_COMBINATIONS).withColumnRenamed("combination", "proto")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -74,6 +78,11 @@ from packets where dst_addr is not null and src_addr is not null and ts is not n
 group by grouping sets ((strftime(ts, '%Y-%m-%d'), dst_addr, proto), (strftime(ts, '%Y-%m-%d'), dst_addr))
 """
 
+_P2_PAIRS = """
+select strftime(ts, '%Y-%m-%d') as day, dst_addr, src_addr, bit_or(case proto when 6 then 1 else 2 end)::bigint mask
+from packets where dst_addr is not null and src_addr is not null and ts is not null and proto in (6, 17) group by all
+"""
+
 # Problem 3
 
 _P3_KEYS = ["metric", "day", "service"]
@@ -232,6 +241,7 @@ SQL = {
     "p1_found": _P1,
     "p2_found": f"select day, dst_addr, proto from ({_P2}) where n_distinct >= 30",
     "p2_sources": _P2,
+    "p2_pairs": _P2_PAIRS,
     "p3_found": f"select metric, day, service from ({_P3}) where value >= case metric when 'byte_count_p90' then 1000000 when 'pkt_count_p50' then 20 else 50000000 end",
     "p3_percentiles": _P3,
     "p6_found": f"select field, term, mark from ({_P6}) where mark is not null",

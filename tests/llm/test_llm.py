@@ -65,6 +65,17 @@ def test_distinct(spark):
             want[d, str(p)].add(s)
             want[d, "*"].add(s)
     assert got == {k: len(v) for k, v in want.items()}
+    # ranges of buckets one after the other
+    combos = {"6": [6], "17": [17], "*": [6, 17]}
+    ranges = [distinct.bucket_counts(distinct.pairs(df, "src", ["day"], F.col("proto"), [6, 17], 16, r), ["day"], [6, 17], combos) for r in ((0, 5), (5, 16))]
+    assert {(x.day, x.combination): x.n_distinct for x in distinct.add_counts(ranges, ["day"], combos).collect()} == got
+    held, distinct._HELD = distinct._HELD, 100
+    hot = spark.createDataFrame([("d", 6, 1)] * 5000, "day string, proto int, src int")
+    plan = distinct.distinct_counts(distinct.pairs(hot, "src", ["day"], F.col("proto"), [6]), ["day"], [6], {"6": [6]})
+    distinct._HELD = held
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 2 and text.count("Exchange hashpartitioning(bucket") == 1
+    assert [x.n_distinct for x in plan.collect()] == [1]
     assert distinct.pairs(df.limit(0), "src", ["day"], F.col("proto"), [6]).count() == 0
     with pytest.raises(ValueError):
         distinct.pairs(df, "src", ["day"], F.col("proto"), [])
@@ -312,7 +323,7 @@ def test_split_table(spark):
 # Queries
 
 
-@pytest.mark.parametrize("name", ["p1_found", "p2_found", "p2_sources", "p3_found", "p3_percentiles", "p6_found", "p6_terms"])
+@pytest.mark.parametrize("name", ["p1_found", "p2_found", "p2_sources", "p2_pairs", "p3_found", "p3_percentiles", "p6_found", "p6_terms"])
 def test_queries(spark, duck, name):
     assert rows_of(entry.queries()[name](spark, DATA)) == rows_of_sql(duck, entry.oracle_sql()[name])
 
