@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from packetloom.plans.staging import stage
+
 # Words that add weight, in lower case.
 #: Titles, written with a capital: stand before a name.
 TITLES = frozenset("Mr Mrs Ms Mx Dr Prof St".split())
@@ -551,7 +553,7 @@ def learn(documents: DataFrame, share: float = SHARE) -> Statistics:
     letter, a comma or a digit follows); a word opens sentences if it is capital after dots but small inside sentences.
     Only types with `share` of all dots count, at most 1 / share of each, which bounds what reaches driver and tasks.
     """
-    counts = _counted(documents, _stops)
+    counts = stage(_counted(documents, _stops), "stops")
     total = F.sum(F.when(F.col("kind") == "all", F.col("n")))
     wide = counts.groupBy("term").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(k) for k in ("dot", "on", "digit", "opens")], total.alias("all_"))
     n_dots = counts.where("kind = 'all'").agg(F.sum("n").alias("n")).collect()[0]["n"] or 0
