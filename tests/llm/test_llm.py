@@ -191,6 +191,58 @@ def test_leaks(spark):
     assert leaks.leaks(df.limit(0), ev).count() == 0 and leaks.leaks(df, ev.limit(0)).count() == 0
 
 
+def test_leaks_shared_passages(spark):
+    """Items made of segments that others hold too, in other orders: only a look at whole runs can tell what is their own."""
+    r = random.Random(11)
+    segments = [_vocabulary(r, n) for n in (9, 14, 20, 13, 17, 8)]
+    items = {i: sum((segments[k] for k in r.sample(range(6), r.choice([2, 3]))), []) for i in range(40)}
+    items[40] = segments[2] + _vocabulary(r, 5)  # own windows that begin in what others share
+    docs = {}
+    for n in range(120):
+        ws = items[r.randrange(41)]
+        a = r.randrange(len(ws) - 13)
+        cut = ws[a : a + r.randrange(12, 32)]
+        docs[n] = _vocabulary(r, 3) + cut + (["x"] if n % 3 else ws[a + 20 : a + 40])
+    df = spark.createDataFrame([(i, " ".join(ws)) for i, ws in docs.items()], "doc_id bigint, text string")
+    ev = spark.createDataFrame([(i, " ".join(ws)) for i, ws in items.items()], "item_id bigint, text string")
+    text = {i: f" {' '.join(ws)} " for i, ws in items.items()}
+    want = set()
+    for d, ws in docs.items():
+        whole = f" {' '.join(ws)} "
+        for i, own in items.items():
+            for a in range(len(own) - 12):
+                b = a + 13
+                if f" {' '.join(own[a:b])} " not in whole:
+                    continue
+                while b < len(own) and f" {' '.join(own[a : b + 1])} " in whole:
+                    b += 1
+                if not any(f" {' '.join(own[a:b])} " in t for j, t in text.items() if j != i):
+                    want.add((d, i))
+    rows = leaks.leaks(df, ev).collect()
+    assert {(x.doc_id, x.item_id) for x in rows if x.own} == want and len(want) > 20
+    assert {(x.doc_id, x.item_id) for x in leaks.leaks(df, ev, block_bytes=300).collect() if x.own} == want
+    # a passage that many items open with makes one row a document, for the least of them
+    ev = spark.createDataFrame([(i, " ".join(segments[2] + _vocabulary(r, 20))) for i in range(3, 300)], "item_id bigint, text string")
+    got = leaks.leaks(spark.createDataFrame([(1, " ".join(segments[2]))], "doc_id bigint, text string"), ev).collect()
+    assert [(x.item_id, x.run, x.own) for x in got] == [(3, 20, False)]
+    assert {x.item_id for x in leaks.passages(ev).collect()} == set(range(3, 300))
+
+
+def test_leaks_markup(spark):
+    ws = [f"w{i}" for i in range(20)]
+    ev = spark.createDataFrame([(1, " ".join(ws))], "item_id bigint, text string")
+    fill = " ".join(f"a{i}: b;" for i in range(200))
+    texts = {
+        1: f"{' '.join(ws[:5])} <span style=\"{fill}\">{' '.join(ws[5:13])}</span>", 2: f"<span style='{'x' * 5000}'>{' '.join(ws[:13])}</span>", 3: f"<p title=\"{' '.join(ws[3:16])}\">no</p>", 4: f"if a <b {' '.join(ws[:13])} and c > d",
+        5: " ".join(ws[:7] + ["not"] + ws[8:19]), 6: " ".join(ws[:12]), 7: " ".join(ws[7:14]),
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {x.doc_id: (x.distance, x.run, x.own) for x in leaks.leaks(df, ev).collect()}
+    assert {d for d, (_, _, own) in got.items() if own} == {1, 2, 3, 4}
+    assert got[5] == (2, 0, False)  # a piece is exact and the item is within its budget, but no run is long enough
+    assert 6 not in got and 7 not in got
+
+
 # Problem 8
 
 
