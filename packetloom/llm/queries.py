@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from packetloom.llm import distinct, heavy_hitters, leaks, mixing, percentiles, sentences, terms
@@ -187,27 +188,37 @@ def _sized(spark: SparkSession, d: str) -> DataFrame:
     return mixing.with_tokens(docs.join(listed, mixing.source_key(F.col("source")) == F.col("__k"), "left_semi"))
 
 
+def p8_met(spark: SparkSession, d: str) -> DataFrame:
+    """Every target with whether the raked and capped weights come to it."""
+    mix = mixing.plan_mixture(_sized(spark, d), table(spark, d, "mix_targets"))
+    return spark.createDataFrame([(r["source"], r["target_share"], r["met"]) for r in mix.sources], "source string, target_share double, met boolean")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    report, _ = mixing.plan_mixture(_sized(spark, d), table(spark, d, "mix_targets"))
-    return spark.createDataFrame([(r["source"],) for r in report if not r["met"]], "source string")
+    return p8_met(spark, d).where("not met").select("source")
 
 
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
     """Documents taken for the mixture, with the number of copies."""
     sized = stage(_sized(spark, d), "p8_sized")
-    _, weights = mixing.plan_mixture(sized, table(spark, d, "mix_targets"))
-    return mixing.take(sized, weights)
+    return mixing.take(sized, mixing.plan_mixture(sized, table(spark, d, "mix_targets")).weights)
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    """Target, planned and actual share of each listed source."""
+    """Target, planned and actual share of each listed source, and of each language and topic among what is listed."""
     sized = stage(_sized(spark, d), "p8_sized")
-    report, weights = mixing.plan_mixture(sized, table(spark, d, "mix_targets"))
-    got = mixing.take(sized, weights).groupBy(mixing.source_key(F.col("source")).alias("k")).agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("taken"), F.max("copies").alias("most_copies"))
-    total = got.agg(F.sum("taken").alias("all_taken"))
-    plan = spark.createDataFrame([(r["source"], r["target_share"], r["size"], r["planned_share"], r["met"]) for r in report], "source string, target_share double, size bigint, planned_share double, met boolean")
-    out = plan.join(got, mixing.source_key(F.col("source")) == F.col("k"), "left").crossJoin(F.broadcast(total))  # one row of totals
-    return out.select("source", "target_share", "size", "planned_share", "met", F.coalesce("most_copies", F.lit(0)).alias("most_copies"), F.coalesce(F.col("taken") / F.col("all_taken"), F.lit(0.0)).alias("actual_share"))
+    mix = mixing.plan_mixture(sized, table(spark, d, "mix_targets"))
+    met = {r["source"]: r["met"] for r in mix.sources}
+    taken = stage(mixing.take(sized, mix.weights).groupBy(mixing.source_key(F.col("source")).alias("k"), "lang", "topic").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("taken"), F.max("copies").alias("most_copies")), "p8_taken")
+    parts = [taken.groupBy(F.lit(m).alias("marginal"), F.col(c).alias("v")).agg(F.sum("taken").alias("taken"), F.max("most_copies").alias("most_copies")) for m, c in (("source", "k"), ("lang", "lang"), ("topic", "topic"))]
+    got = parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumnRenamed("marginal", "m")
+    # one row for each target, language and topic
+    asked = spark.createDataFrame([("source", k, float(r["size"]), float(r["target"]), float(r["planned"])) for k, r in {(r["source"] or "").strip().lower(): r for r in mix.sources}.items()], "marginal string, value string, size double, target double, planned double")
+    rows = asked.unionByName(mix.marginals.where("marginal <> 'source'"))
+    out = rows.join(got, (F.col("marginal") == F.col("m")) & F.col("value").eqNullSafe(F.col("v")), "left")
+    share = lambda c: F.coalesce(F.col(c) / F.sum(c).over(W.partitionBy("marginal")), F.lit(0.0))  # noqa: E731 a row a value
+    unmet = [k.strip().lower() for k, ok in met.items() if k and not ok]
+    return out.select("marginal", "value", F.col("size").cast("bigint").alias("size"), share("target").alias("target_share"), share("planned").alias("planned_share"), share("taken").alias("actual_share"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), (~((F.col("marginal") == "source") & F.col("value").isin(unmet))).alias("met"))
 
 
 #: Sizes are UTF-8 bytes here; the margins are wide enough for these and tokens to give the same rows.
@@ -215,7 +226,7 @@ _P8 = """
 with s as (select lower(trim(source)) k, sum(strlen(text)) n from documents where source is not null group by 1),
 t as (select source, lower(trim(source)) k, target_share, max_repeats from mix_targets),
 a as (select sum(n) total from s where k in (select k from t))
-select t.source from t left join s using (k), a where max_repeats * coalesce(n, 0) < target_share * total
+select t.source, target_share, coalesce(max_repeats * coalesce(n, 0) >= target_share * total, true) met from t left join s using (k), a
 """
 
 # Problem 9
@@ -234,7 +245,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found, "p1_frequent": p1_frequent, "p2_found": p2_found, "p2_sources": p2_sources, "p2_pairs": p2_pairs,
     "p3_found": p3_found, "p3_percentiles": p3_percentiles, "p3_bounds": p3_bounds, "p6_found": p6_found, "p6_terms": p6_terms,
-    "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_mixture": p8_mixture, "p8_shares": p8_shares,
+    "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_met": p8_met, "p8_mixture": p8_mixture, "p8_shares": p8_shares,
     "p9_found": p9_found, "p9_sentences": p9_sentences,
 }
 SQL = {
@@ -246,5 +257,6 @@ SQL = {
     "p3_percentiles": _P3,
     "p6_found": f"select field, term, mark from ({_P6}) where mark is not null",
     "p6_terms": _P6,
-    "p8_found": _P8,
+    "p8_found": f"select source from ({_P8}) where not met",
+    "p8_met": _P8,
 }

@@ -249,10 +249,15 @@ def test_leaks_markup(spark):
 def test_rake():
     sizes = np.array([10.0, 30, 20, 40])
     rows, cols = np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1])
-    w = mixing.rake(sizes, [(rows, np.array([60.0, 40])), (cols, np.array([50.0, 50]))])
-    assert np.allclose(np.bincount(rows, w * sizes), [60, 40]) and np.allclose(np.bincount(cols, w * sizes), [50, 50])
-    w = mixing.capped(np.array([10.0, 10, 80]), np.array([5.0, 1, 1]), 2, 120)
+    got = mixing.rake(sizes, [(rows, np.array([60.0, 40])), (cols, np.array([50.0, 50]))])
+    w = got.weights
+    assert got.settled and np.allclose(np.bincount(rows, w * sizes), [60, 40]) and np.allclose(np.bincount(cols, w * sizes), [50, 50])
+    group = np.zeros(3, int)
+    w = mixing.capped(np.array([10.0, 10, 80]), np.array([5.0, 1, 1]), group, np.array([2.0]), np.array([120.0]))
     assert w.max() <= 2 + 1e-9 and np.isclose((w * [10, 10, 80]).sum(), 120)
+    assert mixing.capped(np.array([1.0, 2]), np.array([1.0, 1]), np.zeros(2, int), np.array([3.0]), np.array([99.0])).tolist() == [3, 3]
+    # 0.1 of the rows can't be brought to a half without the caps of the columns: it says so
+    assert not mixing.rake(sizes, [(rows, np.array([60.0, 40])), (cols, np.array([50.0, 50]))], rounds=1).settled
 
 
 def test_mixture(spark):
@@ -260,24 +265,35 @@ def test_mixture(spark):
     docs = [(i, r.choice(["A", " a", "b", "c", None, "z"]), r.choice(["en", "de", None]), r.choice(["x", "y"]), r.randrange(1, 200)) for i in range(4000)]
     df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id bigint, source string, lang string, topic string, n_tokens bigint, copies int").drop("copies")
     targets = spark.createDataFrame([("a ", 0.5, 3), ("B", 0.2, 1), ("c", 0.25, 1), ("absent", 0.05, 9)], "source string, target_share double, max_repeats int")
-    report, weights = mixing.plan_mixture(df, targets)
+    mix = mixing.plan_mixture(df, targets)
     size = Counter()
     for _, s, _, _, n in docs:
         size[(s or "").strip().lower()] += n
     total = size["a"] + size["b"] + size["c"]
-    met = {x["source"]: x["met"] for x in report}
-    assert met == {"a ": 3 * size["a"] >= 0.5 * total, "B": size["b"] >= 0.2 * total, "c": size["c"] >= 0.25 * total, "absent": False}
-    taken = mixing.take(df, weights).collect()
+    met = {x["source"]: x["met"] for x in mix.sources}
+    # what raking and caps come to agrees with the plain comparison of sizes
+    assert met == {"a ": 3 * size["a"] >= 0.5 * total, "B": size["b"] >= 0.2 * total, "c": size["c"] >= 0.25 * total, "absent": False} and mix.settled
+    taken = mixing.take(df, mix.weights).collect()
     got = Counter()
     for x in taken:
         got[x.source.strip().lower()] += x.n_tokens * x.copies
         assert 1 <= x.copies <= {"a": 3, "b": 1, "c": 1}[x.source.strip().lower()]
-    for x in report:
-        key = x["source"].strip().lower()
-        assert abs(got[key] / sum(got.values()) - x["planned_share"]) < 0.03
-    empty, none = mixing.plan_mixture(df.limit(0), targets)
-    assert all(x["size"] == 0 and x["met"] for x in empty) and not none
-    assert mixing.plan_mixture(df, targets.limit(0)) == ([], [])
+    planned = {(x.marginal, x.value): (x.size, x.target, x.planned) for x in mix.marginals.collect()}
+    for k in "abc":
+        assert abs(got[k] / sum(got.values()) - planned["source", k][2] / sum(planned["source", j][2] for j in "abc")) < 0.03
+    reach = sum(planned["source", j][2] for j in "abc")
+    for v in ("en", "de", None):
+        assert abs(planned["lang", v][2] - planned["lang", v][0] / total * reach) < 1e-3 * total
+    # as a table, by the same steps
+    wide = mixing.plan_mixture(df, targets, most_cells=3)
+    key = lambda m: {(x.k, x.lang, x.topic): x.w for x in m.weights.collect()}
+    a, b = key(mix), key(wide)
+    assert wide.settled and a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-4 for k in a)
+    assert [x["met"] for x in wide.sources] == [x["met"] for x in mix.sources]
+    empty = mixing.plan_mixture(df.limit(0), targets)
+    assert all(x["size"] == 0 and x["met"] for x in empty.sources) and empty.weights.count() == 0
+    none = mixing.plan_mixture(df, targets.limit(0))
+    assert none.sources == [] and none.weights.count() == 0
 
 
 def test_tokens(spark):
@@ -375,7 +391,7 @@ def test_split_table(spark):
 # Queries
 
 
-@pytest.mark.parametrize("name", ["p1_found", "p2_found", "p2_sources", "p2_pairs", "p3_found", "p3_percentiles", "p6_found", "p6_terms"])
+@pytest.mark.parametrize("name", ["p1_found", "p2_found", "p2_sources", "p2_pairs", "p3_found", "p3_percentiles", "p6_found", "p6_terms", "p8_found", "p8_met"])
 def test_queries(spark, duck, name):
     assert rows_of(entry.queries()[name](spark, DATA)) == rows_of_sql(duck, entry.oracle_sql()[name])
 
@@ -385,6 +401,8 @@ def test_found_columns(spark):
     for n, cols in want.items():
         assert set(entry.queries()[f"{n}_found"](spark, DATA).columns) == cols
     shares = entry.queries()["p8_shares"](spark, DATA).collect()
-    assert abs(sum(x.actual_share for x in shares) - 1) < 1e-9
+    for m in ("source", "lang", "topic"):
+        for c in ("target_share", "planned_share", "actual_share"):
+            assert abs(sum(x[c] for x in shares if x.marginal == m) - 1) < 1e-9
     unmet = {x.source for x in entry.queries()["p8_found"](spark, DATA).collect()}
-    assert unmet == {x.source for x in shares if not x.met}
+    assert unmet == {x.value for x in shares if not x.met}
