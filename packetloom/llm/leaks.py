@@ -351,8 +351,9 @@ def leaks(documents: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES
     docs = documents.select(F.col("doc_id").cast("bigint"), "text").where(F.col("text").isNotNull())
     schema = "doc_id bigint, item_id bigint, distance int, run int, start int, own boolean"
     worded = stage(_worded(items.select("item_id", "text")).dropDuplicates(["item_id"]), "items")
+    prepared = stage(_prepared(worded), "shared")
     out, unsure = None, False
-    for block in _blocks(stage(_prepared(worded), "shared"), block_bytes):
+    for block in _blocks(prepared, block_bytes):
         unsure = unsure or any(len(x.sets) > 1 for x in block.values())
         sent, token = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
@@ -372,12 +373,15 @@ def leaks(documents: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES
     if out is None:
         return spark.createDataFrame([], schema).drop("start")
     if unsure:
-        out = _decided(stage(out, "leaks"), worded)
+        out = _decided(stage(out, "leaks"), prepared)
     return out.select("doc_id", "item_id", "distance", "run", F.coalesce("own", F.lit(False)).alias("own"))
 
 
-def _decided(found: DataFrame, worded: DataFrame) -> DataFrame:
-    """found with own filled in where only windows that others share make up a run: whether another item holds it whole."""
+def _decided(found: DataFrame, prepared: DataFrame) -> DataFrame:
+    """found with own filled in where only windows that others share make up a run: whether another item holds it whole.
+
+    An item can hold such a run only where it shares windows itself, so no other places are looked at.
+    """
     asked = found.where("own is null and run > 0").select("item_id", "start", "run").distinct()
     # lengths of runs, at most as many as the longest item has words
     lengths = sorted(r["run"] for r in asked.select("run").distinct().toLocalIterator())
@@ -386,13 +390,18 @@ def _decided(found: DataFrame, worded: DataFrame) -> DataFrame:
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, ws in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for size in lengths:
-                    n = max(0, len(ws) - size + 1)
-                    if n:
-                        yield pa.RecordBatch.from_arrays([pa.array([i] * n, pa.int64()), pa.array([size] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array([window_hash(ws[k : k + size]) for k in range(n)], pa.int64())], ["item_id", "run", "start", "h"])
-
-    all_ = worded.mapInArrow(whole, "item_id bigint, run int, start int, h bigint")
+            rows = []
+            for i, ws, at in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                shared = set(at)
+                for start in at:
+                    for size in lengths:
+                        if start + size > len(ws) or start + size - RUN not in shared:
+                            continue
+                        rows.append((i, size, start, window_hash(ws[start : start + size])))
+            cols = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int32(), pa.int32(), pa.int64()], strict=True)], ["item_id", "run", "start", "h"])
+
+    all_ = prepared.where(F.size("sets") > 0).select("item_id", "words", F.col("sets.pos").alias("at")).mapInArrow(whole, "item_id bigint, run int, start int, h bigint")
     hashed = asked.join(all_, ["item_id", "run", "start"])
     holders = all_.join(hashed.select("run", "h").distinct(), ["run", "h"]).groupBy("run", "h").agg(F.min("item_id").alias("__a"), F.max("item_id").alias("__b"))
     sole = hashed.join(holders, ["run", "h"]).select("item_id", "run", "start", (F.col("__a") == F.col("__b")).alias("sole"))
