@@ -1,41 +1,94 @@
 """Percentiles per group by radix selection on order-preserving integers.
 
-The first digit of a value is the top FIRST_BITS bits of its floating form, mapped to an integer of the same order: sign,
-exponent and the leading bits of the mantissa. Histograms of that digit are small, add up over partitions and days, and
-give any percentile within a relative error of 2^-(FIRST_BITS - 12). Refining follows only the cell that contains the
-target rank: its values are counted by their next DIGIT_BITS bits within the cell's own range, until every cell holds a
-single value. The result is then exact.
+A floating value is mapped to the integer of the same order that its bits make; an integer is its own. The first digit is
+the leading bits of the value's floating form, sign, exponent and some bits of the mantissa. Histograms of that digit are
+small, add up over partitions and days, and bound any percentile within a relative error of 2^-bits. Selection follows only
+the cell that contains the target rank: its values are counted by their next DIGIT_BITS bits within the cell's own range,
+until every cell holds a single value. The result is then exact.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ByteType, DataType, DoubleType, FloatType, IntegerType, LongType, ShortType
 
 from packetloom.plans.staging import stage
 
-FIRST_BITS, DIGIT_BITS = 20, 16
+#: Mantissa bits of the first digit: of histograms that are kept, and of the first pass of a selection, where fewer make
+#: less to move and leave more for the next pass.
+BITS, FIRST_BITS, DIGIT_BITS = 8, 3, 16
+_TOP = (1 << 63) - 1
+_NAN = int(np.float64("nan").view(np.int64))
 
 
-def first_digit(value: Column) -> Column:
-    """Order-preserving leading bits of the floating form of a BIGINT or DOUBLE."""
-    size = F.abs(value.cast("double"))
-    exponent = F.when(size < 1, F.lit(0)).otherwise(F.floor(F.log2(size)))
-    # log2 may be off by one next to a power of two; the comparison puts that right
-    exponent = F.when(size < 1, 0).when(F.pow(F.lit(2.0), exponent) > size, exponent - 1).when(F.pow(F.lit(2.0), exponent + 1) <= size, exponent + 1).otherwise(exponent).cast("bigint")
-    steps = 1 << (FIRST_BITS - 12)
-    cell = F.when(size < 1, F.floor(size * steps)).otherwise((exponent + 1) * steps + F.floor((size / F.pow(F.lit(2.0), exponent) - 1) * steps)).cast("bigint")
-    return F.when(value < 0, -cell - 1).otherwise(cell)
+def _bits(v: pd.Series) -> pd.Series:
+    """The bits of floating values as integers of the same order. -0.0 is 0.0; NaN is above all else."""
+    x = v.to_numpy(np.float64) + 0.0
+    b = np.where(np.isnan(x), np.float64("nan"), x).view(np.int64)
+    return pd.Series(np.where(b < 0, b ^ _TOP, b))
 
 
-def histogram(values: DataFrame, keys: list[str]) -> DataFrame:
+def _floats(v: pd.Series) -> pd.Series:
+    """The floating values of what _bits() gives."""
+    b = v.to_numpy(np.int64)
+    return pd.Series(np.where(b < 0, b ^ _TOP, b).view(np.float64))
+
+
+def _is_floating(kind: DataType) -> bool:
+    if isinstance(kind, DoubleType | FloatType):
+        return True
+    if isinstance(kind, LongType | IntegerType | ShortType | ByteType):
+        return False
+    raise TypeError(f"percentiles of {kind.simpleString()}: cast to DOUBLE or BIGINT")
+
+
+def ordered(value: Column, kind: DataType) -> Column:
+    """BIGINT of the same order as a floating or integer value; null stays null."""
+    if not _is_floating(kind):
+        return value.cast("bigint")
+    return F.when(value.isNotNull(), pandas_udf(_bits, "bigint")(F.coalesce(value.cast("double"), F.lit(0.0))))
+
+
+def first_digit(key: Column, floating: bool = False, bits: int = BITS) -> Column:
+    """Order-preserving leading bits of the floating form of what ordered() gives."""
+    if floating:
+        return F.shiftright(key, 52 - bits)  # the key has the floating form already
+    size = F.abs(F.greatest(key, F.lit(-_TOP)))
+    two = lambda e: F.call_function("shiftleft", F.lit(1).cast("bigint"), e)
+    guess = F.floor(F.log2(F.greatest(size, F.lit(1)).cast("double"))).cast("int")
+    guess = F.when(guess > 62, 62).otherwise(guess)
+    # log2 of a rounded value may be off by one next to a power of two
+    exponent = F.when(two(guess) > size, guess - 1).when((guess < 62) & (F.call_function("shiftright", size, guess) >= 2), guess + 1).otherwise(guess)
+    cell = F.when(size < (1 << bits), size).otherwise((exponent - bits) * (1 << bits) + F.call_function("shiftright", size, exponent - bits))
+    return F.when(key < 0, -cell - 1).otherwise(cell).cast("bigint")
+
+
+def _keyed(values: DataFrame, keys: list[str], more: list[str] | None = None) -> tuple[DataFrame, bool]:
+    """__k0, __k1, ... for the keys, __v, the ordered integer of value, and the columns more; nulls left out."""
+    kind = values.schema["value"].dataType
+    cols = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
+    return values.where(F.col("value").isNotNull()).select(*cols, *(more or []), ordered(F.col("value"), kind).alias("__v")), _is_floating(kind)
+
+
+def histogram(values: DataFrame, keys: list[str], bits: int = BITS) -> DataFrame:
     """The mergeable partial result: keys, digit, n, low, high (the least and greatest value of the cell).
 
-    values has keys and value BIGINT; null values don't count, null keys form a group of their own.
+    values has keys and value, BIGINT or DOUBLE (or of a smaller kind); null values don't count, null keys form a group of
+    their own. Histograms of floating and of integer values are not to be merged.
     """
-    v = values.where(F.col("value").isNotNull())
-    return v.groupBy(*keys, first_digit(F.col("value")).alias("digit")).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+    v, floating = _keyed(values, keys)
+    out = v.groupBy(*[F.col(f"__k{i}").alias(k) for i, k in enumerate(keys)], first_digit(F.col("__v"), floating, bits).alias("digit")).agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("low"), F.max("__v").alias("high"))
+    return _restored(out, ["low", "high"], floating)
+
+
+def _restored(df: DataFrame, columns: list[str], floating: bool) -> DataFrame:
+    # pandas would make null of NaN
+    return df.withColumns({c: F.when(F.col(c) == _NAN, F.lit(float("nan"))).otherwise(pandas_udf(_floats, "double")(c)) for c in columns}) if floating else df
 
 
 def merge_histograms(parts: list[DataFrame], keys: list[str]) -> DataFrame:
@@ -46,13 +99,13 @@ def merge_histograms(parts: list[DataFrame], keys: list[str]) -> DataFrame:
 
 
 def _target(cells: DataFrame, keys: list[str], rank: Column) -> DataFrame:
-    """The cell of each group in which the rank lies, with the rank within it."""
+    """The cell of each group in which the rank lies, with the count before it."""
     before = F.sum("n").over(W.partitionBy(*keys).orderBy("digit").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")
     c = cells.withColumn("before", before)
     return c.where((rank > F.col("before")) & (rank <= F.col("before") + F.col("n")))
 
 
-def locate(cells: DataFrame, keys: list[str], quantiles: DataFrame | dict[str, tuple[int, int]], by: str | None = None) -> DataFrame:
+def locate(cells: DataFrame, keys: list[str], quantiles: dict[str, tuple[int, int]], by: str | None = None) -> DataFrame:
     """Cells of the wanted ranks: keys, q, total, rank (within the cell), low, high, n.
 
     quantiles: share as (numerator, denominator) for each label, all of them for every group; with `by`, the label is
@@ -68,37 +121,47 @@ def locate(cells: DataFrame, keys: list[str], quantiles: DataFrame | dict[str, t
     return found.select(*keys, "q", "total", (F.col("rank0") - F.col("before")).alias("rank"), "low", "high", "n")
 
 
-def percentiles(values: DataFrame, keys: list[str], quantiles: dict[str, tuple[int, int]], by: str | None = None, most_passes: int = 6) -> DataFrame:
+def percentiles(values: DataFrame, keys: list[str], quantiles: dict[str, tuple[int, int]], by: str | None = None, again: DataFrame | None = None) -> DataFrame:
     """Exact percentiles: keys, q, value, total. The percentile q is the least value with at least the share q of the
-    values not above it. A group without values has no row. values is read once for each pass (2 or 3 as a rule): pass a
-    staged table if it is costly to make.
+    values not above it. A group without values has no row; null values don't count, null keys form a group of their own.
+
+    values is read twice: for the first histogram, and for the values of the cells it leaves open, which alone are written
+    and read again by later passes. again: the rows of the second reading, with one more column, rid, that tells
+    occurrences apart; rows equal in all of these are one. It spares dropping copies of all rows a second time, as the
+    cells' values are picked out first. Keys must not be called value or rid; other columns are ignored.
     """
-    at = stage(locate(histogram(values, keys), keys, quantiles, by), "radix")
+    ks = [f"__k{i}" for i in range(len(keys))]
+    v, floating = _keyed(values, keys)
+    cells = v.groupBy(*ks, first_digit(F.col("__v"), floating, FIRST_BITS).alias("digit")).agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("low"), F.max("__v").alias("high"))
+    at = stage(locate(cells, ks, quantiles, ks[keys.index(by)] if by else None), "radix")
     done: list[DataFrame] = []
-    v = values.where(F.col("value").isNotNull()).select(*keys, "value")
-    for _ in range(most_passes):
-        done.append(at.where("low = high").select(*keys, "q", F.col("low").alias("value"), "total"))
+    rest: DataFrame | None = None  # the values of open cells, once they are written
+    while True:
+        done.append(at.where("low = high").select(*ks, "q", F.col("low").alias("value"), "total"))
         open_ = at.where("low < high")
         if open_.isEmpty():
             break
-        names = {k: f"__k{i}" for i, k in enumerate(keys)}
-        cell = open_.select(*[F.col(k).alias(n) for k, n in names.items()], "q", "total", "rank", "low", "high")
-        # digits of the cell's own range: the shift leaves DIGIT_BITS of it; wide ranges overflow BIGINT, so halves are taken
+        # digits of the cell's own range: the shift leaves DIGIT_BITS of it; a range wider than BIGINT is taken by its halves
         width = F.length(F.bin(F.expr("cast(high as decimal(20,0)) - cast(low as decimal(20,0))").cast("bigint")))
-        cell = cell.withColumn("shift", F.when(F.expr("cast(high as decimal(20,0)) - cast(low as decimal(20,0)) > 9223372036854775807"), 64 - DIGIT_BITS).otherwise(F.greatest(F.lit(0), width - DIGIT_BITS)).cast("int"))
-        cond = F.col("value").between(F.col("low"), F.col("high"))
-        for k, n in names.items():
-            cond = cond & F.col(k).eqNullSafe(F.col(n))
-        digit = F.expr("case when shift = 48 then shiftright(value, 48) - shiftright(low, 48) else shiftright(value - low, shift) end")
-        inside = v.join(cell, cond).select(*keys, "q", "total", "rank", digit.alias("digit"), "value")
-        cells = inside.groupBy(*keys, "q", "total", "rank", "digit").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
-        at = stage(_target(cells, [*keys, "q"], F.col("rank")).select(*keys, "q", "total", (F.col("rank") - F.col("before")).alias("rank"), "low", "high", "n"), "radix")
-    else:
-        raise RuntimeError("cells left open")  # each pass takes DIGIT_BITS of at most 64
+        wide = F.expr("cast(high as decimal(20,0)) - cast(low as decimal(20,0)) > 9223372036854775807")
+        cell = open_.select(*[F.col(k).alias(f"{k}c") for k in ks], "q", "total", "rank", "low", "high", F.when(wide, 64 - DIGIT_BITS).otherwise(F.greatest(F.lit(0), width - DIGIT_BITS)).cast("int").alias("shift"))
+        cond = F.col("__v").between(F.col("low"), F.col("high"))
+        for k in ks:
+            cond = cond & F.col(k).eqNullSafe(F.col(f"{k}c"))
+        if rest is None:
+            more = ["rid"] if again is not None else []
+            source = _keyed(again, keys, more)[0] if again is not None else v
+            met = source.join(cell.select(*[f"{k}c" for k in ks], "low", "high").distinct(), cond).select(*ks, *more, "__v")
+            rest = stage((met.distinct() if more else met).select(*ks, "__v"), "open")
+        digit = F.expr("case when shift = 48 then shiftright(__v, 48) - shiftright(low, 48) else shiftright(__v - low, shift) end")
+        inside = rest.join(cell, cond).select(*ks, "q", "total", "rank", digit.alias("digit"), "__v")
+        counted = inside.groupBy(*ks, "q", "total", "rank", "digit").agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("low"), F.max("__v").alias("high"))
+        at = stage(_target(counted, [*ks, "q"], F.col("rank")).select(*ks, "q", "total", (F.col("rank") - F.col("before")).alias("rank"), "low", "high", "n"), "radix")
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
-    return out
+    out = _restored(out, ["value"], floating)
+    return out.select(*[F.col(k).alias(name) for k, name in zip(ks, keys, strict=True)], "q", "value", "total")
 
 
 def percentile_bounds(cells: DataFrame, keys: list[str], quantiles: dict[str, tuple[int, int]], by: str | None = None) -> DataFrame:

@@ -105,6 +105,32 @@ def test_percentiles(spark):
         v = want[x.g, x.q][0]
         assert x.low <= v <= x.high and x.high - x.low <= abs(v) / 200 + 1
     assert percentiles.percentiles(df.limit(0).drop("q"), ["g"], shares).count() == 0
+    copies = df.drop("q").withColumn("rid", F.monotonically_increasing_id())
+    again = {(x.g, x.q): (x.value, x.total) for x in percentiles.percentiles(df.drop("q"), ["g"], shares, again=copies.unionByName(copies)).collect()}
+    assert again == want
+    with pytest.raises(TypeError):
+        percentiles.percentiles(df.withColumn("value", F.lit("x")), ["g"], shares)
+
+
+def test_percentiles_of_floats(spark):
+    r = random.Random(5)
+    inf, nan = float("inf"), float("nan")
+    groups = {"wide": [r.choice([-1, 1]) * 10.0 ** r.uniform(-300, 300) for _ in range(400)], "unit": [r.random() for _ in range(300)], "odd": [0.0, -0.0, inf, -inf, 5e-324, -5e-324, 1.0, nan], "nan": [nan], "same": [0.1] * 9, "near": [1 + k * 2.0**-52 for k in range(50)]}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs] + [("same", None)], "g string, value double")
+    shares = {"p10": (10, 100), "p50": (50, 100), "p100": (1, 1)}
+    plain = lambda v: "nan" if v != v else v
+    want = {}
+    for g, vs in groups.items():
+        vs = sorted(vs, key=lambda v: (v != v, v))
+        for q, (a, b) in shares.items():
+            want[g, q] = plain(vs[max(1, -(-len(vs) * a // b)) - 1])
+    got = {(x.g, x.q): plain(x.value) for x in percentiles.percentiles(df, ["g"], shares).collect()}
+    assert got == want
+    a, b = df.where("value > 0.5"), df.where("not value > 0.5")
+    merged = percentiles.merge_histograms([percentiles.histogram(x, ["g"]) for x in (a, b)], ["g"])
+    for x in percentiles.percentile_bounds(merged.where("g <> 'odd' and g <> 'nan'"), ["g"], shares).collect():
+        assert x.low <= want[x.g, x.q] <= x.high and x.high - x.low <= abs(want[x.g, x.q]) / 200
+    assert sorted(x.value for x in percentiles.percentiles(df.select("g", F.col("value").cast("float")).where("g = 'unit'"), ["g"], shares).collect())[0] > 0
 
 
 def test_first_digit_keeps_order(spark):
