@@ -11,6 +11,7 @@ median of DEPTH rows far more seldom; L2, the root of the sum of squared counts,
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -91,8 +92,9 @@ def sketches(occurrences: DataFrame) -> DataFrame:
     return hashed.mapInArrow(build, "field string, total bigint, cells binary")
 
 
-def merge(parts: DataFrame, fan_in: int = 64) -> DataFrame:
-    """Adds up sketches of each field: in fan_in tasks first, then in one that reads what these leave.
+def merge(parts: DataFrame, fan_in: int | None = None) -> DataFrame:
+    """Adds up sketches of each field: in fan_in tasks first, then in one that reads what these leave. By default fan_in is
+    the root of the number of shuffle partitions, at least 64, so neither step reads many more sketches a field than that.
 
     A task takes its sketches batch by batch and holds one of each field.
     """
@@ -108,6 +110,8 @@ def merge(parts: DataFrame, fan_in: int = 64) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array(count, pa.int64()), pa.array([sums.tobytes()], pa.binary())], ["field", "total", "cells"])
 
     schema = "field string, total bigint, cells binary"
+    if fan_in is None:
+        fan_in = max(64, math.isqrt(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     return parts.repartition(fan_in).mapInArrow(add, schema).repartition(1).mapInArrow(add, schema)
 
 

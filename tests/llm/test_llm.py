@@ -151,6 +151,10 @@ def test_terms(spark):
     marks = {(x.field, x.term, x.mark) for x in terms.mark_terms(terms.term_counts(df), rare=2).collect()}
     assert {("f", "a", "common"), ("f", "b", "rare"), ("g", "x", "rare"), ("g", "x", "common")} <= marks and len(marks) == 6
     assert terms.term_counts(df.limit(0)).count() == 0
+    assert terms.term_counts(df.select(F.lit(None).cast("string").alias("field"), "terms")).count() == 0
+    many = [f"t{i % 30000}" for i in range(60000)]  # one record of very many terms
+    got = terms.term_counts(spark.createDataFrame([("f", many)], "field string, terms array<string>")).agg(F.count("*").alias("n"), F.sum("n_occurrences").alias("all"), F.max("n_records").alias("r")).collect()[0]
+    assert (got.n, got["all"], got.r) == (30000, 60000, 1)
 
 
 # Problem 7
