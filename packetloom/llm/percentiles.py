@@ -54,20 +54,32 @@ def ordered(value: Column, kind: DataType) -> Column:
     return F.when(value.isNotNull(), pandas_udf(_bits, "bigint")(F.coalesce(value.cast("double"), F.lit(0.0))))
 
 
-def first_digit(key: Column, floating: bool = False, bits: int = BITS) -> Column:
-    """Order-preserving leading bits of the floating form of what ordered() gives."""
+def _size(key: Column) -> Column:
+    return F.abs(F.greatest(key, F.lit(-_TOP)))
+
+
+def _exponent(key: Column) -> Column:
+    """Place of the highest bit of an integer's absolute value, 0 for 0 and 1."""
+    return F.length(F.bin(_size(key))) - 1
+
+
+def first_digit(key: Column, floating: bool = False, bits: int = BITS, exponent: Column | None = None) -> Column:
+    """Order-preserving leading bits of the floating form of what ordered() gives. exponent: _exponent(key), if at hand."""
     if floating:
         return F.shiftright(key, 52 - bits)  # the key has the floating form already
-    size = F.abs(F.greatest(key, F.lit(-_TOP)))
-    two = lambda e: F.call_function("shiftleft", F.lit(1).cast("bigint"), e)
-    guess = F.floor(F.log2(F.greatest(size, F.lit(1)).cast("double"))).cast("int")
-    guess = F.when(guess > 62, 62).otherwise(guess)
-    # log2 of a rounded value may be off by one next to a power of two
-    exponent = F.when(two(guess) > size, guess - 1).when((guess < 62) & (F.call_function("shiftright", size, guess) >= 2), guess + 1).otherwise(guess)
-    cell = F.when(size < (1 << bits), size).otherwise((exponent - bits) * (1 << bits) + F.call_function("shiftright", size, exponent - bits))
+    over = (_exponent(key) if exponent is None else exponent) - bits
+    cell = F.when(_size(key) < (1 << bits), _size(key)).otherwise(over * (1 << bits) + F.call_function("shiftright", _size(key), over))
     return F.when(key < 0, -cell - 1).otherwise(cell).cast("bigint")
 
 
+def _cells(v: DataFrame, ks: list[str], floating: bool, bits: int) -> DataFrame:
+    """ks, digit, n, low, high of rows with __v. The exponent is a column of its own, so it is computed once a value."""
+    if not floating:
+        v = v.withColumn("__e", _exponent(F.col("__v")))
+    digit = first_digit(F.col("__v"), floating, bits, None if floating else F.col("__e"))
+    return v.groupBy(*ks, digit.alias("digit")).agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("low"), F.max("__v").alias("high"))
+
+
 def _keyed(values: DataFrame, keys: list[str], more: list[str] | None = None) -> tuple[DataFrame, bool]:
     """__k0, __k1, ... for the keys, __v, the ordered integer of value, and the columns more; nulls left out."""
     kind = values.schema["value"].dataType
@@ -82,8 +94,8 @@ def histogram(values: DataFrame, keys: list[str], bits: int = BITS) -> DataFrame
     their own. Histograms of floating and of integer values are not to be merged.
     """
     v, floating = _keyed(values, keys)
-    out = v.groupBy(*[F.col(f"__k{i}").alias(k) for i, k in enumerate(keys)], first_digit(F.col("__v"), floating, bits).alias("digit")).agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("low"), F.max("__v").alias("high"))
-    return _restored(out, ["low", "high"], floating)
+    out = _cells(v, [f"__k{i}" for i in range(len(keys))], floating, bits)
+    return _restored(out.select(*[F.col(f"__k{i}").alias(k) for i, k in enumerate(keys)], "digit", "n", "low", "high"), ["low", "high"], floating)
 
 
 def _restored(df: DataFrame, columns: list[str], floating: bool) -> DataFrame:
@@ -132,8 +144,7 @@ def percentiles(values: DataFrame, keys: list[str], quantiles: dict[str, tuple[i
     """
     ks = [f"__k{i}" for i in range(len(keys))]
     v, floating = _keyed(values, keys)
-    cells = v.groupBy(*ks, first_digit(F.col("__v"), floating, FIRST_BITS).alias("digit")).agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("low"), F.max("__v").alias("high"))
-    at = stage(locate(cells, ks, quantiles, ks[keys.index(by)] if by else None), "radix")
+    at = stage(locate(_cells(v, ks, floating, FIRST_BITS), ks, quantiles, ks[keys.index(by)] if by else None), "radix")
     done: list[DataFrame] = []
     rest: DataFrame | None = None  # the values of open cells, once they are written
     while True:
