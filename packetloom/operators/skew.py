@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packetloom.plans.staging import stage
+
 HEAVY, CLASSES = 8, 16
 
 
@@ -67,10 +69,11 @@ def plan_placement(rows: DataFrame, keys: list[str], tasks: int | None = None, f
     seen = rows.select(*keys)
     if fraction < 1:
         seen = seen.sample(fraction, seed)
-    total = seen.count()
+    # written, as it is read twice: rows are scanned once for their loads
+    counts = stage(seen.groupBy(*keys).agg(F.count(F.lit(1)).alias("__c")), "loads")
+    total = counts.agg(F.coalesce(F.sum("__c"), F.lit(0))).collect()[0][0]
     least = max(1.0, total / (HEAVY * tasks))
     n = CLASSES * tasks
-    counts = seen.groupBy(*keys).agg(F.count(F.lit(1)).alias("__c"))
     is_heavy = F.col("__c") > least
     got = counts.groupBy(*[F.when(is_heavy, F.col(k)).alias(k) for k in keys], F.when(~is_heavy, _class(tuple(keys), n)).alias("__class")).agg(F.sum("__c").alias("__load")).collect()
     target = max(1.0, total / tasks / 4)
@@ -124,13 +127,17 @@ def replicate_rows(match: DataFrame, p: Placement) -> DataFrame:
     return x.select(*cols, F.explode(F.when(F.col("__labels").isNotNull(), F.array_distinct("__labels")).otherwise(F.array("__label"))).alias("__label"))
 
 
-def balanced_aggregate(rows: DataFrame, keys: list[str], partial: dict[str, Column], merge: dict[str, Column], spread: list[str], placement: Placement | None = None) -> DataFrame:
+def balanced_aggregate(rows: DataFrame, keys: list[str], partial: dict[str, Column], merge: dict[str, Column], spread: list[str], placement: Placement | None = None, once: bool = False) -> DataFrame:
     """Per-key aggregates. partial: aggregates of a shard by name; merge: the same names from those of all shards.
 
     Null keys form groups of their own, as in GROUP BY. An empty table gives no rows. Columns not named are not moved.
+    once: rows equal in keys and spread are one. Copies come to the same shard, so they are dropped there, without a
+    shuffle of their own; partial then sees only keys and spread.
     """
     p = placement or plan_placement(rows, keys)
-    placed = place_rows(rows, p, spread).repartition(p.tasks, "__label")
+    placed = place_rows(rows.select(*keys, *[c for c in spread if c not in keys]) if once else rows, p, spread).repartition(p.tasks, "__label")
+    if once:
+        placed = placed.distinct()
     shards = placed.groupBy("__label", *keys).agg(*[c.alias(n) for n, c in partial.items()])
     return shards.groupBy(*keys).agg(*[c.alias(n) for n, c in merge.items()])
 

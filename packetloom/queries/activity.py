@@ -67,8 +67,8 @@ _FIELD = ["field", "addr"]
 def p5_addresses(spark: SparkSession, d: str) -> DataFrame:
     """Every address with its number of records and its share in the field."""
     rows = _rows(spark, d)
-    # loads are estimated on rows as they are: that needs no shuffle, and copies hardly change who is heavy
-    per = balanced_aggregate(rows.select(*_FIELD, "id").distinct(), _FIELD, {"n": F.count(F.lit(1))}, {"n_records": F.sum("n")}, ["id"], plan_placement(rows, _FIELD))
+    # loads are estimated on rows as they are, copies included, which hardly change who is heavy
+    per = balanced_aggregate(rows, _FIELD, {"n": F.count(F.lit(1))}, {"n_records": F.sum("n")}, ["id"], plan_placement(rows, _FIELD), once=True)
     totals = per.groupBy("field").agg(F.sum("n_records").alias("n_field"))
     return per.join(F.broadcast(totals), "field")  # one row for each of three fields
 

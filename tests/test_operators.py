@@ -68,6 +68,9 @@ def test_balanced(spark):
     assert len(set(task_labels(spark, 8))) == 8
     got = {x.k: x.n for x in balanced_aggregate(df, ["k"], {"m": F.count(F.lit(1))}, {"n": F.sum("m")}, ["id"], p).collect()}
     assert got == Counter(k for k, _ in rows)
+    twice = balanced_aggregate(df.unionByName(df), ["k"], {"m": F.count(F.lit(1))}, {"n": F.sum("m")}, ["id"], p, once=True)
+    assert twice._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2  # by label, then by key
+    assert {x.k: x.n for x in twice.collect()} == Counter(k for k, _ in set(rows))
     side = spark.createDataFrame([("hot", 1), ("hot", 2), ("k1", 3), ("none", 4), (None, 5)], "k string, v int")
     for how in ("inner", "left", "left_semi", "left_anti"):
         a = balanced_join(df, side, ["k"], ["id"], how, p)
