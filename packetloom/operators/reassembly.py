@@ -74,30 +74,57 @@ class Stream:
 
 @dataclass
 class Content:
-    """Which bytes of a direction have been seen, and how gaps between them came and went."""
+    """Which bytes of a direction have been seen, and how gaps between them came and went.
 
-    capacity: int = 100
+    capacity: chunks kept at most, None for all; spans that find no room are counted in ignored.
+    """
+
+    capacity: int | None = None
     chunks: list[tuple[int, int]] = field(default_factory=list)
-    gaps: dict[int, int] = field(default_factory=dict)
     most_gaps: int = 0
+    ignored: int = 0
+    arrivals: int = 0
+    closed: dict[int, int] = field(default_factory=dict)
+    opened: dict[int, int] = field(default_factory=dict)  # gaps that are there: the arrival they came with
 
     def insert(self, start: int, end: int) -> None:
-        """Adds [start, end), joined with chunks it overlaps or touches; ignored when there is no room left."""
-        if end <= start or len(self.chunks) >= self.capacity:
+        """Adds [start, end), joined with chunks it overlaps or touches."""
+        if end <= start:
+            return
+        if self.capacity is not None and len(self.chunks) >= self.capacity:
+            self.ignored += 1
             return
+        self.arrivals += 1
+        last = self.chunks[-1][1] if self.chunks else None
         i = bisect_left(self.chunks, (start, start))
         if i and self.chunks[i - 1][1] >= start:
             i -= 1
         j = i
+        gone = []
         while j < len(self.chunks) and self.chunks[j][0] <= end:
             start, end = min(start, self.chunks[j][0]), max(end, self.chunks[j][1])
+            gone.append(self.chunks[j][1])
             j += 1
+        at_end = j == len(self.chunks)
         self.chunks[i:j] = [(start, end)]
-        for c in self.chunks[:-1]:  # arrivals while a gap begins there
-            self.gaps[c[1]] = self.gaps.get(c[1], 0) + 1
+        for e in gone:
+            if (e != end or at_end) and e in self.opened:
+                self.closed[e] = self.closed.get(e, 0) + self.arrivals - self.opened.pop(e)
+        if not at_end:
+            self.opened.setdefault(end, self.arrivals)
+        elif last is not None and last not in gone:
+            self.opened.setdefault(last, self.arrivals)
         if len(self.chunks) - 1 > self.most_gaps:
             self.most_gaps += 1
 
+    @property
+    def gaps(self) -> dict[int, int]:
+        """By the place where a gap begins, the arrivals while it was there, with the one it came with."""
+        out = dict(self.closed)
+        for e, since in self.opened.items():
+            out[e] = out.get(e, 0) + self.arrivals - since + 1
+        return out
+
     @property
     def content_gaps(self) -> int:
         return max(0, len(self.chunks) - 1)
@@ -108,7 +135,8 @@ class Content:
 
     @property
     def mean_pkts_to_fill(self) -> float | None:
-        return sum(self.gaps.values()) / len(self.gaps) if self.gaps else None
+        g = self.gaps
+        return sum(g.values()) / len(g) if g else None
 
     @property
     def median_pkts_to_fill(self) -> int | None:

@@ -24,7 +24,7 @@ from packetloom.sources.tables import micros
 
 #: Columns of a traced connection.
 _FLOW = "struct<nb_pkts: bigint, nb_malformed_pkts: bigint, nb_late_start_pkts: bigint, nb_pkt_bytes: bigint, nb_payload_bytes: bigint, max_simult_gaps: int, data_start: bigint, chunks: array<struct<s: bigint, e: bigint>>, gaps: map<bigint, bigint>, content_gaps: int, missed_bytes: bigint, mean_pkts_to_fill: double, median_pkts_to_fill: bigint>"
-SCHEMA = f"conn_id string, ip_version int, proto int, orig_ip binary, orig_port int, resp_ip binary, resp_port int, first_us bigint, second_us bigint, last_us bigint, max_idle_us bigint, history string, service string, closed_by string, pkt_count bigint, byte_count bigint, interarrivals_ctos array<bigint>, interarrivals_stoc array<bigint>, orig_flow {_FLOW}, resp_flow {_FLOW}, packets_orig_reassembled array<bigint>, packets_resp_reassembled array<bigint>, packet_ids array<struct<pkt_id: bigint, dir: boolean>>, sessions array<struct<{', '.join(x for x in [SESSION])}>>"
+SCHEMA = f"conn_id string, ip_version int, proto int, orig_ip binary, orig_port int, resp_ip binary, resp_port int, first_us bigint, second_us bigint, last_us bigint, max_idle_us bigint, history string, service string, closed_by string, pkt_count bigint, byte_count bigint, interarrivals_ctos array<bigint>, interarrivals_stoc array<bigint>, orig_flow {_FLOW}, resp_flow {_FLOW}, packets_orig_reassembled array<bigint>, packets_resp_reassembled array<bigint>, packet_ids array<struct<pkt_id: bigint, dir: boolean>>, parse_errors int, lost_bytes bigint, sessions array<struct<{', '.join(x for x in [SESSION])}>>"
 
 
 @dataclass
@@ -101,6 +101,7 @@ class Connection:
         self.ids: list[tuple[int, bool]] = []
         self.count = 0
         self.dead = False
+        self.errors = 0
 
     def add(self, p: Packet) -> str | None:
         """Takes a packet; how it closes the connection, if it does."""
@@ -153,6 +154,7 @@ class Connection:
             found = self.prober.feed(data, way)
         except Exception:  # one broken session must not end the job: the connection goes on unparsed
             self.dead, found = True, []
+            self.errors += 1
         self.sessions += [(self.prober.parser.protocol, s) for s in found]
 
     def row(self, closed_by: str, no: int) -> dict:
@@ -165,6 +167,7 @@ class Connection:
             "conn_id": f"{p.src_ip.hex()}:{p.src_port}-{p.dst_ip.hex()}:{p.dst_port}-{p.proto}-{self.us[0]}-{p.pkt_id}", "ip_version": 4 if len(p.src_ip) == 4 else 6, "proto": p.proto, "orig_ip": p.src_ip, "orig_port": p.src_port, "resp_ip": p.dst_ip, "resp_port": p.dst_port,
             "first_us": self.us[0], "second_us": self.us[1], "last_us": self.us[2], "max_idle_us": self.idle, "history": "".join(self.history), "service": self.prober.parser.protocol if self.prober.parser else None, "closed_by": closed_by,
             "pkt_count": a.n + b.n, "byte_count": a.size + b.size, "interarrivals_ctos": a.gaps, "interarrivals_stoc": b.gaps, "orig_flow": a.row(), "resp_flow": b.row(), "packets_orig_reassembled": self.order[True], "packets_resp_reassembled": self.order[False], "packet_ids": [{"pkt_id": i, "dir": w} for i, w in self.ids],
+            "parse_errors": self.errors, "lost_bytes": sum(x.lost for x in self.prober.all),
             "sessions": [{"session_no": i, "protocol": name, **{k: s if k == name else None for k in structs}} for i, (name, s) in enumerate(self.sessions)],
         }
 

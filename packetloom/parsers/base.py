@@ -20,6 +20,8 @@ class Parser:
     """State of one connection. Sessions are dicts in the shape of the protocol's struct."""
 
     protocol = ""
+    #: Bytes thrown away because a message outgrew its buffer.
+    lost = 0
 
     def probe(self, data: bytes, to_server: bool, ports: tuple[int, int], udp: bool) -> Probe:
         raise NotImplementedError
@@ -71,6 +73,7 @@ class Prober:
 
     def __init__(self, protocols: set[str], ports: tuple[int, int], udp: bool):
         self.open = {p: PARSERS[p]() for p in sorted(protocols)}
+        self.all = list(self.open.values())
         self.ports, self.udp = ports, udp
         self.seen: list[tuple[bytes, bool]] = []
         self.parser: Parser | None = None

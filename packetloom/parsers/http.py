@@ -72,6 +72,7 @@ class Http(Parser):
             self.buffer[to_server] = self.buffer[to_server][skip:]
             self.body[to_server] = n - skip
         if len(self.buffer[to_server]) > _LIMIT:
+            self.lost += len(self.buffer[to_server])
             self.buffer[to_server] = b""
         return out
 

@@ -135,7 +135,7 @@ class Tls(Parser):
                 over = True  # content, or a fatal alert
             elif kind == 0x16 and not self.sealed[to_server]:
                 self._handshake(body, to_server)
-        self.records[to_server] = buffer if len(buffer) <= _MOST else b""
+        self.records[to_server] = self._kept(buffer)
         if over and (self.session["server_hello"] is not None or self.sealed[True]):
             self.done = True
             return [self.session]
@@ -146,7 +146,13 @@ class Tls(Parser):
         while len(m) >= 4 and len(m) >= 4 + (n := int.from_bytes(m[1:4], "big")):
             note(self.session, m[0], m[4 : 4 + n], to_server)
             m = m[4 + n :]
-        self.messages[to_server] = m if len(m) <= _MOST else b""
+        self.messages[to_server] = self._kept(m)
+
+    def _kept(self, data: bytes) -> bytes:
+        if len(data) <= _MOST:
+            return data
+        self.lost += len(data)
+        return b""
 
     def drain(self):
         return [] if self.done or (self.session["client_hello"] is None and self.session["server_hello"] is None) else [self.session]

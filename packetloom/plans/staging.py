@@ -10,6 +10,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,13 +39,37 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Paths of the scopes that are open, the innermost last; those of the first go when the interpreter ends.
+_SCOPES: list[list[tuple[SparkSession, str]]] = [[]]
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Tables staged inside are removed at its end: results that read them must be written or collected by then.
+
+    A session that lives long runs each query in a scope of its own, so its folder does not fill up.
+    """
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _SCOPES.pop():
+            _remove(spark, path)
+
+
+@atexit.register
+def _end() -> None:
+    for spark, path in _SCOPES[0]:
+        _remove(spark, path)
+
+
 def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Writes df to the shared folder and returns the table read back; removed when the interpreter ends."""
+    """Writes df to the shared folder and returns the table read back; removed with the scope it was staged in."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/staged/{name}-{uuid.uuid4().hex}"
     writer = df.write.mode("errorifexists").option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    atexit.register(_remove, spark, path)
+    _SCOPES[-1].append((spark, path))
     return spark.read.schema(df.schema).parquet(path)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
@@ -13,9 +15,10 @@ def write_json(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
     rows.write.mode(mode).json(path)
 
 
-def pretty_json(rows: DataFrame, most: int = 1000) -> list[str]:
-    """At most `most` rows as JSON texts, for tests and looking at."""
-    return rows.limit(most).toJSON().collect()
+def pretty_json(rows: DataFrame) -> Iterator[str]:
+    """Every row as an indented JSON text, one partition after the other, so the caller holds no more than one."""
+    for text in rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator():
+        yield json.dumps(json.loads(text["j"]), indent=2, ensure_ascii=False)
 
 
 def for_each(rows: DataFrame, callback: Callable[[Row], None]) -> None:
@@ -33,14 +36,26 @@ def for_each_batch(rows: DataFrame, callback: Callable[[DataFrame, int], None],
     return rows.writeStream.foreachBatch(callback).option("checkpointLocation", checkpoint).start()
 
 
-def exposition(counts: DataFrame, name: str, labels: list[str], value: str = "n", most: int = 100_000) -> str:
-    """Counters by label in the text format that metric collectors read; raises if there are more than `most`."""
-    rows = counts.select(*labels, value).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} label sets")
-    quote = lambda v: str(v).replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n")
-    lines = [f"{name}{{{','.join(f'{k}="{quote(r[k])}"' for k in labels)}}} {r[value]}" for r in rows]
-    return "\n".join([f"# TYPE {name} counter", *sorted(lines)]) + "\n"
+def exposition(counts: DataFrame, name: str, labels: list[str], value: str = "n") -> Iterator[str]:
+    """Counters by label in the text format that metric collectors read, line by line, in the order of their labels.
+
+    Lines are made by the executors; the caller takes one partition after the other, however many label sets there are.
+    """
+    quoted = [F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(F.col(k).cast("string"), F.lit("None")), "\\\\", "\\\\\\\\"), '"', '\\\\"'), "\n", "\\\\n") for k in labels]
+    parts = [F.concat(F.lit(f'{k}="'), q, F.lit('"')) for k, q in zip(labels, quoted, strict=True)]
+    line = F.concat(F.lit(f"{name}{{"), F.concat_ws(",", *parts), F.lit("} "), F.col(value).cast("string"))
+    yield f"# TYPE {name} counter"
+    for r in counts.select(line.alias("line")).orderBy("line").toLocalIterator():
+        yield r["line"]
+
+
+def run_for(query: StreamingQuery, seconds: float | None) -> bool:
+    """Waits until a stream has run as long as its configuration says, then stops it; without a time until it ends by
+    itself. Whether it was stopped."""
+    if query.awaitTermination(seconds):
+        return False
+    query.stop()
+    return True
 
 
 def write_log(figures: DataFrame, path: str, form: str = "csv") -> None:

@@ -73,9 +73,12 @@ def test_capture_delivery(spark, tmp_path):
 def test_sinks(spark, tmp_path, traffic):
     rows = deliver(Subscription("", ("ConnRecord",)), Traffic(None, traffic.connections.withColumns({"first_us": F.lit(0), "last_us": F.lit(1), "duration_us": F.lit(1), "history": F.lit("S")}), traffic.sessions))
     sinks.write_json(rows, str(tmp_path / "j"))
-    assert spark.read.json(str(tmp_path / "j")).count() == 3 and len(sinks.pretty_json(rows, 2)) == 2
+    assert spark.read.json(str(tmp_path / "j")).count() == 3 and len(list(sinks.pretty_json(rows))) == 3
     counts = traffic.connections.groupBy("service").count().withColumnRenamed("count", "n")
-    assert 'seen{service="tls"} 1' in sinks.exposition(counts, "seen", ["service"])
+    assert list(sinks.exposition(counts, "seen", ["service"])) == ["# TYPE seen counter", 'seen{service="None"} 1', 'seen{service="dns"} 1', 'seen{service="tls"} 1']
+    odd = spark.createDataFrame([('a"b\\c\nd', i) for i in (7,)], "x string, n int")
+    assert list(sinks.exposition(odd, "y", ["x"]))[1] == 'y{x="a\\"b\\\\c\\nd"} 7'
+    assert sum(1 for _ in sinks.pretty_json(spark.range(1500))) == 1500
     sinks.write_log(counts, str(tmp_path / "log"))
     assert spark.read.option("header", True).csv(str(tmp_path / "log")).count() == 3
     sinks.for_each(rows, lambda r: None)

@@ -38,6 +38,25 @@ def test_gaps_to_fill():
     assert c.chunks == [(0, 40)] and c.most_gaps == 1 and c.gaps == {10: 2} and c.median_pkts_to_fill == 2
 
 
+def test_many_chunks():
+    """More chunks than a hundred, in any order, against arrivals counted one by one."""
+    r = random.Random(3)
+    spans = [(20 * i, 20 * i + 10) for i in range(400)] + [(20 * i + 10, 20 * i + 20) for i in range(0, 400, 3)]
+    r.shuffle(spans)
+    c, seen, gaps = Content(), set(), defaultdict(int)
+    for a, b in spans:
+        c.insert(a, b)
+        seen |= set(range(a, b))
+        ends = sorted(x + 1 for x in seen if x + 1 not in seen)
+        for e in ends[:-1]:
+            gaps[e] += 1
+    assert len(c.chunks) == len(ends) > 200 and c.gaps == gaps and c.ignored == 0
+    small = Content(capacity=2)
+    for s in (0, 20, 40):
+        small.insert(s, s + 10)
+    assert small.ignored == 1 and len(small.chunks) == 2
+
+
 @pytest.mark.parametrize("isn", [1000, (1 << 32) - 7])
 @pytest.mark.parametrize("seed", range(5))
 def test_stream_in_any_order(isn, seed):
