@@ -1,44 +1,122 @@
-"""Packet captures as a Spark source: format("pcap"), classic and next-generation files, batch and streaming.
+"""Packet captures as a Spark source and sink: format("pcap"), classic and next-generation files, batch and streaming.
 
-A file is one partition; captures that belong together are many files. Options: path (a file, a folder or a glob), mtu
-(frames longer on the wire are skipped; 9702 by default), files_per_batch for streams.
+Files are read through Arrow's file systems, so a path may be local or a URI (s3://, gs://, hdfs://, file://). A classic
+file larger than split_bytes is read in ranges, each by a task of its own: a range begins at the first place from which
+record headers follow each other for longer than any frame can be. A task that reads up to the next range looks where
+that one begins; if the records it has read end elsewhere, it raises, so a range is never silently misread.
+Next-generation files are one task each.
+
+Options: path (a file, a folder or a glob), mtu (frames longer on the wire are skipped; 9702 by default, 0 for none),
+split_bytes (0 for none), files_per_batch for streams.
 """
 
 from __future__ import annotations
 
-import glob
+import fnmatch
 import os
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+from pyarrow import fs
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
 
 SCHEMA = "pkt_id bigint, ts timestamp, frame_len int, orig_len int, frame binary, file string"
 MTU = 9702
+SPLIT_BYTES = 256 << 20
 _BATCH = 4096
-
-
-def read_pcap(path: str) -> Iterator[tuple[int, int, bytes]]:
-    """(microseconds, length on the wire, captured bytes) of each frame; a file cut short ends where it is cut."""
-    with open(path, "rb") as f:
-        magic = f.read(4)
-        if magic == b"\x0a\x0d\x0d\x0a":
-            yield from _read_ng(f)
+#: Byte order and ticks a second of the fixed values that open a classic file.
+_MAGIC = {b"\xd4\xc3\xb2\xa1": ("<", 1), b"\xa1\xb2\xc3\xd4": (">", 1), b"\x4d\x3c\xb2\xa1": ("<", 1000), b"\xa1\xb2\x3c\x4d": (">", 1000)}
+_NG = b"\x0a\x0d\x0d\x0a"
+#: No frame is kept longer.
+_LONGEST = 262_144
+
+
+def _open(path: str) -> tuple[fs.FileSystem, str]:
+    if "://" in path:
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), os.path.abspath(path)
+
+
+def _head(f, path: str) -> tuple[str, int]:
+    magic = f.read(4)
+    if magic not in _MAGIC:
+        raise ValueError(f"no capture file: {path}")
+    return _MAGIC[magic]
+
+
+def _follows(data: bytes, at: int, order: str, unit: int, to_end: bool) -> bool:
+    """Whether record headers follow each other from data[at:] for longer than a frame can be, or to the end of the file."""
+    start = at
+    while at - start <= _LONGEST + 16:
+        if at == len(data):
+            return to_end
+        if at + 16 > len(data):
+            return to_end and at > start
+        _, part, kept, length = struct.unpack_from(order + "IIII", data, at)
+        if kept > min(length, _LONGEST) or part >= 1_000_000 * unit or length == 0:
+            return False
+        at += 16 + kept
+    return True
+
+
+def first_record(f, size: int, start: int, order: str, unit: int) -> int:
+    """The place of the first record at or after start, or the size of the file."""
+    at, window = start, 3 * (_LONGEST + 16)
+    while at < size:
+        f.seek(at)
+        data = f.read(window)
+        to_end = at + len(data) >= size
+        for i in range(len(data)):
+            if not to_end and i > _LONGEST + 16:
+                break
+            if _follows(data, i, order, unit, to_end):
+                return at + i
+        else:
+            return size
+        at += _LONGEST + 17
+    return size
+
+
+def read_pcap(path: str, start: int = 0, end: int | None = None) -> Iterator[tuple[int, int, int, bytes]]:
+    """(place in the file, microseconds, length on the wire, captured bytes) of each frame that begins in start..end; a
+    file cut short ends where it is cut."""
+    system, name = _open(path)
+    with system.open_input_file(name) as f:
+        if f.read(4) == _NG:
+            for i, (us, length, data) in enumerate(_read_ng(f)):
+                yield i, us, length, data
             return
-        order, unit = {b"\xd4\xc3\xb2\xa1": ("<", 1), b"\xa1\xb2\xc3\xd4": (">", 1), b"\x4d\x3c\xb2\xa1": ("<", 1000), b"\xa1\xb2\x3c\x4d": (">", 1000)}.get(magic, (None, 0))
-        if order is None:
-            raise ValueError(f"no capture file: {path}")
-        f.read(20)
-        while len(head := f.read(16)) == 16:
-            sec, part, kept, length = struct.unpack(order + "IIII", head)
-            data = f.read(kept)
-            if len(data) < kept:
+        f.seek(0)
+        order, unit = _head(f, path)
+        size = f.size()
+        at = 24 if start <= 24 else first_record(f, size, start, order, unit)
+        f.seek(at)
+        stop = size if end is None else end
+        buffer, base = b"", at
+        while at < stop:
+            if at - base + 16 > len(buffer):
+                buffer, base = buffer[at - base :] + f.read(1 << 20), at
+            if len(buffer) - (at - base) < 16:
                 return
-            yield sec * 1_000_000 + part // unit, length, data
+            sec, part, kept, length = struct.unpack_from(order + "IIII", buffer, at - base)
+            while at - base + 16 + kept > len(buffer):
+                more = f.read(max(1 << 20, kept))
+                if not more:
+                    return
+                buffer, base = buffer[at - base :] + more, at
+            here = at - base + 16
+            yield at, sec * 1_000_000 + part // unit, length, buffer[here : here + kept]
+            at += 16 + kept
+        if end is not None and end < size and at != (there := first_record(f, size, end, order, unit)):
+            raise ValueError(f"{path} can't be split at {end}: records go on at {at}, not {there}; read it with split_bytes 0")
 
 
 def _read_ng(f) -> Iterator[tuple[int, int, bytes]]:
+    """(microseconds, length on the wire, captured bytes) of each packet block."""
     f.seek(0)
     order, units = "<", []
     while len(head := f.read(8)) == 8:
@@ -82,24 +160,50 @@ def _unit(options: bytes, order: str) -> int:
 
 def write_pcap(path: str, frames: list[tuple[int, bytes]], snap: int = 65535) -> None:
     """A classic file of (microseconds, frame)."""
-    with open(path, "wb") as f:
-        f.write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, snap, 1))
-        for us, data in frames:
-            f.write(struct.pack("<IIII", us // 1_000_000, us % 1_000_000, min(len(data), snap), len(data)) + data[:snap])
-
+    system, name = _open(path)
+    with system.open_output_stream(name) as f:
+        _write(f, frames, snap)
 
-class _File(InputPartition):
-    def __init__(self, number: int, path: str):
-        self.number, self.path = number, path
 
-
-def _files(path: str) -> list[str]:
-    if os.path.isdir(path):
-        path = os.path.join(path, "*.pcap*")
-    return sorted(p for p in glob.glob(path) if os.path.isfile(p))
-
-
-def _batches(part: _File, mtu: int) -> Iterator[pa.RecordBatch]:
+def _write(f, frames, snap: int = 65535, head: bool = True) -> None:
+    if head:
+        f.write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, snap, 1))
+    for us, data in frames:
+        f.write(struct.pack("<IIII", us // 1_000_000, us % 1_000_000, min(len(data), snap), len(data)) + data[:snap])
+
+
+class _Range(InputPartition):
+    def __init__(self, number: int, path: str, start: int = 0, end: int | None = None):
+        self.number, self.path, self.start, self.end = number, path, start, end
+
+
+def _files(path: str) -> list[tuple[str, int]]:
+    """Path and size of the capture files, in the order of their names."""
+    system, name = _open(path)
+    prefix = path[: len(path) - len(name)] if "://" in path else ""
+    info = system.get_file_info(name) if not any(c in name for c in "*?[") else None
+    if info is not None and info.type == fs.FileType.File:
+        return [(path, info.size)]
+    if info is not None and info.type == fs.FileType.Directory:
+        folder, pattern = name, "*.pcap*"
+    else:
+        folder, pattern = os.path.split(name)
+    found = system.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+    return sorted((prefix + x.path, x.size) for x in found if x.type == fs.FileType.File and fnmatch.fnmatch(x.base_name, pattern))
+
+
+def _ranges(number: int, path: str, size: int, split: int) -> list[_Range]:
+    if split <= 0 or size <= split:
+        return [_Range(number, path)]
+    system, name = _open(path)
+    with system.open_input_file(name) as f:
+        if f.read(4) == _NG:
+            return [_Range(number, path)]
+    cuts = [*range(0, size, split), size]
+    return [_Range(number, path, a, b if b < size else None) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def _batches(part: _Range, mtu: int) -> Iterator[pa.RecordBatch]:
     names = ["pkt_id", "ts", "frame_len", "orig_len", "frame", "file"]
     rows: list[tuple] = []
 
@@ -108,11 +212,11 @@ def _batches(part: _File, mtu: int) -> Iterator[pa.RecordBatch]:
         types = [pa.int64(), pa.timestamp("us", tz="UTC"), pa.int32(), pa.int32(), pa.binary(), pa.string()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
-    # ids are unique over files: the file's number in the high bits, the frame's place in the low ones
-    for i, (us, length, data) in enumerate(read_pcap(part.path)):
-        if length > mtu:
+    # ids are unique over files: the file's number in the high bits, the frame's place in it in the low ones
+    for at, us, length, data in read_pcap(part.path, part.start, part.end):
+        if mtu and length > mtu:
             continue
-        rows.append((part.number << 40 | i, us, length, length, data, part.path))
+        rows.append((part.number << 44 | at, us, length, length, data, part.path))
         if len(rows) >= _BATCH:
             yield made()
             rows = []
@@ -122,10 +226,10 @@ def _batches(part: _File, mtu: int) -> Iterator[pa.RecordBatch]:
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path, self.mtu = options["path"], int(options.get("mtu", MTU))
+        self.path, self.mtu, self.split = options["path"], int(options.get("mtu", MTU)), int(options.get("split_bytes", SPLIT_BYTES))
 
     def partitions(self):
-        return [_File(i, p) for i, p in enumerate(_files(self.path))]
+        return [r for i, (p, size) in enumerate(_files(self.path)) for r in _ranges(i, p, size, self.split)]
 
     def read(self, partition):
         yield from _batches(partition, self.mtu)
@@ -148,7 +252,7 @@ class _StreamReader(DataSourceStreamReader):
 
     def partitions(self, start, end):
         self.at = max(self.at, end["file"])
-        return [_File(i, p) for i, p in enumerate(_files(self.path)) if start["file"] <= i < end["file"]]
+        return [_Range(i, p) for i, (p, _) in enumerate(_files(self.path)) if start["file"] <= i < end["file"]]
 
     def read(self, partition):
         yield from _batches(partition, self.mtu)
@@ -157,6 +261,50 @@ class _StreamReader(DataSourceStreamReader):
         pass
 
 
+class _Written(WriterCommitMessage):
+    def __init__(self, path: str | None):
+        self.path = path
+
+
+class _Writer(DataSourceArrowWriter):
+    """One file a task; rows have ts and frame, in the order in which they come. Files of failed tasks are removed."""
+
+    def __init__(self, options: dict, overwrite: bool):
+        self.path, self.overwrite, self.run = options["path"], overwrite, uuid.uuid4().hex[:12]
+
+    def write(self, iterator):
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        out = None
+        system, folder = _open(self.path)
+        name = f"{folder}/part-{task.partitionId():06d}-{self.run}-{task.taskAttemptId()}.pcap"
+        for b in iterator:
+            if out is None:
+                system.create_dir(folder)
+                out = system.open_output_stream(name)
+                _write(out, [])
+            ts = b.column(b.schema.get_field_index("ts")).cast(pa.timestamp("us", tz="UTC")).cast(pa.int64()).to_pylist()
+            _write(out, [(us, f) for us, f in zip(ts, b.column(b.schema.get_field_index("frame")).to_pylist(), strict=True) if us is not None and f is not None], head=False)
+        if out is not None:
+            out.close()
+        return _Written(None if out is None else name)
+
+    def commit(self, messages):
+        if self.overwrite:
+            kept = {m.path for m in messages if m and m.path}
+            system, folder = _open(self.path)
+            for x in system.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+                if x.type == fs.FileType.File and x.base_name.endswith(".pcap") and x.path not in kept:
+                    system.delete_file(x.path)
+
+    def abort(self, messages):
+        system, _ = _open(self.path)
+        for m in messages:
+            if m and m.path:
+                system.delete_file(m.path)
+
+
 class PcapSource(DataSource):
     @classmethod
     def name(cls):
@@ -171,12 +319,27 @@ class PcapSource(DataSource):
     def streamReader(self, schema):
         return _StreamReader(self.options)
 
+    def writer(self, schema, overwrite):
+        return _Writer(self.options, overwrite)
+
 
-def register(spark) -> None:
+def register(spark: SparkSession) -> None:
     spark.dataSource.register(PcapSource)
 
 
-def read(spark, path: str, mtu: int = MTU):
-    """Frames of captures, with the id that orders them."""
+def read(spark: SparkSession, path: str, mtu: int = MTU, split_bytes: int = SPLIT_BYTES, seen: Observation | None = None) -> DataFrame:
+    """Frames of captures, with the id that orders them. seen counts what is skipped as longer than mtu: oversize_pkts and
+    oversize_bytes, filled while some action runs over the frames."""
     register(spark)
-    return spark.read.format("pcap").option("mtu", mtu).load(path)
+    load = lambda m: spark.read.format("pcap").option("mtu", m).option("split_bytes", split_bytes).load(path)
+    if seen is None:
+        return load(mtu)
+    over = F.col("orig_len") > mtu
+    one = lambda v: F.coalesce(F.sum(F.when(over, v)), F.lit(0)).cast("bigint")
+    return load(0).observe(seen, one(F.lit(1)).alias("oversize_pkts"), one(F.col("orig_len")).alias("oversize_bytes")).where(~over)
+
+
+def write(frames: DataFrame, path: str, mode: str = "append") -> None:
+    """Frames (ts, frame) as classic files, one a task."""
+    register(frames.sparkSession)
+    frames.select("ts", "frame").write.format("pcap").mode(mode).save(path)

@@ -1,9 +1,11 @@
 """Captures written byte by byte, reassembly, content, closing, parsers, features against a naive tracker."""
 
 import random
+import struct
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from packetloom.functions.fingerprints import ja3_string
@@ -107,6 +109,38 @@ def test_capture(spark, frames, tmp_path):
     assert pcap.read(spark, str(tmp_path / "cut.pcap")).count() == 1
 
 
+def test_capture_splits(spark, tmp_path):
+    r = random.Random(4)
+    frames = [(i * 1000, r.randbytes(r.choice([60, 1500, 9000]))) for i in range(3000)]
+    pcap.write_pcap(str(tmp_path / "x.pcap"), frames)
+    df = pcap.read(spark, str(tmp_path / "x.pcap"), split_bytes=1 << 20)
+    assert df.rdd.getNumPartitions() > 5
+    got = sorted((x.us, bytes(x.frame)) for x in df.select(F.unix_micros("ts").alias("us"), "frame").collect())
+    assert got == frames and df.select("pkt_id").distinct().count() == len(frames)
+    inner = b"".join(struct.pack("<IIII", 5, 5, 44, 44) + bytes(44) for _ in range(100))  # records inside a frame
+    pcap.write_pcap(str(tmp_path / "y.pcap"), [(i, inner) for i in range(200)])
+    for size in (700_000, 900_001):
+        try:
+            n = pcap.read(spark, str(tmp_path / "y.pcap"), split_bytes=size).count()
+        except Exception as e:
+            assert "can't be split" in str(e)
+        else:
+            assert n == 200
+    assert pcap.read(spark, f"file://{tmp_path}/y.pcap", split_bytes=0).count() == 200
+    assert pcap.read(spark, f"{tmp_path}/*.pcap", split_bytes=0).count() == 3200
+
+
+def test_capture_sink(spark, tmp_path):
+    rows = spark.createDataFrame([(i, samples.udp("10.0.0.1", 1, "10.0.0.2", 2, bytes([i]))) for i in range(50)] + [(99, None)], "us bigint, frame binary").withColumn("ts", F.timestamp_micros("us")).withColumn("pkt_id", F.lit(0))
+    for mode in ("append", "append", "overwrite"):
+        pcap.write(rows.repartition(3), str(tmp_path / "out"), mode)
+    got = pcap.read(spark, str(tmp_path / "out"))
+    assert sorted(bytes(x.frame) for x in got.collect()) == sorted(bytes(x.frame) for x in rows.where("frame is not null").collect())
+    seen = Observation("skipped")
+    kept = pcap.read(spark, str(tmp_path / "out"), mtu=42, seen=seen)
+    assert kept.count() == 0 and seen.get == {"oversize_pkts": 50, "oversize_bytes": 50 * 43}
+
+
 def test_malformed(spark):
     good = samples.udp("10.0.0.1", 1, "10.0.0.2", 2, b"abc")
     bad = [None, b"", good[:20], samples.udp("10.0.0.1", 1, "10.0.0.2", 2, b"abc", length=10), good[:12] + b"\x81\x00\x00\x01\x81\x00\x00\x02" + good[12:]]
