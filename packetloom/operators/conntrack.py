@@ -1,8 +1,10 @@
 """Packets to connections: a key that is the same in both directions, expiry by idle time, orientation, features.
 
-Nothing here sorts a connection as a whole. Packets are cut into cells of the idle time; packets of one key in one cell
-always belong to one connection, so cells are aggregated first (ordered only within a cell) and then joined up where the
-gap between them is no longer than the idle time. A flow that holds most packets is thus spread over its cells.
+Nothing here sorts a connection as a whole. Packets are cut into cells of a few seconds, never longer than the idle time;
+packets of one key in one cell always belong to one connection, so cells are aggregated first (ordered only within a cell)
+and then joined up where the gap between them is no longer than the idle time. A flow that holds most packets is thus spread
+over its cells. Packets are read once for the cells, by an aggregate that runs before the shuffle, and once more to be
+given their connection, which moves each of them once.
 """
 
 from __future__ import annotations
@@ -16,8 +18,8 @@ from pyspark.sql import functions as F
 from packetloom.sources.tables import micros
 
 FIN, SYN, RST, PSH, ACK = 1, 2, 4, 8, 16
-#: Cells of captures that never expire; any length gives the same result.
-_OFFLINE_CELL = 60_000_000
+#: Length of a cell in microseconds. Any up to the idle time gives the same result; short ones spread a hot flow.
+CELL = 5_000_000
 
 
 @dataclass(frozen=True)
@@ -29,6 +31,11 @@ class Timeouts:
     establish: int = 5_000_000
     offline: bool = False
 
+    def cell(self, us: Column) -> Column:
+        """The cell that holds a time; idle times shorter than CELL have cells of their own length."""
+        short = F.lit(CELL) if self.offline else F.least(F.lit(CELL).cast("bigint"), self.column())
+        return us - F.pmod(us, short)
+
     def column(self) -> Column:
         return F.when(F.col("proto") == 17, F.lit(self.udp)).otherwise(F.lit(self.tcp)).cast("bigint")
 
@@ -76,7 +83,7 @@ def cells(packets: DataFrame, timeouts: Timeouts) -> DataFrame:
     """Aggregates of each key and cell: the mergeable partial result of connection features."""
     us = micros("ts")
     p = with_key(packets).withColumns({"us": us, "idle": timeouts.column()})
-    p = p.where(F.col("us").isNotNull()).withColumn("cell", F.col("us") - F.pmod("us", F.lit(_OFFLINE_CELL) if timeouts.offline else F.col("idle")))
+    p = p.where(F.col("us").isNotNull()).withColumn("cell", timeouts.cell(F.col("us")))
     order = F.struct("us", "pkt_id")
     w = W.partitionBy(*KEY, "cell").orderBy("us", "pkt_id")
     p = p.withColumns({"gap": F.col("us") - F.lag("us").over(w), "nth": F.row_number().over(w)})
@@ -139,34 +146,67 @@ def connections(packets: DataFrame, timeouts: Timeouts = Timeouts()) -> DataFram
     )
 
 
-def assign(packets: DataFrame, timeouts: Timeouts = Timeouts()) -> DataFrame:
-    """packets with key columns, conn_no, and dir (true for packets of the originator)."""
-    numbered = number_cells(cells(packets, timeouts), timeouts)
-    opener = F.first("opener").over(W.partitionBy(*KEY, "conn_no").orderBy("first_us").rowsBetween(W.unboundedPreceding, W.currentRow))
-    table = numbered.select(*[F.col(k).alias(f"__{k}") for k in KEY], F.col("cell").alias("__cell"), "conn_no", opener["from_hi"].alias("__orig_hi"))
-    us = micros("ts")
-    p = with_key(packets).withColumn("__us", us)
-    step = F.lit(_OFFLINE_CELL) if timeouts.offline else timeouts.column()
-    p = p.withColumn("__c", F.col("__us") - F.pmod("__us", step))
+def _parts(packets: DataFrame, timeouts: Timeouts, marks: dict[str, Column]) -> DataFrame:
+    """What assign() needs to know of each cell; an aggregate without any order, so most of it happens before the shuffle."""
+    p = with_key(packets).withColumns({"us": micros("ts"), "idle": timeouts.column()})
+    p = p.where(F.col("us").isNotNull()).withColumn("cell", timeouts.cell(F.col("us")))
+    side = lambda own: F.max(F.when(own, F.col("us")))
+    return p.groupBy(*KEY, "idle", "cell").agg(
+        F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.min(F.struct("us", "pkt_id", "from_hi")).alias("opener"), F.count(F.lit(1)).alias("n"), F.sum(F.col("frame_len").cast("bigint")).alias("bytes"),
+        side(F.col("from_hi")).alias("last_hi"), side(~F.col("from_hi")).alias("last_lo"), *[F.max(F.coalesce(c, F.lit(False))).alias(f"__m_{k}") for k, c in marks.items()],
+    )
+
+
+def assign(packets: DataFrame, timeouts: Timeouts = Timeouts(), marks: dict[str, Column] | None = None, numbers: bool = False) -> DataFrame:
+    """packets with key columns, conn_no, and dir (true for packets of the originator).
+
+    marks: conditions on packets by name; a column of each says whether any packet of the connection meets it. numbers:
+    also nth (the packet's number in its connection, from 1), bytes_so_far, and gap_us (the time since the packet before
+    it in its direction, null for the first): each is counted within the cell, on top of what earlier cells come to.
+    """
+    marks = marks or {}
+    numbered = number_cells(_parts(packets, timeouts, marks), timeouts)
+    conn = W.partitionBy(*KEY, "conn_no").orderBy("first_us")
+    upto, earlier = conn.rowsBetween(W.unboundedPreceding, W.currentRow), conn.rowsBetween(W.unboundedPreceding, -1)
+    more = {"__orig_hi": F.first("opener").over(upto)["from_hi"]}
+    if numbers:
+        more |= {"__n": F.coalesce(F.sum("n").over(earlier), F.lit(0)), "__bytes": F.coalesce(F.sum("bytes").over(earlier), F.lit(0)), "__hi_us": F.max("last_hi").over(earlier), "__lo_us": F.max("last_lo").over(earlier)}
+    more |= {k: F.max(f"__m_{k}").over(W.partitionBy(*KEY, "conn_no")) for k in marks}
+    table = numbered.select(*[F.col(k).alias(f"__{k}") for k in KEY], F.col("cell").alias("__cell"), "conn_no", *[c.alias(k) for k, c in more.items()])
+    p = with_key(packets).withColumn("__us", micros("ts"))
+    p = p.where(F.col("__us").isNotNull()).withColumn("__c", timeouts.cell(F.col("__us")))
     # the table has few rows for each key; adaptive execution splits cells that hold very many packets
     on = (F.col("__c") == F.col("__cell")) & (F.col("key_hi") == F.col("__key_hi")) & (F.col("key_lo") == F.col("__key_lo")) & (F.col("proto") == F.col("__proto"))
     out = p.join(table, on).withColumn("dir", F.col("from_hi") == F.col("__orig_hi"))
-    return out.drop("__us", "__c", "__cell", "__orig_hi", *[f"__{k}" for k in KEY])
+    if numbers:
+        cell = W.partitionBy("__c", *KEY).orderBy("__us", "pkt_id")
+        way = W.partitionBy("__c", *KEY, "from_hi").orderBy("__us", "pkt_id")
+        before = F.coalesce(F.lag("__us").over(way), F.when(F.col("from_hi"), F.col("__hi_us")).otherwise(F.col("__lo_us")))
+        out = out.withColumns({"nth": F.col("__n") + F.row_number().over(cell), "bytes_so_far": F.col("__bytes") + F.sum(F.col("frame_len").cast("bigint")).over(cell.rowsBetween(W.unboundedPreceding, W.currentRow)), "gap_us": F.col("__us") - before})
+    return out.drop("__us", "__c", "__cell", "__orig_hi", "__n", "__bytes", "__hi_us", "__lo_us", *[f"__{k}" for k in KEY])
 
 
-def interarrivals(assigned: DataFrame) -> DataFrame:
+def interarrivals(numbered: DataFrame) -> DataFrame:
     """Gaps in ns between packets of one direction, in order: key, conn_no, interarrivals_ctos, interarrivals_stoc.
 
-    A list holds all gaps of its connection, so its row grows with the connection; for figures over gaps use the
-    connections' own features.
+    numbered: assign() with numbers. A list holds all gaps of its connection, so its row grows with the connection; for
+    figures over gaps use gap_us itself, or gap_figures().
     """
-    w = W.partitionBy(*KEY, "conn_no", "dir").orderBy(micros("ts"), "pkt_id")
-    gaps = assigned.withColumn("__us", micros("ts")).withColumn("__gap", (F.col("__us") - F.lag("__us").over(w)) * 1000)
-    pair = F.struct("__us", "pkt_id", F.col("__gap").alias("g"))
-    lists = gaps.groupBy(*KEY, "conn_no").agg(*[F.sort_array(F.collect_list(F.when((F.col("dir") == d) & F.col("__gap").isNotNull(), pair))).alias(n) for n, d in (("c", True), ("s", False))])
+    pair = F.struct("nth", (F.col("gap_us") * 1000).alias("g"))
+    lists = numbered.groupBy(*KEY, "conn_no").agg(*[F.sort_array(F.collect_list(F.when((F.col("dir") == d) & F.col("gap_us").isNotNull(), pair))).alias(n) for n, d in (("c", True), ("s", False))])
     return lists.select(*KEY, "conn_no", F.col("c.g").alias("interarrivals_ctos"), F.col("s.g").alias("interarrivals_stoc"))
 
 
+def gap_figures(numbered: DataFrame) -> DataFrame:
+    """key, conn_no and for each direction the number, sum and largest of its gaps in ns, without any list."""
+    ns = F.col("gap_us") * 1000
+    aggs = {}
+    for name, d in (("ctos", True), ("stoc", False)):
+        own = F.when(F.col("dir") == d, ns)
+        aggs |= {f"n_{name}": F.count(own), f"sum_{name}": F.coalesce(F.sum(own), F.lit(0)), f"max_{name}": F.coalesce(F.max(own), F.lit(0))}
+    return numbered.groupBy(*KEY, "conn_no").agg(*[c.alias(k) for k, c in aggs.items()])
+
+
 def packet_lists(assigned: DataFrame, item: str = "pkt_id") -> DataFrame:
     """key, conn_no, packets, packets_orig, packets_resp: the item (an id or the frame) of each packet in order of arrival.
 
@@ -178,11 +218,16 @@ def packet_lists(assigned: DataFrame, item: str = "pkt_id") -> DataFrame:
     return lists.select(*KEY, "conn_no", *[F.col(f"{n}.v").alias(n) for n in sides])
 
 
+#: Bytes of a stream whose spans are joined up together first; any number gives the same result.
+BLOCK = 1 << 20
+
+
 def content(assigned: DataFrame) -> DataFrame:
     """Final content of each direction by sequence number: key, conn_no, dir, n_chunks, content_gaps, missed_bytes.
 
-    Islands of [start, end) relative to the least sequence number; sequence numbers that wrap are taken by their distance
-    from the first packet's. Packets without payload hold no content.
+    Islands of [start, end) relative to the first packet's sequence number, from which those that wrap are taken by their
+    distance. Packets without payload hold no content. Spans are joined up within blocks of the stream first, then what is
+    left of the blocks, so a direction with very many segments is never ordered as a whole.
     """
     size = F.coalesce("payload_len", F.lit(0))
     p = assigned.where((F.col("proto") == 6) & (size > 0) & F.col("seq_no").isNotNull())
@@ -191,8 +236,15 @@ def content(assigned: DataFrame) -> DataFrame:
     half, full = 1 << 31, 1 << 32
     p = p.join(first, keys)
     off = F.pmod(F.col("seq_no") - F.col("__base") + half, F.lit(full).cast("bigint")) - half
-    spans = p.select(*keys, off.alias("s"), (off + size).alias("e")).distinct()
-    w = W.partitionBy(*keys).orderBy("s", "e").rowsBetween(W.unboundedPreceding, -1)
-    spans = spans.withColumn("before", F.max("e").over(w))
+    spans = p.select(*keys, off.alias("s"), (off + size).alias("e")).withColumn("b", F.expr(f"s - pmod(s, {BLOCK})"))
     new = F.when(F.col("before").isNull() | (F.col("s") > F.col("before")), 1).otherwise(0)
-    return spans.groupBy(*keys).agg(F.sum(new).alias("n_chunks"), (F.sum(new) - 1).alias("content_gaps"), F.coalesce(F.sum(F.when(F.col("s") > F.col("before"), F.col("s") - F.col("before"))), F.lit(0)).alias("missed_bytes"))
+
+    def islands(df: DataFrame, by: list[str]) -> DataFrame:
+        w = W.partitionBy(*by).orderBy("s", "e")
+        x = df.withColumn("before", F.max("e").over(w.rowsBetween(W.unboundedPreceding, -1))).withColumn("new", new)
+        return x.withColumn("no", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
+
+    whole = islands(spans, [*keys, "b"]).groupBy(*keys, "b", "no").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("no", "b")
+    w = W.partitionBy(*keys).orderBy("s", "e").rowsBetween(W.unboundedPreceding, -1)
+    whole = whole.withColumn("before", F.max("e").over(w))
+    return whole.groupBy(*keys).agg(F.sum(new).alias("n_chunks"), (F.sum(new) - 1).alias("content_gaps"), F.coalesce(F.sum(F.when(F.col("s") > F.col("before"), F.col("s") - F.col("before"))), F.lit(0)).alias("missed_bytes"))

@@ -84,7 +84,7 @@ def read_message(data: bytes) -> dict:
         return {"id": txid, "is_response": False, "body": {"num_questions": counts[0], "recursion_desired": bool(flags & 0x100), "queries": names}}
     code = flags & 15
     return {"id": txid, "is_response": True, "body": {
-        "response_code": CODES[code] if code < len(CODES) else "Reserved", "authoritative": bool(flags & 0x400), "recursion_available": bool(flags & 0x80),
+        "response_code": CODES[code] if code < len(CODES) else f"Reserved({code})", "authoritative": bool(flags & 0x400), "recursion_available": bool(flags & 0x80),
         "num_answers": counts[1], "num_additional": counts[3], "num_nameservers": counts[2], "answers": lists[0], "nameservers": lists[1], "additionals": lists[2],
     }}
 

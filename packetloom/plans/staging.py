@@ -63,13 +63,19 @@ def _end() -> None:
         _remove(spark, path)
 
 
+def claim(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, removed with the scope it was claimed in."""
+    path = f"{shared_folder(spark)}/staged/{name}-{uuid.uuid4().hex}"
+    _SCOPES[-1].append((spark, path))
+    return path
+
+
 def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Writes df to the shared folder and returns the table read back; removed with the scope it was staged in."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/staged/{name}-{uuid.uuid4().hex}"
+    path = claim(spark, name)
     writer = df.write.mode("errorifexists").option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    _SCOPES[-1].append((spark, path))
     return spark.read.schema(df.schema).parquet(path)

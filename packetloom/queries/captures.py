@@ -1,20 +1,13 @@
-"""Queries on frames and captures: decoding, protocol parsers, reassembly, triggers that follow the order of packets."""
+"""Queries on frames: decoding, triggers that follow the order of packets."""
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.functions.fingerprints import ja3_string, ja3s_string
 from packetloom.functions.headers import decode
 from packetloom.operators.conntrack import Timeouts
-from packetloom.operators.trace import sessions_of, trace_connections
-from packetloom.plans.staging import shared_folder
 from packetloom.queries import flows
-from packetloom.sources import pcap, samples
 from packetloom.sources.adapters import packets_from_events
 from packetloom.sources.tables import table
 from packetloom.streaming.triggers import batch_triggers
@@ -38,75 +31,6 @@ def ct_decode(spark: SparkSession, d: str) -> DataFrame:
     return x.select("pkt_id", *[F.coalesce(F.col(c).cast("bigint"), F.lit(-1)).alias(c) for c in ("proto", "src_addr", "dst_addr", "src_port", "dst_port", "seq_no", "ack_no", "tcp_flags", "time_to_live", "payload_len", "ipv4_ihl", "tcp_data_offset")])
 
 
-def _capture(spark: SparkSession) -> DataFrame:
-    """The sample captures, written where all executors can read them, as decoded frames."""
-    folder = shared_folder(spark).removeprefix("file://")
-    path = f"{folder}/captures-{uuid.uuid4().hex}"
-    os.makedirs(path)
-    pcap.write_pcap(f"{path}/a.pcap", samples.sample_capture())
-    pcap.write_pcap(f"{path}/b.pcap", samples.quic_capture())
-    return decode(pcap.read(spark, path), names=["eth_src", "eth_dst"])
-
-
-def src_pcap(spark: SparkSession, d: str) -> DataFrame:
-    return _capture(spark).select("pkt_id", "ts", "frame_len", "ip_version", "proto", "src_port", "dst_port", "payload_len", "vlan_tci")
-
-
-def _sessions(spark: SparkSession, protocol: str) -> DataFrame:
-    return sessions_of(trace_connections(_capture(spark), {protocol})).where(F.col("protocol") == protocol)
-
-
-def prs_http(spark: SparkSession, d: str) -> DataFrame:
-    return _sessions(spark, "http").select("conn_id", "http.trans_depth", "http.request.uri", "http.request.host", "http.response.status_code")
-
-
-def prs_dns(spark: SparkSession, d: str) -> DataFrame:
-    return _sessions(spark, "dns").select("conn_id", "dns.transaction_id", F.get("dns.query.queries", F.lit(0)).alias("domain"), "dns.response.response_code")
-
-
-def prs_ssh(spark: SparkSession, d: str) -> DataFrame:
-    return _sessions(spark, "ssh").select("conn_id", "ssh.client_version_exchange.softwareversion", F.array_join("ssh.key_exchange.kex_algs", ",").alias("kex_algs"))
-
-
-def prs_tls(spark: SparkSession, d: str) -> DataFrame:
-    """Names asked for with the fingerprints of both hellos and the bytes of the connection."""
-    c = trace_connections(_capture(spark), {"tls"})
-    s = sessions_of(c).where(F.col("protocol") == "tls").join(c.select("conn_id", "byte_count"), "conn_id")
-    return s.select("conn_id", F.coalesce("tls.client_hello.server_name", F.lit("")).alias("sni"), F.md5(ja3_string().cast("binary")).alias("ja3"), F.md5(ja3s_string().cast("binary")).alias("ja3s"), "byte_count")
-
-
-def prs_quic(spark: SparkSession, d: str) -> DataFrame:
-    return _sessions(spark, "quic").select("conn_id", "quic.tls.client_hello.server_name", F.size("quic.packets").alias("n_packets"), F.array_join("quic.cids", ",").alias("cids"))
-
-
-def fn_ja3_md5(spark: SparkSession, d: str) -> DataFrame:
-    return _sessions(spark, "tls").select("conn_id", ja3_string().alias("ja3_str"), F.md5(ja3_string().cast("binary")).alias("ja3_hash"))
-
-
-def ct_reassembly(spark: SparkSession, d: str) -> DataFrame:
-    """Packets of each connection of the captures in the order of its streams."""
-    c = trace_connections(_capture(spark), set())
-    return c.where("proto = 6").select("conn_id", "closed_by", F.size("packets_orig_reassembled").alias("n_orig"), F.size("packets_resp_reassembled").alias("n_resp"), "orig_flow.content_gaps", "orig_flow.missed_bytes")
-
-
-def ct_fin_rst(spark: SparkSession, d: str) -> DataFrame:
-    """Connections that begin with a SYN and end by FIN, RST or idle time, from the ordered packets of each key."""
-    c = trace_connections(packets_from_events(spark, d), set(), LONG, lists=False)
-    return c.select("conn_id", "proto", "first_us", "last_us", "closed_by", "history", "pkt_count", "byte_count")
-
-
-def agg_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks and gaps of the originator's content as they stood when a connection ended."""
-    c = trace_connections(packets_from_events(spark, d).withColumn("payload", F.expr("cast(repeat('x', payload_len) as binary)")), set(), LONG, lists=False)
-    f = F.col("orig_flow")
-    return c.where("proto = 6").select("conn_id", F.size(f["chunks"]).alias("n_chunks"), f["max_simult_gaps"].alias("max_gaps"), f["missed_bytes"].alias("missed_bytes"), f["mean_pkts_to_fill"].alias("mean_pkts_to_fill"), f["median_pkts_to_fill"].alias("median_pkts_to_fill"))
-
-
-def agg_sessionlist(spark: SparkSession, d: str) -> DataFrame:
-    c = trace_connections(_capture(spark))
-    return c.select("conn_id", "service", F.size("sessions").alias("n_sessions"))
-
-
 def ex_streaming(spark: SparkSession, d: str) -> DataFrame:
     """Packet and byte counts of connections at every tenth packet to or from one port."""
     from packetloom.plans.subscribe import Subscription
@@ -116,16 +40,6 @@ def ex_streaming(spark: SparkSession, d: str) -> DataFrame:
     return deliver_firings(sub, packets_from_events(spark, d), LONG).select("pkt_id", "PktCount", "FilterStr", "byte_count")
 
 
-def ex_golden(spark: SparkSession, d: str) -> DataFrame:
-    """Name, addresses and bytes of every TLS handshake of the captures, by subscription."""
-    from packetloom.plans.subscribe import Subscription, deliver
-    from packetloom.sources.traffic import traffic_from_frames
-
-    sub = Subscription("tls", ("TlsHandshake", "FiveTuple", "ByteCount"))
-    rows = deliver(sub, traffic_from_frames(_capture(spark), sub.protocols))
-    return rows.select("conn_id", F.coalesce("TlsHandshake.client_hello.server_name", F.lit("")).alias("sni"), "FiveTuple.orig", "FiveTuple.resp", F.col("ByteCount").alias("byte_count"))
-
-
 def _fired(unit: str, n: float, until=None):
     def run(spark: SparkSession, d: str) -> DataFrame:
         return batch_triggers(packets_from_events(spark, d), unit, n, LONG, until).select("pkt_id", "pkt_count", "byte_count", "firing")
@@ -134,13 +48,23 @@ def _fired(unit: str, n: float, until=None):
 
 
 QUERIES = {
-    **{f.__name__: f for f in (ct_decode, src_pcap, prs_http, prs_dns, prs_ssh, prs_tls, prs_quic, fn_ja3_md5, ct_reassembly, ct_fin_rst, agg_chunks, agg_sessionlist, ex_streaming, ex_golden)},
+    **{f.__name__: f for f in (ct_decode, ex_streaming)},
     "str_bytes_n": _fired("bytes", 1000), "str_seconds_s": _fired("seconds", 60), "str_packets_state": _fired("packets", 3), "str_unsubscribe": _fired("packets", 2, lambda pkts, size: pkts >= 5),
 }
+#: Triggers by bytes and seconds depend on what fired before, so SQL walks each connection packet by packet.
+_WALK = """, n as (select hi, lo, proto, conn_no, pkt_id, us, frame_len, nth, sum(frame_len) over (partition by hi, lo, proto, conn_no order by us, pkt_id) bytes from r),
+w as (select hi, lo, proto, conn_no, pkt_id, nth, bytes, true fires, {first} state, 1 firing from n where nth = 1
+  union all select n.hi, n.lo, n.proto, n.conn_no, n.pkt_id, n.nth, n.bytes, {test}, case when {test} then {again} else {keep} end, w.firing + case when {test} then 1 else 0 end
+  from w join n on n.hi = w.hi and n.lo = w.lo and n.proto = w.proto and n.conn_no = w.conn_no and n.nth = w.nth + 1)
+select pkt_id, nth::bigint pkt_count, bytes::bigint byte_count, firing::int firing from w where fires"""
+_recursive = lambda walk: flows._XE.replace("with", "with recursive", 1) + walk
+
 SQL = {
-    "ex_streaming": f"{flows._X}, f as (select *, row_number() over (partition by hi, lo, proto, conn_no order by us, pkt_id) k, sum(frame_len) over (partition by hi, lo, proto, conn_no order by us, pkt_id) bytes from r where proto = 6 and (sport = 443 or dport = 443)) select pkt_id, k::bigint as \"PktCount\", 'tcp.port = 443' as \"FilterStr\", bytes::bigint byte_count from f where (k - 1) % 10 = 0",
-    "str_packets_state": f"{flows._X} select pkt_id, nth::bigint pkt_count, byte_count::bigint byte_count, ((nth - 1) // 3 + 1)::int firing from (select *, sum(frame_len) over (partition by hi, lo, proto, conn_no order by us, pkt_id) byte_count from r) where (nth - 1) % 3 = 0",
-    "str_unsubscribe": f"{flows._X} select pkt_id, nth::bigint pkt_count, byte_count::bigint byte_count, ((nth - 1) // 2 + 1)::int firing from (select *, sum(frame_len) over (partition by hi, lo, proto, conn_no order by us, pkt_id) byte_count from r) where (nth - 1) % 2 = 0 and nth <= 5",
+    "str_bytes_n": _recursive(_WALK.format(first="1000::bigint", test="w.state - n.frame_len <= 0", again="1000", keep="w.state - n.frame_len")),
+    "str_seconds_s": _recursive(_WALK.format(first="us", test="n.us - w.state >= 60000000", again="n.us", keep="w.state")),
+    "ex_streaming": f"{flows._XE}, f as (select *, row_number() over (partition by hi, lo, proto, conn_no order by us, pkt_id) k, sum(frame_len) over (partition by hi, lo, proto, conn_no order by us, pkt_id) bytes from r where proto = 6 and (sport = 443 or dport = 443)) select pkt_id, k::bigint as \"PktCount\", 'tcp.port = 443' as \"FilterStr\", bytes::bigint byte_count from f where (k - 1) % 10 = 0",
+    "str_packets_state": f"{flows._XE} select pkt_id, nth::bigint pkt_count, byte_count::bigint byte_count, ((nth - 1) // 3 + 1)::int firing from (select *, sum(frame_len) over (partition by hi, lo, proto, conn_no order by us, pkt_id) byte_count from r) where (nth - 1) % 3 = 0",
+    "str_unsubscribe": f"{flows._XE} select pkt_id, nth::bigint pkt_count, byte_count::bigint byte_count, ((nth - 1) // 2 + 1)::int firing from (select *, sum(frame_len) over (partition by hi, lo, proto, conn_no order by us, pkt_id) byte_count from r) where (nth - 1) % 2 = 0 and nth <= 5",
     "ct_decode": """with pk as (select distinct pkt_id, proto, src_addr, dst_addr, src_port, dst_port, seq_no, ack_no, tcp_flags, time_to_live, total_length from packets
   where src_addr is not null and dst_addr is not null and src_port is not null and dst_port is not null and total_length between 0 and 65535 and time_to_live is not null),
 x as (select *, total_length - 20 - case when proto = 6 then 20 else 8 end size from pk)

@@ -37,6 +37,27 @@ def packets_from_events(spark: SparkSession, d: str) -> DataFrame:
     return flat.withColumns({"src_ip": raw("src_addr"), "dst_ip": raw("dst_addr"), "seq_no": F.col("pkt_id") * 500, "ack_no": F.lit(0).cast("bigint")})
 
 
+#: Times of the sample are divided by this, so that packets of a flow come close enough to make connections.
+FLOW_DIVISOR = 100
+#: Flows of the packets table for DuckDB, to stand before a query as `with pk as (...)`. Ends are hexadecimal text.
+FLOWS_SQL = """
+with pk as (select distinct pkt_id, epoch_us(ts) // {div} us, proto, {end_s} se, {end_d} de, coalesce(tcp_flags, 0) flags, payload_len, frame_len, seq_no from packets
+  where proto in (6, 17) and src_port is not null and dst_port is not null and src_ip is not null and dst_ip is not null and ts is not null)
+"""
+_END = "case when ip_version = 4 then substr(hex({p}_ip), 1, 4) || '0000' else substr(hex({p}_ip), 1, 8) || repeat('0', 24) end || printf('%04X', case when {p}_port < 1024 then {p}_port else 40000 end)"
+FLOWS_SQL = FLOWS_SQL.format(div=FLOW_DIVISOR, end_s=_END.format(p="src"), end_d=_END.format(p="dst"))
+
+
+def flows_from_packets(spark: SparkSession, d: str) -> DataFrame:
+    """Packets of the packets table, each once, as flows between networks: addresses are cut to 16 bits of IPv4 and 32 of
+    IPv6, ports that are not well known are one, and times lie closer together, so that packets of a sample come to have others of their flow."""
+    p = table(spark, d, "packets").select("pkt_id", "ts", "ip_version", "src_ip", "dst_ip", "src_port", "dst_port", "proto", "tcp_flags", "seq_no", "ack_no", "payload_len", "frame_len").distinct()
+    net = lambda c: F.when(F.col("ip_version") == 4, F.concat(F.substring(c, 1, 2), F.lit(bytes(2)))).otherwise(F.concat(F.substring(c, 1, 4), F.lit(bytes(12))))
+    port = lambda c: F.when(F.col(c) < 1024, F.col(c)).when(F.col(c).isNotNull(), 40000)
+    p = p.withColumn("ts", F.timestamp_micros(F.expr(f"unix_micros(cast(ts as timestamp)) div {FLOW_DIVISOR}")))
+    return p.withColumns({"src_ip": net("src_ip"), "dst_ip": net("dst_ip"), "src_port": port("src_port"), "dst_port": port("dst_port")})
+
+
 def _split(text: str) -> list[str]:
     """Top-level commas of a select list."""
     out, depth, last = [], 0, 0

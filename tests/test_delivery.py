@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from packetloom.observe import counted, rates
 from packetloom.operators.conntrack import Timeouts
 from packetloom.plans.subscribe import DATATYPES, Level, Subscription, SubscriptionError, deliver, deliver_all, load_subscriptions
-from packetloom.queries import activity, captures, flows, headers, services
+from packetloom.queries import activity, captures, flows, headers, protocols, services
 from packetloom.functions.headers import decode
 from packetloom.sources import pcap, samples, sinks
 from packetloom.sources.adapters import packets_from_events
@@ -159,7 +159,7 @@ def test_counters(spark):
     assert rates({"total_pkts": 10, "total_bytes": 1000}, 2)["ingress_bps"] == (1000 + 200) * 8 / 2
 
 
-SOME = ["p4_found", "p4_sessions", "p5_found", "p5_addresses", "p5_first_hour", "op_in_cidr6", "flt_precedence", "jn_cidr_range", "jn_rules_packets", "ct_timeout_tcp", "agg_connrecord", "agg_content_gaps", "agg_interarrivals", "stg_packet_deliver", "str_packets_n", "str_unsubscribe", "stg_conn_deliver", "op_bre", "ex_basic", "ex_protocols", "jn_dns_txid", "ct_decode", "obs_counters"]
+SOME = ["p4_found", "p4_sessions", "p5_found", "p5_addresses", "p5_first_hour", "op_in_cidr6", "flt_precedence", "jn_cidr_range", "jn_rules_packets", "ct_timeout_tcp", "agg_connrecord", "agg_content_gaps", "agg_interarrivals", "agg_gap_figures", "agg_pktlists", "jn_conn_packets", "str_packets_n", "str_bytes_n", "str_seconds_s", "str_unsubscribe", "stg_conn_deliver", "op_bre", "ex_basic", "ex_protocols", "jn_dns_txid", "ct_decode", "obs_counters", *protocols.QUERIES]
 
 
 @pytest.mark.parametrize("name", SOME)
@@ -168,7 +168,7 @@ def test_queries(spark, duck, name):
 
 
 def test_registry():
-    core = [activity, headers, flows, services, captures]
+    core = [activity, headers, flows, services, captures, protocols]
     names = [n for m in core for n in m.QUERIES]
     assert len(names) == len(set(names)) and all(s in names for m in core for s in m.SQL)
     assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -210,9 +210,34 @@ def test_features_random(spark, seed):
     assigned = C.assign(df, same)
     assert assigned.count() == len(rows)
     assert assigned.groupBy(*C.KEY, "conn_no").count().count() == len(got)
+    numbered = C.assign(df, same, marks={"fin": F.col("tcp_flags") == 17}, numbers=True).collect()
+    by = defaultdict(list)
+    for x in sorted(numbered, key=lambda x: (x.us, x.pkt_id)):
+        by[bytes(x.key_hi), bytes(x.key_lo), x.proto, x.conn_no].append(x)
+    for ps in by.values():
+        last = {}
+        for i, x in enumerate(ps):
+            assert x.nth == i + 1 and x.bytes_so_far == sum(p.frame_len for p in ps[: i + 1]) and x.fin == any(p.tcp_flags == 17 for p in ps)
+            assert x.gap_us == (x.us - last[x.dir] if x.dir in last else None)
+            last[x.dir] = x.us
     assert C.connections(df.limit(0)).count() == 0
 
 
+def test_hot_flow_is_spread(spark):
+    """A flow with a third of all packets: no window or join holds more of it than a cell or a block."""
+    n = 60_000
+    hot = F.col("id") % 3 == 0
+    ip = lambda x: F.unhex(F.lpad(F.hex(x), 8, "0"))
+    df = spark.range(n).select(F.col("id").alias("pkt_id"), F.timestamp_micros(F.col("id") * 10_000).alias("ts"), F.when(hot, ip(F.lit(1))).otherwise(ip(F.col("id") % 500 + 2)).alias("src_ip"), ip(F.lit(7)).alias("dst_ip"), F.lit(1).alias("src_port"), F.lit(2).alias("dst_port"), F.lit(6).alias("proto"), F.lit(24).alias("tcp_flags"), (F.col("id") * 100).alias("seq_no"), F.lit(100).alias("payload_len"), F.lit(154).alias("frame_len"))
+    numbered = C.assign(df, numbers=True)
+    top = numbered.where(F.hex("src_ip") == "00000001").agg(F.max("nth"), F.max("bytes_so_far"), F.max("gap_us")).collect()[0]
+    assert tuple(top) == (n // 3, n // 3 * 154, 30_000)
+    keyed = C.with_key(df).withColumn("cell", C.Timeouts().cell(F.unix_micros("ts")))
+    assert keyed.groupBy(*C.KEY, "cell").count().agg(F.max("count")).first()[0] <= C.CELL // 30_000 + 1
+    c = C.content(C.assign(df).where(F.hex("src_ip") == "00000001")).collect()
+    assert [(x.n_chunks, x.missed_bytes) for x in c] == [(n // 3, 200 * (n // 3 - 1))]
+
+
 def test_closing(spark):
     turns = samples.talk([(True, b"hello")], start=0)
     again = samples.talk([(True, b"more")], start=100_000, isn=90_000, close=False)
