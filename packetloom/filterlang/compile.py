@@ -191,6 +191,30 @@ class Filter:
         return self._column(decide, True)
 
 
+def operand(p: Predicate, stage: str, columns: list[str], service: str | None = None) -> tuple[Column, Column | None, str]:
+    """What a predicate looks at, apart from its value: the condition of its layer, its field (None if unary), the kind.
+
+    stage is packet, connection or session, whose columns the rows must have.
+    """
+    if p.proto in HEADERS:
+        layer = _layer(p.proto)
+        if p.unary:
+            return layer, None, R.INT
+        kind = R.ADDR if p.field in ("src_addr", "dst_addr") else R.INT
+        if stage != "packet":
+            return layer, F.col(_end(p)), kind
+        name = p.field.replace("addr", "ip") if kind == R.ADDR and p.proto == "ipv6" else p.field
+        c = R.header_column(p.proto, name, set(columns))
+        if c is None:
+            raise InvalidHeader(f"{p.proto}.{p.field} is in none of the columns")
+        return layer, c, kind
+    own = F.col(service or ("protocol" if stage == "session" else "service")) == p.proto
+    if p.unary:
+        return own, None, R.TEXT
+    kind, made = R.SESSION_FIELDS[p.proto][p.field]
+    return own, made(), kind
+
+
 def _fold(parts: list[Column], op: Callable[[Column, Column], Column]) -> Column:
     out = parts[0]
     for c in parts[1:]:

@@ -11,6 +11,7 @@ from packetloom.filterlang import Filter, holds
 from packetloom.functions.net import ipv4_subnet, wire_bits, wrapping_lt
 from packetloom.plans.subscribe import continue_packets
 from packetloom.operators.rules import Rule, match_filters, match_prefixes
+from packetloom.sources.config import sample_flows
 from packetloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,7 +41,7 @@ FILTERS = {
     "op_ge": ("ipv4.time_to_live >= 128", "ip_version = 4 and time_to_live >= 128"),
     "op_le": ("ipv4.total_length le 60", "ip_version = 4 and total_length <= 60"),
     "op_gt": ("tcp.src_port > 60000", "proto = 6 and src_port > 60000"),
-    "op_lt": ("tcp.src_port lt 1024", "proto = 6 and src_port < 1024"),
+    "op_lt": ("ipv4.time_to_live lt 60", "ip_version = 4 and time_to_live < 60"),
     "op_in_range": ("tcp.port in 8000..8999", "proto = 6 and (coalesce(src_port between 8000 and 8999, false) or coalesce(dst_port between 8000 and 8999, false))"),
     "op_in_cidr4": ("ipv4.dst_addr in 198.18.0.0/16", "ip_version = 4 and dst_addr between 3323068416 and 3323133951"),
     "op_eq_cidr4": ("ipv4.src_addr = 10.0.0.0/9", "ip_version = 4 and src_addr between 167772160 and 176160767"),
@@ -60,9 +61,8 @@ FILTERS = {
 
 def src_sampling(spark: SparkSession, d: str) -> DataFrame:
     """Half of the flows, whole: 256 of 512 buckets of a key that is the same in both directions."""
-    p = _packets(spark, d, "src_addr", "dst_addr", "src_port", "dst_port", "proto", "frame_len").where(F.col("src_addr").isNotNull() & F.col("src_port").isNotNull())
-    bucket = F.pmod(F.col("src_addr") + F.col("dst_addr") + F.col("src_port") + F.col("dst_port") + F.col("proto"), F.lit(512).cast("bigint"))
-    return p.where(bucket < 256).groupBy("proto").agg(F.count(F.lit(1)).alias("n"), F.sum("frame_len").alias("bytes"))
+    kept = sample_flows(_packets(spark, d, "src_ip", "dst_ip", "src_port", "dst_port", "proto", "frame_len"), 256)
+    return kept.select("pkt_id", "proto", "frame_len")
 
 
 NETS = [("lab", "198.18.0.0", 15), ("lab_low", "198.18.0.0", 17), ("inside", "10.0.0.0", 8), ("servers", "172.16.0.0", 12), ("host", "198.18.0.37", 32), ("all", "0.0.0.0", 0)]
@@ -97,6 +97,26 @@ def jn_rules_packets(spark: SparkSession, d: str) -> DataFrame:
     return met.groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("dst_addr").alias("n_targets"))
 
 
+#: As many rules as a large deployment has: number of each kind, filter and SQL condition of rule i.
+MANY = [
+    (1299, "tcp.dst_port = {i} and ipv4.time_to_live >= {ttl}", "ip_version = 4 and proto = 6 and dst_port = i and time_to_live >= i % 60 + 30"),
+    (244, "udp.port = {three} or tcp.src_port = {high}", "(proto = 17 and (coalesce(src_port = i * 3, false) or coalesce(dst_port = i * 3, false))) or (proto = 6 and src_port = 40000 + i)"),
+    (16, "ipv4.dst_addr in 198.18.{eight}.0/21 and udp", "ip_version = 4 and proto = 17 and dst_addr between 3323068416 + i * 2048 and 3323068416 + i * 2048 + 2047"),
+    (16, "ipv4.time_to_live = {nine} and tcp.syn = 1", "ip_version = 4 and proto = 6 and time_to_live = i * 9 and (tcp_flags & 2) <> 0"),
+]
+
+
+def many_rules(most: int = 1575) -> list[Rule]:
+    every = [Rule(f"k{k}_{i}", f.format(i=i, ttl=i % 60 + 30, three=i * 3, high=40000 + i, eight=i * 8, nine=i * 9)) for k, (n, f, _) in enumerate(MANY) for i in range(n)]
+    return every[:: max(1, len(every) // most)][:most]
+
+
+def jn_rules_many(spark: SparkSession, d: str) -> DataFrame:
+    """Packets and bytes of each of 1,575 rules, all decided in one pass."""
+    p = _packets(spark, d, "ip_version", "proto", "src_addr", "dst_addr", "src_port", "dst_port", "time_to_live", "tcp_flags", "frame_len")
+    return match_filters(p, many_rules()).groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.sum("frame_len").alias("bytes"))
+
+
 def stg_packet_shared(spark: SparkSession, d: str) -> DataFrame:
     """Packets that any of several subscriptions may want, also those decided later."""
     p = _packets(spark, d, *[c for c in _HEADERS if c != "pkt_id"])
@@ -147,14 +167,16 @@ _KEPT = "(proto = 6 and ip_version in (4, 6)) or (proto = 17 and (coalesce(src_p
 
 QUERIES: dict[str, Query] = {
     **{n: _filtered(f) for n, (f, _) in FILTERS.items()},
-    "src_sampling": src_sampling, "jn_cidr_range": jn_cidr_range, "jn_rules_packets": jn_rules_packets, "stg_packet_shared": stg_packet_shared, "fn_subnet": fn_subnet, "fn_wrapping_lt": fn_wrapping_lt, "fn_wire_bits": fn_wire_bits,
+    "src_sampling": src_sampling, "jn_cidr_range": jn_cidr_range, "jn_rules_packets": jn_rules_packets, "jn_rules_many": jn_rules_many, "stg_packet_shared": stg_packet_shared, "fn_subnet": fn_subnet, "fn_wrapping_lt": fn_wrapping_lt, "fn_wire_bits": fn_wire_bits,
     "obs_counters": obs_counters, "ex_port_count": ex_port_count,
 }
 SQL = {
     **{n: f"{_PK} select pkt_id, proto, frame_len from pk where {c}" for n, (_, c) in FILTERS.items()},
-    "src_sampling": f"{_PK} select proto, count(*)::bigint n, sum(frame_len)::bigint bytes from pk where src_addr is not null and src_port is not null and (src_addr + dst_addr + src_port + dst_port + proto) % 512 < 256 group by proto",
+    "src_sampling": f"""{_PK}, k as (select *, hex(src_ip) || printf('%04X', src_port) s, hex(dst_ip) || printf('%04X', dst_port) e from pk where src_port is not null and dst_port is not null and src_ip is not null and dst_ip is not null and proto in (6, 17))
+select pkt_id, proto, frame_len from k where ('0x' || substr(md5(greatest(s, e) || least(s, e) || proto), 1, 4))::int % 512 < 256""",
     "jn_cidr_range": f"{_PK}, nets as ({_NET_SQL}) select rule, count(*)::bigint n, sum(frame_len)::bigint bytes from pk join nets on dst_addr between low and high group by rule",
     "jn_rules_packets": f"{_PK} select rule, count(*)::bigint n, count(distinct dst_addr)::bigint n_targets from ({_CASES}) group by rule",
+    "jn_rules_many": f"{_PK} select rule, count(*)::bigint n, sum(frame_len)::bigint bytes from (" + " union all ".join(f"select 'k{k}_' || i as rule, frame_len from pk join (select unnest(range(0, {n})) i) r on {c}" for k, (n, _, c) in enumerate(MANY)) + ") group by rule",
     "stg_packet_shared": f"{_PK} select pkt_id, proto from pk where (proto = 17 and dst_port = 53) or (proto = 6 and dst_port = 443) or (ip_version = 4 and time_to_live < 10)",
     "fn_subnet": f"{_PK} select case when dst_addr = 4294967295 or dst_addr >> 28 = 14 then concat_ws('.', dst_addr >> 24, (dst_addr >> 16) & 255, (dst_addr >> 8) & 255, dst_addr & 255) else concat_ws('.', dst_addr >> 24, (dst_addr >> 16) & 255, (dst_addr >> 8) & 255, 0) end subnet, count(*)::bigint n from pk where dst_addr is not null group by 1",
     "fn_wrapping_lt": f"{_PK} select pkt_id, ((seq_no - ack_no) % 4294967296 + 4294967296) % 4294967296 > 2147483648 as before from pk where proto = 6",

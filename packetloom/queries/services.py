@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from packetloom.filterlang import Filter
 from packetloom.functions.net import five_tuple_text, ipv4_subnet, transport_text
 from packetloom.operators.pairing import pair_by_transaction, pair_in_order
-from packetloom.operators.rules import match_values
+from packetloom.operators.rules import Rule, match_filters, match_values
 from packetloom.plans.subscribe import Subscription, deliver, deliver_all
 from packetloom.sources.tables import table
 from packetloom.sources.traffic import connection_rows, dns_sessions, ssh_sessions, traffic_from_tables
@@ -71,6 +71,7 @@ SSH = {
     "op_byte_contains": ("ssh.key_exchange_cookie_stoc contains |15|", "len(list_filter(range(0, octet_length(coalesce(key_exchange.cookie, ''::blob))), lambda i: substr(hex(key_exchange.cookie), 2 * i + 1, 2) = '15')) > 0"),
     "op_byte_not_contains": ("ssh.key_exchange_cookie_stoc !contains |1A|", "len(list_filter(range(0, octet_length(coalesce(key_exchange.cookie, ''::blob))), lambda i: substr(hex(key_exchange.cookie), 2 * i + 1, 2) = '1A')) = 0"),
     "op_bre": ("ssh.key_exchange_cookie_stoc ~b '^[\\xf0-\\xff]'", "coalesce(hex(key_exchange.cookie), '') like 'F%'"),
+    "op_en": ("ssh.comments_ctos eq 'kestrel-4'", "coalesce(client_version_exchange.comments, '') = 'Kestrel-4'"),
     "ex_ssh_bytes": ("ssh.key_exchange_cookie_stoc contains |15| and ssh.software_version_ctos matches '^Ferrossh' and tcp.dst_port = 22", None),
 }
 DNS = {
@@ -79,13 +80,6 @@ DNS = {
 }
 
 
-def op_en(spark: SparkSession, d: str) -> DataFrame:
-    """Equality with the camel-case name of a variant, as enumerated values are written: here the response code."""
-    s = dns_sessions(spark, d)
-    name = F.lit("".join(w[:1].upper() + w[1:] for w in "name_error".split("_")))
-    return s.where(F.coalesce(F.col("dns.response.response_code") == name, F.lit(False))).select("session_id", "conn_id")
-
-
 def ex_basic(spark: SparkSession, d: str) -> DataFrame:
     """Domain of each DNS session with the record of its connection."""
     sub = Subscription("dns", ("DnsTransaction", "FiveTuple"))
@@ -176,20 +170,34 @@ def jn_rules_re(spark: SparkSession, d: str) -> DataFrame:
     return s.select("session_id", F.explode(F.filter(marks, lambda m: m.isNotNull())).alias("rule"))
 
 
-def ex_filter_stats(spark: SparkSession, d: str) -> DataFrame:
-    """How many sessions each of a list of rules lets through."""
-    from packetloom.operators.rules import Rule, match_filters
+#: Families of names, of which a rule each asks for 100 by number; and versions by number, and patterns.
+FAMILIES = [f"{a}#.{b}" for a, b in (x.split() for x in "del tavkel.test|tav quoyar.example|lum wilgri.invalid|vex jungri.corp.example|kel grihol.example|vex kelsol.invalid|del zedcor.lab.test|vex yarwil.corp.example|del ossrin.corp.example|quo zedjun.example|gri barin.corp.example|lum wilwil.lab.test|ba morjun.invalid|rin cortav.lab.test|kel rinjun.test".split("|"))]
+N_VERSIONS, LETTERS = 59, "abcdfgklmnqrtuvw"
+
+
+def filter_rules(most: int = 1575) -> list[Rule]:
+    """1,500 names, 59 versions and 16 patterns, or an even choice of them."""
+    every = [Rule(f"name_{k}_{i}", f"dns.query_domain = '{f.replace('#', str(i))}'") for k, f in enumerate(FAMILIES) for i in range(100)]
+    every += [Rule(f"version_{i}", f"ssh.software_version_ctos = 'Ferrossh_{i // 10}.{i % 10}' and tcp.dst_port = 22") for i in range(N_VERSIONS)]
+    every += [Rule(f"like_{x}", f"dns.query_domain ~ '^{x}[a-z]+[0-9]+\\.' and udp") for x in LETTERS]
+    return every[:: max(1, len(every) // most)][:most]
 
+
+def session_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions of all kinds with what their connections are matched by."""
     t = traffic_from_tables(spark, d)
-    conns = t.connections.drop("interarrivals_ctos", "interarrivals_stoc")
-    rows = ssh_sessions(spark, d).join(conns, "conn_id")
-    rules = [Rule(n, SSH[n][0]) for n in ("op_re", "op_text_ne", "op_contains", "op_not_contains")]
-    return match_filters(rows, rules, stage="session").groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+    ends = [c for c in t.connections.columns if c not in (*t.sessions.columns, "interarrivals_ctos", "interarrivals_stoc")]
+    return t.sessions.join(t.connections.select("conn_id", *ends), "conn_id")
+
+
+def ex_filter_stats(spark: SparkSession, d: str) -> DataFrame:
+    """How many sessions each of 1,575 rules lets through."""
+    return match_filters(session_rows(spark, d), filter_rules(), stage="session").groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
 QUERIES = {
     **{n: _conn(f) for n, (f, _) in CONNECTIONS.items()}, **{n: _ssh(f) for n, (f, _) in SSH.items()}, **{n: _dns(f) for n, (f, _) in DNS.items()},
-    **{f.__name__: f for f in (op_en, ex_basic, ex_basic_file, stg_dedup, ex_websites, ex_protocols, fn_fivetuple_str, jn_dns_txid, jn_http_pairing, jn_semi_packets, jn_rules_eq, jn_rules_re, ex_filter_stats)},
+    **{f.__name__: f for f in (ex_basic, ex_basic_file, stg_dedup, ex_websites, ex_protocols, fn_fivetuple_str, jn_dns_txid, jn_http_pairing, jn_semi_packets, jn_rules_eq, jn_rules_re, ex_filter_stats)},
 }
 _odd = "case when service = 'quic' and proto = 17 and orig_port <> 443 and resp_port <> 443 then 'quic' when service = 'tls' and proto = 6 and orig_port <> 443 and resp_port <> 443 then 'tls' when service = 'http' and proto = 6 and orig_port not in (80, 8080) and resp_port not in (80, 8080) then 'http' when service = 'dns' and proto in (6, 17) and orig_port <> 53 and resp_port <> 53 then 'dns' end"
 _ssh_all = "sh join c using (conn_id) where c.proto = 6"
@@ -198,7 +206,6 @@ SQL = {
     **{n: f"{_C} select conn_id, orig, resp, coalesce(pkt_count, -1) pkt_count from c where {w}" for n, (_, w) in CONNECTIONS.items()},
     **{n: f"{_C} select conn_id, session_id, client_version_exchange.softwareversion software from {_ssh_all} and ({w or _ssh_bytes})" for n, (_, w) in SSH.items()},
     **{n: f"{_C} select conn_id, session_id, $f${f}$f$ as \"FilterStr\" from dq join c using (conn_id) where {w}" for n, (f, w) in DNS.items()},
-    "op_en": f"{_C} select session_id, conn_id from dn where response.response_code = 'NameError'",
     "ex_basic": f"{_C} select session_id, conn_id, domain, coalesce(pkt_count, -1) pkt_count, coalesce(byte_count, -1) byte_count, history from dq join c using (conn_id)",
     "ex_basic_file": f"{_C} select f as \"FilterStr\", count(*)::bigint n, count(distinct conn_id)::bigint n_conns from (" + " union all ".join(f"select conn_id, $f$dns.query_domain ~ '^.*\\.{t}$'$f$ f from dq join c using (conn_id) where regexp_matches(domain, '^.*\\.{t}$')" for t in TLDS) + ") group by f",
     "stg_dedup": f"{_C} select session_id, conn_id from dq join c using (conn_id)",
@@ -214,5 +221,8 @@ select conn_id, depth::int depth, coalesce(q.session_id, -1) request_id, coalesc
     "jn_semi_packets": f"{_C}, hit as (select conn_id from c where ip_version = 4 and resp_addr between 3323068416 and 3323199487) select session_id, coalesce(conn_id in (select conn_id from hit), false) matched from dn",
     "jn_rules_eq": f"{_C}, rules as (select 'rule_' || n_nationkey as rule, 'mail.' || lower(n_name) || '.example' as value from nation union all values ('time_sync', 'time.lumoss.example'), ('api', 'api.lumgri.test')) select rule, count(*)::bigint n from dq join rules on lower(domain) = value group by rule",
     "jn_rules_re": f"{_C} " + " union all ".join(f"select session_id, '{n}' as rule from dq where regexp_matches(domain, '{p}')" for n, p in PATTERNS),
-    "ex_filter_stats": f"{_C} select rule, count(*)::bigint n from (" + " union all ".join(f"select '{n}' as rule from {_ssh_all} and ({SSH[n][1]})" for n in ("op_re", "op_text_ne", "op_contains", "op_not_contains")) + ") group by rule",
+    "ex_filter_stats": f"""{_C}, names as (select 'name_' || k || '_' || i as rule, replace(f, '#', i::varchar) as name from (select unnest({FAMILIES}) f, unnest(range(0, {len(FAMILIES)})) k), (select unnest(range(0, 100)) i)),
+q as (select domain, proto from dq join c using (conn_id)), h as (select {_SW} sw, resp_port from {_ssh_all})
+select rule, count(*)::bigint n from (select rule from q join names on domain = name union all select 'version_' || i from h join (select unnest(range(0, {N_VERSIONS})) i) on sw = 'Ferrossh_' || i // 10 || '.' || i % 10 where resp_port = 22
+  union all select 'like_' || x from q join (select unnest({list(LETTERS)}) x) on proto = 17 and regexp_matches(domain, '^' || x || '[a-z]+[0-9]+\\.')) group by rule""",
 }

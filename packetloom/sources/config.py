@@ -5,7 +5,13 @@ from __future__ import annotations
 import tomllib
 from dataclasses import dataclass, field
 
-from packetloom.operators.conntrack import Timeouts
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from packetloom.operators.conntrack import Timeouts, with_key
+
+#: Buckets that flows fall into.
+FLOW_BUCKETS = 512
 
 
 @dataclass(frozen=True)
@@ -51,10 +57,7 @@ def load_config(path: str) -> Config:
 
 def load_packets(spark, config: Config):
     """Decoded frames of a configuration: a table offline, a stream online, with port_id."""
-    from pyspark.sql import functions as F
-
     from packetloom.functions.headers import decode
-    from packetloom.operators.conntrack import with_key
     from packetloom.sources import pcap
 
     pcap.register(spark)
@@ -64,7 +67,12 @@ def load_packets(spark, config: Config):
     for i, folder in enumerate(config.online.folders):
         one = decode(spark.readStream.format("pcap").option("mtu", config.online.mtu).load(folder)).withColumn("port_id", F.lit(i))
         out = one if out is None else out.unionByName(one)
-    if config.online.buckets < 512:
-        keyed = with_key(out)
-        out = keyed.where(F.pmod(F.xxhash64("key_hi", "key_lo", "proto"), F.lit(512)) < config.online.buckets).drop("key_hi", "key_lo", "from_hi")
-    return out
+    return sample_flows(out, config.online.buckets) if config.online.buckets < FLOW_BUCKETS else out
+
+
+def sample_flows(packets: DataFrame, buckets: int) -> DataFrame:
+    """Packets of the flows in the first of FLOW_BUCKETS buckets: whole flows, both directions, the same in every run and
+    in other engines, as the bucket comes from the MD5 of the ends. Packets without ports belong to no flow."""
+    digest = F.md5(F.concat(F.hex("key_hi"), F.hex("key_lo"), F.col("proto").cast("string")).cast("binary"))
+    bucket = F.pmod(F.conv(F.substring(digest, 1, 4), 16, 10).cast("int"), F.lit(FLOW_BUCKETS))
+    return with_key(packets).where(bucket < buckets).drop("key_hi", "key_lo", "from_hi")

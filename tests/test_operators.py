@@ -118,5 +118,30 @@ def test_rules(spark):
     assert {(x.id, x.rule) for x in match_values(df, eq, F.col("v")).collect()} == {(1, "r1"), (1, "r2")}
     p = spark.createDataFrame([(1, 4, 6, 80), (2, 4, 17, 53)], "pkt_id int, ip_version int, proto int, dst_port int")
     rules = [Rule("a", "tcp"), Rule("b", "tcp.dst_port = 80"), Rule("c", "tcp"), Rule("d", "udp.dst_port = 1")]
-    assert {(x.pkt_id, x.rule) for x in match_filters(p, rules, block=2).collect()} == {(1, "a"), (1, "b"), (1, "c")}
+    assert {(x.pkt_id, x.rule) for x in match_filters(p, rules).collect()} == {(1, "a"), (1, "b"), (1, "c")}
     assert match_filters(p, []).count() == 0
+
+
+def test_rule_index_equals_filters(spark):
+    """Rules found by the index against each rule's own filter, with every kind of comparison."""
+    from packetloom.filterlang import Filter, holds
+    from packetloom.sources.adapters import flows_from_packets
+    from packetloom.sources.tables import table
+    from packetloom.sources.traffic import traffic_from_tables
+    from tests.conftest import DATA
+
+    texts = ["tcp.dst_port = 443 and ipv4.time_to_live >= 60", "udp.port = 53", "tcp.dst_port = 80 or udp.dst_port = 53", "tcp.port != 443 and tcp.dst_port = 22", "ipv4.time_to_live = 64 and tcp.syn = 1", "ipv4.dst_addr in 198.18.0.0/16 and tcp.dst_port = 443", "ipv6.addr in 2001:db8::/32 and udp.dst_port = 53", "tcp", "ipv4.src_addr != 10.0.0.0/9 and udp.src_port in 1000..60000 and udp.dst_port = 123", "tcp.dst_port = 443 and tcp.dst_port = 443", "ipv4.dst_addr = 198.18.0.37", ""]
+    p = table(spark, DATA, "packets").distinct()
+    got = Counter((x.rule, x.pkt_id) for x in match_filters(p, [Rule(t, t) for t in texts] + [Rule("twin", texts[0])]).select("rule", "pkt_id").collect())
+    want = Counter((t, x.pkt_id) for t in texts for x in p.where(holds(Filter(t).on_packets(p.columns, exact=True))).select("pkt_id").collect())
+    want.update(("twin", i) for (t, i) in list(want) if t == texts[0])
+    assert got == want
+    t = traffic_from_tables(spark, DATA)
+    ends = [c for c in t.connections.columns if c not in t.sessions.columns or c == "conn_id"]
+    rows = t.sessions.join(t.connections.select(*ends), "conn_id")
+    texts = ["dns.query_domain = 'time.lumoss.example' and udp", "ssh.software_version_ctos = 'Ferrossh_3.2' and ssh.software_version_stoc contains 'sshd'", "ssh.protocol_version_ctos = |32 2E 30|", "ssh.software_version_ctos = 'Ferrossh_3.2' and ssh.key_exchange_cookie_stoc ~b '^[\\xf0-\\xff]'", "dns.query_domain ~ 'test$'", "tcp.dst_port = 22 and ssh.comments_ctos not contains 'x'", "dns.query_domain = 'api.lumgri.test' and dns.query_domain ~ 'l.m' or udp.dst_port = 53 and dns.query_domain != 'api.lumgri.test'"]
+    got = Counter((x.rule, x.session_id) for x in match_filters(rows, [Rule(t, t) for t in texts], "session").select("rule", "session_id").collect())
+    want = Counter((t, x.session_id) for t in texts for x in rows.where(holds(Filter(t).on_sessions())).select("session_id").collect())
+    assert got == want and len({t for t, _ in got}) > 4
+    conns = match_filters(flows_from_packets(spark, DATA).limit(0), [Rule("a", "tcp.dst_port = 1")])
+    assert conns.count() == 0
