@@ -157,9 +157,19 @@ class Connection:
             self.errors += 1
         self.sessions += [(self.prober.parser.protocol, s) for s in found]
 
-    def row(self, closed_by: str, no: int) -> dict:
+    def clear(self, lists: bool, record: bool) -> None:
+        """What a callback has seen goes: lists of packets, or chunks, gaps and history of a record. Counters go on."""
+        if lists:
+            self.ids, self.order = [], {True: [], False: []}
+        if record:
+            self.history = []
+            for f in self.flows.values():
+                f.content = Content()
+
+    def row(self, closed_by: str, no: int, ended: bool = True) -> dict:
+        """The connection as a row; one that goes on keeps its unfinished sessions."""
         p = self.first
-        if not self.dead:
+        if ended and not self.dead:
             self.sessions += [(self.prober.parser.protocol, s) for s in self.prober.drain()]
         a, b = self.flows[True], self.flows[False]
         structs = ("tls", "http", "dns", "ssh", "quic")
@@ -198,16 +208,21 @@ def trace(packets: Iterable[tuple[object, Packet]], protocols: set[str], timeout
         yield conn.row("end", no)
 
 
+def packet_rows(packets: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """The key and what a Packet is made of, in its order; packets without addresses, ports or time are left out."""
+    have = set(packets.columns)
+    data = payload() if {"frame", "payload_off"} <= have else F.col("payload") if "payload" in have else F.lit(None).cast("binary")
+    cols = [micros("ts").alias("us"), "from_hi", "src_ip", "src_port", "dst_ip", "dst_port", F.coalesce("tcp_flags", F.lit(0)).alias("flags"), F.coalesce("seq_no", F.lit(0)).cast("bigint").alias("seq"), F.coalesce("ack_no", F.lit(0)).cast("bigint").alias("ack"), F.coalesce("payload_len", F.lit(0)).alias("len"), "frame_len", data.alias("data")]
+    return with_key(packets).select(*KEY, "pkt_id", *cols, *(keep or [])).where(F.col("us").isNotNull())
+
+
 def trace_connections(packets: DataFrame, protocols: set[str] = frozenset(("tls", "http", "dns", "ssh", "quic")), timeouts: Timeouts = Timeouts(), most_out_of_order: int = 100, lists: bool = True) -> DataFrame:
     """One row for each connection, in SCHEMA. packets: decoded frames with pkt_id and ts, frame for the payload.
 
     lists: whether gaps and reassembled packet ids are kept, which makes rows grow with connections. An empty table gives
     no rows; packets without addresses or ports are dropped, and a null frame is a packet without readable payload.
     """
-    have = set(packets.columns)
-    data = payload() if {"frame", "payload_off"} <= have else F.col("payload") if "payload" in have else F.lit(None).cast("binary")
-    cols = [micros("ts").alias("us"), "from_hi", "src_ip", "src_port", "dst_ip", "dst_port", F.coalesce("tcp_flags", F.lit(0)).alias("flags"), F.coalesce("seq_no", F.lit(0)).cast("bigint").alias("seq"), F.coalesce("ack_no", F.lit(0)).cast("bigint").alias("ack"), F.coalesce("payload_len", F.lit(0)).alias("len"), "frame_len", data.alias("data")]
-    rows = with_key(packets).select(*KEY, "pkt_id", *cols).where(F.col("us").isNotNull()).repartition(*KEY).sortWithinPartitions(*KEY, "us", "pkt_id")
+    rows = packet_rows(packets).repartition(*KEY).sortWithinPartitions(*KEY, "us", "pkt_id")
     wanted = frozenset(protocols)
     schema = to_arrow_schema(packets.sparkSession.createDataFrame([], SCHEMA).schema)
 

@@ -19,6 +19,7 @@ from packetloom.sources import pcap, samples
 from packetloom.sources.conversations import ascii_hex, block, conversation_of, frames_of, hexed, turn
 from packetloom.sources.tables import table
 from packetloom.sources.traffic import traffic_from_frames
+from packetloom.streaming.subscribed import firings
 
 WHOLE = Timeouts(offline=True)
 
@@ -74,6 +75,19 @@ def stg_packet_deliver(spark: SparkSession, d: str) -> DataFrame:
     return deliver(Subscription("http.uri ~ '/orders/[0-9]*7\\?p=1' and http.method = 'POST'", ("ZcFrame",)), t).select("pkt_id", F.length("ZcFrame").cast("bigint").alias("frame_len"))
 
 
+def str_session_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Packet counts at every packet after the session has matched, and packets since the firing before."""
+    sub = Subscription("http.status_code = 404", ("BidirPktStream", "FiveTuple"), streaming=("packets", 3))
+    x = firings(sub, decode(_http_frames(spark, d)), WHOLE)
+    return x.select("pkt_id", F.col("firing").cast("bigint").alias("firing"), F.array_join(F.transform("BidirPktStream", lambda v: (v % 4096).cast("string")), ",").alias("packets"))
+
+
+def str_protocol_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Bytes of TLS connections at every packet after the protocol is known."""
+    sub = Subscription("tls", ("ByteCount", "FilterStr"), streaming=("packets", 1))
+    return firings(sub, decode(_tls_frames(spark, d)), WHOLE).select("pkt_id", F.col("ByteCount").alias("byte_count"), F.col("firing").cast("bigint").alias("firing"), "FilterStr")
+
+
 def agg_sessionlist(spark: SparkSession, d: str) -> DataFrame:
     """Number of sessions in each connection's list."""
     t = traffic_from_frames(decode(_http_frames(spark, d)), {"http"}, WHOLE)
@@ -288,7 +302,7 @@ def src_pcap(spark: SparkSession, d: str) -> DataFrame:
     return p.select(F.unix_micros("ts").alias("us"), F.col("frame_len").cast("bigint").alias("frame_len"), "src_addr", F.col("src_port").cast("bigint").alias("src_port"), "seq_no", F.col("tcp_flags").cast("bigint").alias("flags"), F.col("payload_len").cast("bigint").alias("payload_len"))
 
 
-QUERIES = {f.__name__: f for f in (prs_http, stg_packet_deliver, agg_sessionlist, prs_tls, fn_ja3_md5, ex_golden, prs_ssh, prs_dns, prs_quic, ct_reassembly, ct_fin_rst, agg_chunks, src_pcap)}
+QUERIES = {f.__name__: f for f in (prs_http, stg_packet_deliver, str_session_filter, str_protocol_filter, agg_sessionlist, prs_tls, fn_ja3_md5, ex_golden, prs_ssh, prs_dns, prs_quic, ct_reassembly, ct_fin_rst, agg_chunks, src_pcap)}
 _ENDS = "case when o_orderstatus = 'F' then 3 when o_orderstatus = 'O' then 1 else 0 end"
 SQL = {
     "prs_http": f"""{_HTTP_SQL} select conn, depth trans_depth, case when o_orderkey % 4 = 3 then 'POST' else 'GET' end as method, '/orders/' || o_orderkey || '?p=' || substr(o_orderpriority, 1, 1) uri, 'c' || conn || '.example' host, 'probe/' || o_orderkey % 5 user_agent,
@@ -299,6 +313,13 @@ q as (select conn, 3 + depth k, length(case when o_orderkey % 4 = 3 then 'POST'
 s as (select conn, n, depth, length('HTTP/1.1 ' || case o_orderstatus when 'O' then '200 OK' when 'F' then '404 Not Found' else '500 Oh no' end || '  Content-Type: text/plain  Content-Length: ' || o_orderkey % 7 || '    ' || repeat('x', o_orderkey % 7)) size from a where answered),
 f as (select * from q union all select conn, 3 + n + 2 * depth, 20 from s union all select conn, 3 + n + 2 * depth + 1, size - 20 from s union all select conn, unnest([0, 1, 2, 3 + n + 2 * m, 4 + n + 2 * m, 5 + n + 2 * m]), 0 from n)
 select conn * 4096 + k pkt_id, (size + 54)::bigint frame_len from f semi join hit using (conn)""",
+    "str_session_filter": f"""{_HTTP_SQL}, n as (select conn, max(n) n, count(*) filter (answered) m, min(depth) filter (answered and o_orderstatus = 'F') hit from a group by conn),
+p as (select *, 3 + n + 2 * hit + 2 + unnest(range(0, 2 * (m - hit - 1) + 3)) pos, 5 + n + 2 * hit begin_ from n where hit is not null),
+arrived as (select *, case when pos >= 3 + n and pos < 3 + n + 2 * m then 3 + n + 2 * ((pos - 3 - n) // 2) + 1 - (pos - 3 - n) % 2 else pos end k from p),
+every_ as (select conn, n, m, x pos, case when x >= 3 + n and x < 3 + n + 2 * m then 3 + n + 2 * ((x - 3 - n) // 2) + 1 - (x - 3 - n) % 2 else x end k from (select *, unnest(range(0, 6 + n + 2 * m)) x from n))
+select conn * 4096 + a.k pkt_id, ((a.pos - begin_) // 3 + 1)::bigint firing, (select string_agg(e.k::varchar, ',' order by e.pos) from every_ e where e.conn = a.conn and e.pos <= a.pos and (a.pos = begin_ or e.pos > a.pos - 3)) packets from arrived a where (a.pos - begin_) % 3 = 0""",
+    "str_protocol_filter": f"""{_TLS_SQL}, h as (select conn, 5 + 4 + 34 + 1 + 2 + 2 * len(g || own) + 2 + 2 + case when conn % 5 <> 0 then 9 + length(name) else 0 end + 6 + 2 * (len(g) + len(groups)) + 6 + case when conn % 4 = 0 then 4 else 0 end + 9 hello, 5 + 4 + 34 + 1 + 3 + 2 + case when conn % 3 <> 0 then 6 else 0 end answer from j)
+select conn * 4096 + k pkt_id, ((k + 1) * 54 + hello + case when k >= 5 then answer else 0 end + case when k >= 6 then 6 else 0 end + case when k >= 7 then 35 else 0 end + case when k >= 8 then 95 else 0 end)::bigint byte_count, (k - 3)::bigint firing, 'tls' as "FilterStr" from (select *, unnest(range(4, 12)) k from h)""",
     "agg_sessionlist": "select o_custkey conn, count(*)::bigint n_sessions from orders group by o_custkey",
     "prs_tls": f"{_TLS_SQL} select conn, sni, ciphers, md5(conn::varchar) || md5(name) random, '772-771' versions, 4865::bigint cipher, case when conn % 3 <> 0 then 772 else -1 end::bigint selected from j",
     "fn_ja3_md5": f"{_TLS_SQL} select conn, ja3_str, md5(ja3_str) ja3_hash, '771,4865,' || case when conn % 3 <> 0 then '43' else '' end ja3s_str from j",

@@ -64,6 +64,14 @@ def _ip_text(raw: str) -> F.Column:
     return F.when(F.length(raw) == 4, ipv4_text(number)).otherwise(canonical_address(groups))
 
 
+def connection_columns(c: DataFrame) -> DataFrame:
+    """Traced connections with what filters and data ask for: addresses as text and number, duration, packet lists."""
+    pick = {"packets": lambda x: F.lit(True), "packets_orig": lambda x: x["dir"], "packets_resp": lambda x: ~x["dir"]}
+    lists = {n: F.transform(F.filter("packet_ids", of), lambda x: x["pkt_id"]).alias(n) for n, of in pick.items()}
+    number = lambda x: F.when(F.length(x) == 4, F.conv(F.hex(x), 16, 10).cast("bigint"))
+    return c.select("*", *lists.values()).withColumns({"orig": _ip_text("orig_ip"), "resp": _ip_text("resp_ip"), "orig_addr": number("orig_ip"), "resp_addr": number("resp_ip"), "duration_us": F.col("last_us") - F.col("first_us")})
+
+
 def traffic_from_frames(frames: DataFrame, protocols: set[str], timeouts: Timeouts = Timeouts(), most_out_of_order: int = 100) -> Traffic:
     """Traffic of decoded frames with all packets of each connection; only the protocols named are parsed.
 
@@ -71,10 +79,7 @@ def traffic_from_frames(frames: DataFrame, protocols: set[str], timeouts: Timeou
     """
     c = stage(trace_connections(frames, protocols, timeouts, most_out_of_order), "connections")
     ids = c.select("conn_id", F.explode("packet_ids").alias("p")).select("conn_id", "p.pkt_id", "p.dir")
-    pick = {"packets": lambda x: F.lit(True), "packets_orig": lambda x: x["dir"], "packets_resp": lambda x: ~x["dir"]}
-    lists = {n: F.transform(F.filter("packet_ids", of), lambda x: x["pkt_id"]).alias(n) for n, of in pick.items()}
-    number = lambda x: F.when(F.length(x) == 4, F.conv(F.hex(x), 16, 10).cast("bigint"))
-    conns = c.select("*", *lists.values()).withColumns({"orig": _ip_text("orig_ip"), "resp": _ip_text("resp_ip"), "orig_addr": number("orig_ip"), "resp_addr": number("resp_ip"), "duration_us": F.col("last_us") - F.col("first_us")})
+    conns = connection_columns(c)
     statics = [x for x in ("vlan_tci", "eth_src", "eth_dst") if x in frames.columns]
     if statics:  # of the first packet
         first = frames.select("pkt_id", *statics)

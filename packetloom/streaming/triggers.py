@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from packetloom.operators.conntrack import KEY, Timeouts, with_key
-from packetloom.plans.subscribe import Subscription
+from packetloom.operators.conntrack import KEY, Timeouts, assign, with_key
+from packetloom.plans.subscribe import Subscription, SubscriptionError
 from packetloom.sources.tables import micros
 
 OUT = "key_hi binary, key_lo binary, proto int, conn_no int, pkt_id bigint, us bigint, pkt_count bigint, byte_count bigint, firing int"
@@ -71,7 +71,12 @@ def _rows(packets: DataFrame) -> DataFrame:
 
 
 def batch_triggers(packets: DataFrame, unit: str, n: float, timeouts: Timeouts = Timeouts(), until: Until | None = None) -> DataFrame:
-    """Firings over a table of packets. Tasks stream through sorted packets and hold one connection's counters."""
+    """Firings over a table of packets. Every N packets is a matter of numbers, which are counted by cells, so a flow that
+    holds most packets is spread. What bytes, seconds or until decide depends on the firings before: there tasks stream
+    through sorted packets and hold one connection's counters, and a flow is one task's."""
+    if unit == "packets" and until is None and n == int(n) and n > 0:
+        p = assign(packets, timeouts, numbers=True).where(F.pmod(F.col("nth") - 1, F.lit(int(n))) == 0)
+        return p.select(*KEY, F.col("conn_no").cast("int").alias("conn_no"), "pkt_id", micros("ts").alias("us"), F.col("nth").cast("bigint").alias("pkt_count"), F.col("bytes_so_far").alias("byte_count"), (F.expr(f"(nth - 1) div {int(n)}") + 1).cast("int").alias("firing"))
     rows = _rows(packets).drop("ts").where("us is not null").repartition(*KEY).sortWithinPartitions(*KEY, "us", "pkt_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,17 +98,20 @@ def batch_triggers(packets: DataFrame, unit: str, n: float, timeouts: Timeouts =
 
 
 def deliver_firings(sub: Subscription, packets: DataFrame, timeouts: Timeouts = Timeouts(), until: Until | None = None) -> DataFrame:
-    """Firings of a streaming subscription whose filter packets decide, over a table or a stream of packets.
+    """Firings of a subscription to counters whose filter packets decide, over a table or a stream of packets without
+    their payload. Others come from subscribed.firings(), which follows the content.
 
     Besides the columns of OUT: FilterStr, and the wanted PktCount or ByteCount. Packets are filtered before they are
     counted, each by its own header.
     """
     if not sub.streaming:
-        raise ValueError("the subscription has no trigger")
+        raise SubscriptionError("the subscription has no trigger")
     unit, n = sub.streaming
+    named = {"PktCount": F.col("pkt_count"), "ByteCount": F.col("byte_count"), "FilterStr": F.lit(sub.filter)}
+    if left := [d for d in sub.datatypes if d not in named]:
+        raise SubscriptionError(f"no counters: {left}")
     kept = packets.where(sub.parsed.on_packets(packets.columns, exact=True))
     fired = (stream_triggers if packets.isStreaming else batch_triggers)(kept, unit, n, timeouts, until)
-    named = {"PktCount": F.col("pkt_count"), "ByteCount": F.col("byte_count"), "FilterStr": F.lit(sub.filter)}
     return fired.select("*", *[c.alias(k) for k, c in named.items() if k in sub.datatypes])
 
 
