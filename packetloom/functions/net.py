@@ -27,6 +27,11 @@ def five_tuple_text(orig: Column, resp: Column, proto: Column) -> Column:
     return F.format_string("%s -> %s protocol %d", orig, resp, proto)
 
 
+def transport_name(proto: Column) -> Column:
+    """tcp or udp; none for another protocol or null."""
+    return F.when(proto == 6, F.lit("tcp")).when(proto == 17, F.lit("udp")).otherwise(F.lit("none"))
+
+
 def transport_text(orig_port: Column, resp_port: Column, proto: Column) -> Column:
     """JSON-like text of the transport: protocol, source and destination port."""
     return F.format_string('{"proto": "%s", "src": "%d", "dst": "%d"}', F.when(proto == 6, F.lit("tcp")).when(proto == 17, F.lit("udp")).otherwise(proto.cast("string")), orig_port, resp_port)

@@ -21,6 +21,15 @@ def counted(packets: DataFrame, ignored_by: Filter | None = None) -> tuple[DataF
     return packets.observe(seen, *metrics), seen
 
 
+def tracking_counters(packets: DataFrame, connections: DataFrame) -> DataFrame:
+    """One row: connections that began by transport, and the packets and bytes of TCP that belong to none, being in the
+    middle of a connection whose start was not seen. connections: trace_connections() of these packets."""
+    both = packets.where(F.col("proto").isin(6, 17) & F.col("src_port").isNotNull() & F.col("ts").isNotNull()).select("proto", F.lit(1).alias("n"), F.col("frame_len").cast("bigint").alias("size"), F.lit(0).alias("new"))
+    held = connections.select("proto", (-F.col("pkt_count")).alias("n"), (-F.col("byte_count")).alias("size"), F.lit(1).alias("new"))
+    one = lambda proto, c: F.coalesce(F.sum(F.when(F.col("proto") == proto, F.col(c))), F.lit(0)).cast("bigint")
+    return both.unionByName(held).agg(one(6, "new").alias("tcp_new_connections"), one(17, "new").alias("udp_new_connections"), one(6, "n").alias("dropped_mid_tcp_pkts"), one(6, "size").alias("dropped_mid_tcp_bytes"))
+
+
 def rates(counters: dict, seconds: float, dropped: int = 0) -> dict[str, float]:
     """Packets and wire bits a second, and the share dropped."""
     n, size = counters["total_pkts"], counters["total_bytes"]

@@ -79,22 +79,26 @@ def _sums(hi: bool) -> dict[str, Column]:
     }
 
 
+def unordered() -> dict[str, Column]:
+    """Aggregates of keyed packets (with us) that need no order: who opened, counters of both sides, first events."""
+    seen = {}
+    for tag, own in (("hi", F.col("from_hi")), ("lo", ~F.col("from_hi"))):
+        for i, (letter, when) in enumerate(_letters().items()):
+            seen[f"{letter}_{tag}"] = F.min(F.when(own & when, F.struct("us", "pkt_id", F.lit(i).alias("rank"))))
+    opener = F.struct(F.struct("us", "pkt_id").alias("at"), F.col("from_hi").alias("from_hi"), F.col("src_ip").alias("ip"), F.col("src_port").alias("port"), F.col("dst_ip").alias("to_ip"), F.col("dst_port").alias("to_port"))
+    return {"opener": F.min(opener), **_sums(True), **_sums(False), **seen}
+
+
 def cells(packets: DataFrame, timeouts: Timeouts) -> DataFrame:
     """Aggregates of each key and cell: the mergeable partial result of connection features."""
     us = micros("ts")
     p = with_key(packets).withColumns({"us": us, "idle": timeouts.column()})
     p = p.where(F.col("us").isNotNull()).withColumn("cell", timeouts.cell(F.col("us")))
-    order = F.struct("us", "pkt_id")
     w = W.partitionBy(*KEY, "cell").orderBy("us", "pkt_id")
     p = p.withColumns({"gap": F.col("us") - F.lag("us").over(w), "nth": F.row_number().over(w)})
-    seen = {}
-    for tag, own in (("hi", F.col("from_hi")), ("lo", ~F.col("from_hi"))):
-        for i, (letter, when) in enumerate(_letters().items()):
-            seen[f"{letter}_{tag}"] = F.min(F.when(own & when, F.struct("us", "pkt_id", F.lit(i).alias("rank"))))
     aggs = {
         "n": F.count(F.lit(1)), "bytes": F.sum(F.col("frame_len").cast("bigint")), "first_us": F.min("us"), "second_us": F.min(F.when(F.col("nth") == 2, F.col("us"))), "last_us": F.max("us"),
-        "gap": F.coalesce(F.max("gap"), F.lit(0)), "opener": F.min(F.struct(order.alias("at"), F.col("from_hi").alias("from_hi"), F.col("src_ip").alias("ip"), F.col("src_port").alias("port"), F.col("dst_ip").alias("to_ip"), F.col("dst_port").alias("to_port"), F.col("tcp_flags").alias("flags"))),
-        **_sums(True), **_sums(False), **seen,
+        "gap": F.coalesce(F.max("gap"), F.lit(0)), **unordered(),
     }
     return p.groupBy(*KEY, "idle", "cell").agg(*[c.alias(k) for k, c in aggs.items()])
 
@@ -128,6 +132,12 @@ def connections(packets: DataFrame, timeouts: Timeouts = Timeouts()) -> DataFram
     second = F.coalesce(F.min(F.when(F.col("nth") == 1, F.col("second_us"))), F.min(F.when(F.col("nth") == 2, F.col("first_us"))))
     inner = F.greatest(F.max("gap"), F.coalesce(F.max(F.when(F.col("nth") > 1, F.col("before"))), F.lit(0)))
     g = numbered.groupBy(*KEY, "conn_no").agg(F.sum("n").alias("pkt_count"), F.sum("bytes").alias("byte_count"), F.min("first_us").alias("first_us"), second.alias("second_us"), F.max("last_us").alias("last_us"), inner.alias("max_idle_us"), F.min("opener").alias("opener"), *[c.alias(k) for k, c in {**mins, **sums}.items()])
+    more = ["second_us", F.coalesce(F.col("second_us") - F.col("first_us"), F.lit(0)).alias("to_second_us"), "max_idle_us"]
+    return finished(g, more)
+
+
+def finished(g: DataFrame, more: list[str | Column]) -> DataFrame:
+    """Connections from aggregates of their packets (those of cells(), by the same names), with the columns more."""
     by_hi = F.col("opener.from_hi")
     notes = []
     for letter in _EVENTS:
@@ -140,9 +150,8 @@ def connections(packets: DataFrame, timeouts: Timeouts = Timeouts()) -> DataFram
         for name, x in (("n_pkts", "n"), ("n_malformed", "bad"), ("n_bytes", "bytes"), ("n_payload", "payload")):
             sides[f"{side}_{name}"] = F.when(by_hi, F.col(f"{x}_{mine}")).otherwise(F.col(f"{x}_{other}"))
     return g.select(
-        *KEY, "conn_no", F.col("opener.ip").alias("orig_ip"), F.col("opener.port").alias("orig_port"), F.col("opener.to_ip").alias("resp_ip"), F.col("opener.to_port").alias("resp_port"),
-        "first_us", "second_us", "last_us", (F.col("last_us") - F.col("first_us")).alias("duration_us"), F.coalesce(F.col("second_us") - F.col("first_us"), F.lit(0)).alias("to_second_us"),
-        "max_idle_us", "pkt_count", "byte_count", history.alias("history"), *[c.alias(k) for k, c in sides.items()],
+        *KEY, *[c for c in ("conn_no",) if c in g.columns], F.col("opener.ip").alias("orig_ip"), F.col("opener.port").alias("orig_port"), F.col("opener.to_ip").alias("resp_ip"), F.col("opener.to_port").alias("resp_port"),
+        "first_us", "last_us", (F.col("last_us") - F.col("first_us")).alias("duration_us"), *more, "pkt_count", "byte_count", history.alias("history"), *[c.alias(k) for k, c in sides.items()],
     )
 
 

@@ -43,6 +43,7 @@ def _session(protocol: str) -> Datatype:
 
 
 def _packets(of: str, order: str) -> Datatype:
+    """A list of packets; deliver() puts their frames in place of their ids."""
     name = {"bidir": "packets", "orig": "packets_orig", "resp": "packets_resp"}[of] + ("_reassembled" if order == "stream" else "")
     return Datatype(Level.CONNECTION, lambda: F.col(name), (name,), streamable=True)
 
@@ -166,7 +167,8 @@ def deliver(sub: Subscription, traffic: Traffic) -> DataFrame:
     """The rows of one subscription, evaluated as if it were alone.
 
     Packet level: one row a packet (pkt_id, conn_id if known). Session level: one row a session (conn_id, session_id).
-    Connection and static level: one row a connection (conn_id).
+    Connection and static level: one row a connection (conn_id). Lists of packets hold their frames, in order of arrival or
+    of the reassembled stream; a row with such a list grows with its connection.
     """
     f, level = sub.parsed, sub.level
     if level == Level.PACKET:
@@ -191,7 +193,26 @@ def deliver(sub: Subscription, traffic: Traffic) -> DataFrame:
         structs = [c for c in traffic.sessions.columns if c != "conn_id"]
         lists = traffic.sessions.groupBy("conn_id").agg(F.sort_array(F.collect_list(F.struct("session_id", F.to_json(F.struct(*structs)).alias("session")))).alias("sessions"))
         conns = conns.join(lists, "conn_id", "left").withColumn("sessions", F.coalesce(F.col("sessions.session"), F.array().cast("array<string>")))
-    return _project(conns, sub, ["conn_id"])
+    return _project(_with_frames(conns, sub, traffic), sub, ["conn_id"])
+
+
+_LISTS = ("packets", "packets_orig", "packets_resp", "packets_orig_reassembled", "packets_resp_reassembled")
+
+
+def _with_frames(conns: DataFrame, sub: Subscription, traffic: Traffic) -> DataFrame:
+    """conns with frames (ARRAY<BINARY>) instead of ids in the lists of packets that are wanted, in the lists' order."""
+    wanted = sorted({n for d in sub.datatypes for n in DATATYPES[d].needs if n in _LISTS})
+    if not wanted or traffic.packets is None or "frame" not in traffic.packets.columns:
+        return conns
+    frames = traffic.packets.select(F.col("pkt_id").alias("__id"), F.col("frame").alias("__frame"))
+    ids = None
+    for n in wanted:
+        one = conns.select(F.col("conn_id").alias("__conn"), F.lit(n).alias("__list"), F.posexplode(n).alias("__at", "__id"))
+        ids = one if ids is None else ids.unionByName(one)
+    placed = F.struct("__at", "__frame")
+    lists = ids.join(frames, "__id").groupBy("__conn").agg(*[F.sort_array(F.collect_list(F.when(F.col("__list") == n, placed))).alias(f"__f_{n}") for n in wanted])
+    out = conns.join(lists, F.col("conn_id") == F.col("__conn"), "left").drop("__conn")
+    return out.withColumns({n: F.coalesce(F.col(f"__f_{n}.__frame"), F.array().cast("array<binary>")) for n in wanted}).drop(*[f"__f_{n}" for n in wanted])
 
 
 def _matched(f: Filter, traffic: Traffic) -> DataFrame:

@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetloom.filterlang import Filter, holds
-from packetloom.functions.net import ipv4_subnet, wire_bits, wrapping_lt
+from packetloom.functions.net import ipv4_subnet, transport_name, wire_bits, wrapping_lt
 from packetloom.plans.subscribe import continue_packets
 from packetloom.operators.rules import Rule, match_filters, match_prefixes
 from packetloom.sources.config import sample_flows
+from packetloom.queries.services import _C
 from packetloom.sources.tables import table
+from packetloom.sources.traffic import connection_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -153,12 +155,16 @@ def obs_counters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ex_port_count(spark: SparkSession, d: str) -> DataFrame:
-    """Packets by transport, port and side."""
-    p = _packets(spark, d, "proto", "src_port", "dst_port")
-    ends = F.array(F.struct(F.lit("orig").alias("side"), F.col("src_port").alias("port")), F.struct(F.lit("resp").alias("side"), F.col("dst_port").alias("port")))
-    e = p.select("proto", F.explode(ends).alias("x")).select("proto", "x.side", "x.port").where(F.col("port").isNotNull())
-    side = lambda s: F.sum(F.when(F.col("side") == s, 1).otherwise(0))
-    return e.groupBy("proto", "port").agg(side("orig").alias("n_orig"), side("resp").alias("n_resp"))
+    """Packets and connections by transport, port and side, and connections and their packets by application protocol."""
+    packets = _packets(spark, d, "proto", "src_port", "dst_port").select(F.lit("packets").alias("kind"), transport_name(F.col("proto")).alias("name"), F.lit(1).cast("bigint").alias("n"), "src_port", "dst_port")
+    c = connection_rows(spark, d)
+    ends = [F.col("orig_port").alias("src_port"), F.col("resp_port").alias("dst_port")]
+    one = F.lit(1).cast("bigint").alias("n")
+    conns = c.select(F.lit("connections").alias("kind"), transport_name(F.col("proto")).alias("name"), one, *ends)
+    parsed = c.where(F.col("service").isNotNull()).select(F.explode(F.array(F.struct(F.lit("parsed connections").alias("kind"), one), F.struct(F.lit("parsed packets").alias("kind"), F.coalesce("pkt_count", F.lit(0)).alias("n")))).alias("x"), F.col("service").alias("name"), *ends).select("x.kind", "name", "x.n", "src_port", "dst_port")
+    sides = F.array(F.struct(F.col("src_port").alias("port"), F.col("n").alias("orig"), F.lit(0).cast("bigint").alias("resp")), F.struct(F.col("dst_port").alias("port"), F.lit(0).cast("bigint").alias("orig"), F.col("n").alias("resp")))
+    e = packets.unionByName(conns).unionByName(parsed).select("kind", "name", F.explode(sides).alias("x")).select("kind", "name", "x.*").where(F.col("port").isNotNull())
+    return e.groupBy("kind", "name", "port").agg(F.sum("orig").alias("n_orig"), F.sum("resp").alias("n_resp"))
 
 
 _CASES = " union all ".join(f"select '{n}' as rule, dst_addr from pk where {c}" for n, _, c in RULES)
@@ -182,5 +188,8 @@ select pkt_id, proto, frame_len from k where ('0x' || substr(md5(greatest(s, e)
     "fn_wrapping_lt": f"{_PK} select pkt_id, ((seq_no - ack_no) % 4294967296 + 4294967296) % 4294967296 > 2147483648 as before from pk where proto = 6",
     "fn_wire_bits": f"{_PK} select proto, ((sum(frame_len) + count(*) * 20) * 8)::bigint ingress_bits, ((sum(frame_len) + count(*) * 24) * 8)::bigint good_bits from pk group by proto",
     "obs_counters": f"{_PK} select count(*)::bigint total_pkts, sum(frame_len)::bigint total_bytes, count(*) filter (proto = 6)::bigint tcp_pkts, coalesce(sum(frame_len) filter (proto = 6), 0)::bigint tcp_bytes, count(*) filter (proto = 17)::bigint udp_pkts, coalesce(sum(frame_len) filter (proto = 17), 0)::bigint udp_bytes, count(*) filter (not ({_KEPT}))::bigint ignored_pkts, coalesce(sum(frame_len) filter (not ({_KEPT})), 0)::bigint ignored_bytes from pk",
-    "ex_port_count": f"{_PK} select proto, port, count(*) filter (side = 'orig')::bigint n_orig, count(*) filter (side = 'resp')::bigint n_resp from (select proto, 'orig' side, src_port port from pk union all select proto, 'resp', dst_port from pk) where port is not null group by 1, 2",
+    "ex_port_count": f"""{_C}, pk as (select distinct pkt_id, proto, src_port, dst_port from packets),
+x as (select 'packets' kind, case proto when 6 then 'tcp' when 17 then 'udp' else 'none' end as name, 1 n, src_port s, dst_port e from pk union all select 'connections', case proto when 6 then 'tcp' when 17 then 'udp' else 'none' end, 1, orig_port, resp_port from c
+  union all select 'parsed connections', service, 1, orig_port, resp_port from c where service is not null union all select 'parsed packets', service, coalesce(pkt_count, 0), orig_port, resp_port from c where service is not null)
+select kind, name, port, sum(case when side = 'orig' then n else 0 end)::bigint n_orig, sum(case when side = 'resp' then n else 0 end)::bigint n_resp from (select kind, name, n, s port, 'orig' side from x union all select kind, name, n, e, 'resp' from x) where port is not null group by all""",
 }

@@ -12,13 +12,15 @@ from packetloom.functions.addresses import ip_bytes
 from packetloom.functions.fingerprints import ja3_string, ja3s_string
 from packetloom.functions.headers import decode, payload
 from packetloom.operators.conntrack import Timeouts
+from packetloom.observe import tracking_counters
 from packetloom.operators.trace import sessions_of, trace_connections
 from packetloom.plans.staging import claim
 from packetloom.plans.subscribe import Subscription, deliver
+from packetloom.queries.services import _C
 from packetloom.sources import pcap, samples
-from packetloom.sources.conversations import ascii_hex, block, conversation_of, frames_of, hexed, turn
+from packetloom.sources.conversations import PLACES, ascii_hex, block, conversation_of, frames_of, hexed, turn
 from packetloom.sources.tables import table
-from packetloom.sources.traffic import traffic_from_frames
+from packetloom.sources.traffic import traffic_from_frames, traffic_from_tables
 from packetloom.streaming.subscribed import firings
 
 WHOLE = Timeouts(offline=True)
@@ -75,6 +77,38 @@ def stg_packet_deliver(spark: SparkSession, d: str) -> DataFrame:
     return deliver(Subscription("http.uri ~ '/orders/[0-9]*7\\?p=1' and http.method = 'POST'", ("ZcFrame",)), t).select("pkt_id", F.length("ZcFrame").cast("bigint").alias("frame_len"))
 
 
+def agg_pktframes(spark: SparkSession, d: str) -> DataFrame:
+    """Frames of each connection in order of arrival and of its originator's stream, by subscription."""
+    t = traffic_from_frames(decode(_http_frames(spark, d)), {"http"}, WHOLE)
+    rows = deliver(Subscription("http", ("BidirZcPktStream", "OrigPktStream", "RespPktsReassembled", "FiveTuple")), t)
+    ip = F.unhex(F.concat(*[F.lpad(F.hex(F.split_part("FiveTuple.orig", F.lit("."), F.lit(i)).cast("bigint")), 2, "0") for i in range(1, 5)]))
+    text = F.aggregate(F.transform("RespPktsReassembled", lambda f: F.substring(f, 55, 100_000).cast("string")), F.lit(""), lambda a, x: F.concat(a, x))
+    return rows.select(conversation_of(ip, F.col("FiveTuple.orig_port")).alias("conn"), F.size("BidirZcPktStream").cast("bigint").alias("n"), F.size("OrigPktStream").cast("bigint").alias("n_orig"), F.regexp_count(text, F.lit("HTTP/1.1 (200|404|500)")).cast("bigint").alias("n_responses"), F.md5(text.cast("binary")).alias("responses"))
+
+
+def ex_websites(spark: SparkSession, d: str) -> DataFrame:
+    """Names asked for over DNS, HTTP, TLS and QUIC, without empty ones, as counters by protocol and name."""
+    sites = {
+        "dns": ("DnsTransaction", lambda: F.get("DnsTransaction.query.queries", F.lit(0)), lambda: traffic_from_tables(spark, d)),
+        "http": ("HttpTransaction", lambda: F.col("HttpTransaction.request.uri"), lambda: traffic_from_frames(decode(_http_frames(spark, d)), {"http"}, WHOLE)),
+        "tls": ("TlsHandshake", lambda: F.col("TlsHandshake.client_hello.server_name"), lambda: traffic_from_frames(decode(_tls_frames(spark, d)), {"tls"}, WHOLE)),
+        "quic": ("QuicStream", lambda: F.col("QuicStream.tls.client_hello.server_name"), lambda: traffic_from_frames(decode(_quic_frames(spark, d)), {"quic"}, WHOLE)),
+    }
+    out = None
+    for protocol, (datatype, site, traffic) in sites.items():
+        one = deliver(Subscription(protocol, (datatype,)), traffic()).select(F.lit(protocol).alias("protocol"), F.coalesce(site(), F.lit("")).alias("website"))
+        out = one if out is None else out.unionByName(one)
+    return out.where(F.col("website") != "").groupBy("protocol", "website").agg(F.count(F.lit(1)).alias("n"))
+
+
+def obs_tracking(spark: SparkSession, d: str) -> DataFrame:
+    """Counters of tracking: connections that began, and packets dropped because they are in the middle of none. Every fifth
+    connection is seen without its first packet."""
+    frames = _closing_frames(spark, d).where(~((F.col("pkt_id") % PLACES == 0) & (F.floor(F.col("pkt_id") / PLACES) % 5 == 0)))
+    p = decode(frames)
+    return tracking_counters(p, trace_connections(p, set(), WHOLE, lists=False))
+
+
 def str_session_filter(spark: SparkSession, d: str) -> DataFrame:
     """Packet counts at every packet after the session has matched, and packets since the firing before."""
     sub = Subscription("http.status_code = 404", ("BidirPktStream", "FiveTuple"), streaming=("packets", 3))
@@ -302,7 +336,7 @@ def src_pcap(spark: SparkSession, d: str) -> DataFrame:
     return p.select(F.unix_micros("ts").alias("us"), F.col("frame_len").cast("bigint").alias("frame_len"), "src_addr", F.col("src_port").cast("bigint").alias("src_port"), "seq_no", F.col("tcp_flags").cast("bigint").alias("flags"), F.col("payload_len").cast("bigint").alias("payload_len"))
 
 
-QUERIES = {f.__name__: f for f in (prs_http, stg_packet_deliver, str_session_filter, str_protocol_filter, agg_sessionlist, prs_tls, fn_ja3_md5, ex_golden, prs_ssh, prs_dns, prs_quic, ct_reassembly, ct_fin_rst, agg_chunks, src_pcap)}
+QUERIES = {f.__name__: f for f in (prs_http, agg_pktframes, ex_websites, obs_tracking, stg_packet_deliver, str_session_filter, str_protocol_filter, agg_sessionlist, prs_tls, fn_ja3_md5, ex_golden, prs_ssh, prs_dns, prs_quic, ct_reassembly, ct_fin_rst, agg_chunks, src_pcap)}
 _ENDS = "case when o_orderstatus = 'F' then 3 when o_orderstatus = 'O' then 1 else 0 end"
 SQL = {
     "prs_http": f"""{_HTTP_SQL} select conn, depth trans_depth, case when o_orderkey % 4 = 3 then 'POST' else 'GET' end as method, '/orders/' || o_orderkey || '?p=' || substr(o_orderpriority, 1, 1) uri, 'c' || conn || '.example' host, 'probe/' || o_orderkey % 5 user_agent,
@@ -313,6 +347,14 @@ q as (select conn, 3 + depth k, length(case when o_orderkey % 4 = 3 then 'POST'
 s as (select conn, n, depth, length('HTTP/1.1 ' || case o_orderstatus when 'O' then '200 OK' when 'F' then '404 Not Found' else '500 Oh no' end || '  Content-Type: text/plain  Content-Length: ' || o_orderkey % 7 || '    ' || repeat('x', o_orderkey % 7)) size from a where answered),
 f as (select * from q union all select conn, 3 + n + 2 * depth, 20 from s union all select conn, 3 + n + 2 * depth + 1, size - 20 from s union all select conn, unnest([0, 1, 2, 3 + n + 2 * m, 4 + n + 2 * m, 5 + n + 2 * m]), 0 from n)
 select conn * 4096 + k pkt_id, (size + 54)::bigint frame_len from f semi join hit using (conn)""",
+    "agg_pktframes": f"""{_HTTP_SQL}, n as (select conn, max(n) n, count(*) filter (answered) m from a group by conn),
+t as (select conn, string_agg('HTTP/1.1 ' || case o_orderstatus when 'O' then '200 OK' when 'F' then '404 Not Found' else '500 Oh no' end || chr(13) || chr(10) || 'Content-Type: text/plain' || chr(13) || chr(10) || 'Content-Length: ' || o_orderkey % 7 || chr(13) || chr(10) || chr(13) || chr(10) || repeat('x', o_orderkey % 7), '' order by depth) text from a where answered group by conn)
+select conn, 6 + n + 2 * m n, n + 4 n_orig, m n_responses, md5(coalesce(text, '')) responses from n left join t using (conn)""",
+    "ex_websites": f"""{_C}, {_HTTP_SQL.strip().removeprefix('with ')}, {_TLS_SQL.strip().removeprefix('with c as').join(['tc as', '']).replace('from c)', 'from tc)')}
+select protocol, website, count(*)::bigint n from (select 'dns' protocol, domain website from dq join c using (conn_id) union all select 'http', '/orders/' || o_orderkey || '?p=' || substr(o_orderpriority, 1, 1) from a
+  union all select 'tls', sni from j union all select 'quic', lower(replace(s_name, '#', '-') || '.n' || s_nationkey || '.example') from supplier) where website <> '' group by all""",
+    "obs_tracking": f"""with o as (select *, 5 + {_ENDS} n, 54 * (5 + {_ENDS}) + o_orderkey % 50 + 1 + o_custkey % 90 + 1 size, o_orderkey % 5 = 0 cut from orders)
+select count(*) filter (not cut)::bigint tcp_new_connections, 0::bigint udp_new_connections, coalesce(sum(n - 1) filter (cut), 0)::bigint dropped_mid_tcp_pkts, coalesce(sum(size - 54) filter (cut), 0)::bigint dropped_mid_tcp_bytes from o""",
     "str_session_filter": f"""{_HTTP_SQL}, n as (select conn, max(n) n, count(*) filter (answered) m, min(depth) filter (answered and o_orderstatus = 'F') hit from a group by conn),
 p as (select *, 3 + n + 2 * hit + 2 + unnest(range(0, 2 * (m - hit - 1) + 3)) pos, 5 + n + 2 * hit begin_ from n where hit is not null),
 arrived as (select *, case when pos >= 3 + n and pos < 3 + n + 2 * m then 3 + n + 2 * ((pos - 3 - n) // 2) + 1 - (pos - 3 - n) % 2 else pos end k from p),

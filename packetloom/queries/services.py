@@ -103,13 +103,6 @@ def stg_dedup(spark: SparkSession, d: str) -> DataFrame:
     return deliver_all(subs, traffic_from_tables(spark, d))["names"].select("session_id", "conn_id")
 
 
-def ex_websites(spark: SparkSession, d: str) -> DataFrame:
-    """Names asked for, without empty ones, as counters by protocol and name."""
-    names = deliver(Subscription("dns", ("DnsTransaction",)), traffic_from_tables(spark, d))
-    site = F.coalesce(F.get("DnsTransaction.query.queries", F.lit(0)), F.lit(""))
-    return names.select(F.lit("dns").alias("protocol"), site.alias("website")).where(F.col("website") != "").groupBy("protocol", "website").agg(F.count(F.lit(1)).alias("n"))
-
-
 def ex_protocols(spark: SparkSession, d: str) -> DataFrame:
     """Services on ports that are not their own, with the subnet of the responder."""
     odd = {"dns": "dns and ((tcp and tcp.port != 53) or (udp and udp.port != 53))", "http": "http and tcp and tcp.port != 80 and tcp.port != 8080", "tls": "tls and tcp and tcp.port != 443", "quic": "quic and udp.port != 443"}
@@ -197,7 +190,7 @@ def ex_filter_stats(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     **{n: _conn(f) for n, (f, _) in CONNECTIONS.items()}, **{n: _ssh(f) for n, (f, _) in SSH.items()}, **{n: _dns(f) for n, (f, _) in DNS.items()},
-    **{f.__name__: f for f in (ex_basic, ex_basic_file, stg_dedup, ex_websites, ex_protocols, fn_fivetuple_str, jn_dns_txid, jn_http_pairing, jn_semi_packets, jn_rules_eq, jn_rules_re, ex_filter_stats)},
+    **{f.__name__: f for f in (ex_basic, ex_basic_file, stg_dedup, ex_protocols, fn_fivetuple_str, jn_dns_txid, jn_http_pairing, jn_semi_packets, jn_rules_eq, jn_rules_re, ex_filter_stats)},
 }
 _odd = "case when service = 'quic' and proto = 17 and orig_port <> 443 and resp_port <> 443 then 'quic' when service = 'tls' and proto = 6 and orig_port <> 443 and resp_port <> 443 then 'tls' when service = 'http' and proto = 6 and orig_port not in (80, 8080) and resp_port not in (80, 8080) then 'http' when service = 'dns' and proto in (6, 17) and orig_port <> 53 and resp_port <> 53 then 'dns' end"
 _ssh_all = "sh join c using (conn_id) where c.proto = 6"
@@ -209,7 +202,6 @@ SQL = {
     "ex_basic": f"{_C} select session_id, conn_id, domain, coalesce(pkt_count, -1) pkt_count, coalesce(byte_count, -1) byte_count, history from dq join c using (conn_id)",
     "ex_basic_file": f"{_C} select f as \"FilterStr\", count(*)::bigint n, count(distinct conn_id)::bigint n_conns from (" + " union all ".join(f"select conn_id, $f$dns.query_domain ~ '^.*\\.{t}$'$f$ f from dq join c using (conn_id) where regexp_matches(domain, '^.*\\.{t}$')" for t in TLDS) + ") group by f",
     "stg_dedup": f"{_C} select session_id, conn_id from dq join c using (conn_id)",
-    "ex_websites": f"{_C} select 'dns' protocol, domain website, count(*)::bigint n from dq join c using (conn_id) where domain <> '' group by domain",
     "ex_protocols": f"{_C} select conn_id, {_odd} kind, concat_ws('.', resp_addr >> 24, (resp_addr >> 16) & 255, (resp_addr >> 8) & 255, 0) server_subnet, printf('{{\"proto\": \"%s\", \"src\": \"%d\", \"dst\": \"%d\"}}', case proto when 6 then 'tcp' else 'udp' end, orig_port, resp_port) transport from c where ip_version = 4 and {_odd} is not null",
     "fn_fivetuple_str": "select distinct conn_id, five_tuple.orig || ' -> ' || five_tuple.resp || ' protocol ' || five_tuple.proto as text from connections",
     "jn_dns_txid": f"""{_C}, q as (select conn_id, transaction_id, session_id, row_number() over (partition by conn_id, transaction_id order by session_id) nth from dn where conn_id is not null and query is not null),

@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.operators.conntrack import KEY, Timeouts, with_key
+from packetloom.operators.conntrack import KEY, Timeouts, finished, unordered, with_key
+from packetloom.sources.tables import micros
 
 
 def stream_connections(packets: DataFrame, timeouts: Timeouts = Timeouts(), late: str = "10 minutes") -> DataFrame:
-    """Key, first and last time, packets and bytes of each connection, in append mode.
+    """Connections with their features, as operators.conntrack.connections() makes them from a table but for the times
+    between packets, in append mode: delivered once the watermark has passed their idle time.
 
-    Session windows of the transport's idle time; a packet exactly the idle time after the last opens a new connection
-    here, where tables keep it. Packets later than the watermark are dropped by Spark.
+    Session windows of the transport's idle time; a packet exactly that long after the last is still of the connection, as
+    in tables. Packets later than the watermark are dropped by Spark.
     """
-    gap = F.when(F.col("proto") == 17, F.lit(f"{timeouts.udp // 1000} milliseconds")).otherwise(F.lit(f"{timeouts.tcp // 1000} milliseconds"))
-    p = with_key(packets).withWatermark("ts", late)
-    g = p.groupBy(F.session_window("ts", gap).alias("w"), *KEY).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("pkt_count"), F.sum("frame_len").alias("byte_count"))
-    return g.drop("w")
+    gap = F.when(F.col("proto") == 17, F.lit(f"{timeouts.udp + 1} microseconds")).otherwise(F.lit(f"{timeouts.tcp + 1} microseconds"))
+    p = with_key(packets).withColumn("us", micros("ts")).withWatermark("ts", late)
+    aggs = {"first_us": F.min("us"), "last_us": F.max("us"), "pkt_count": F.count(F.lit(1)), "byte_count": F.sum(F.col("frame_len").cast("bigint")), **unordered()}
+    g = p.groupBy(F.session_window("ts", gap).alias("w"), *KEY).agg(*[c.alias(k) for k, c in aggs.items()])
+    return finished(g, [])
 
 
 def stream_counts(rows: DataFrame, labels: list[str]) -> DataFrame:
