@@ -36,6 +36,12 @@ def p1_frequent(spark: SparkSession, d: str) -> DataFrame:
     return heavy_hitters.frequent_items(once, SHARE, again=_packet_items(packets).unionByName(_name_items(dns)))
 
 
+def p1_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the sketch's estimate as what is known of it: that it lies within its error of the exact count."""
+    off = F.abs(F.col("estimate") - F.col("n"))
+    return p1_frequent(spark, d).select("field", "item", "n", "total", (off <= 3 * F.col("total") / heavy_hitters.WIDTH**0.5).alias("close"))
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_frequent(spark, d).select("field", "item")
 
@@ -49,6 +55,8 @@ occ as (select 'dst_addr' field, dst_addr::varchar item from pk where dst_addr i
 select field, item from (select field, item, count(*) n, sum(count(*)) over (partition by field) m from occ group by field, item) where n >= 0.01 * m
 """
 
+_P1_COUNTS = _P1.rstrip().removesuffix("where n >= 0.01 * m").replace("select field, item from", "select field, item, n::bigint n, m::bigint total, true as close from") + " where n >= 0.01 * m"
+
 # Problem 2
 
 _P2_KEYS, _P2_MEMBERS, _P2_COMBINATIONS = ["day", "dst_addr"], [6, 17], {"6": [6], "17": [17], "*": [6, 17]}
@@ -131,6 +139,15 @@ _P3 = _P3_VALUES + """
 select metric, day, service, value, total::bigint total from r where n = greatest(1, (total * q + 99) // 100)
 """
 
+#: The first digit of the histograms, and the least and greatest value of the cell in which the rank lies.
+_P3_BOUNDS = _P3_VALUES + """
+, w as (select metric, service, value, q, length(bin(abs(value))) - 9 up from v where value is not null),
+d as (select *, case when abs(value) < 256 then abs(value) else up * 256 + (abs(value) >> greatest(up, 0)) end size from w),
+g as (select *, case when value < 0 then -size - 1 else size end digit from d),
+r as (select *, row_number() over (partition by metric, service order by value) n, count(*) over (partition by metric, service) total, min(value) over (partition by metric, service, digit) low, max(value) over (partition by metric, service, digit) high from g)
+select metric, service, low, high, total::bigint total from r where n = greatest(1, (total * q + 99) // 100)
+"""
+
 # Problem 6
 
 
@@ -245,13 +262,15 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_frequent": p1_frequent, "p2_found": p2_found, "p2_sources": p2_sources, "p2_pairs": p2_pairs,
+    "p1_found": p1_found, "p1_frequent": p1_frequent, "p1_counts": p1_counts, "p2_found": p2_found, "p2_sources": p2_sources, "p2_pairs": p2_pairs,
     "p3_found": p3_found, "p3_percentiles": p3_percentiles, "p3_bounds": p3_bounds, "p6_found": p6_found, "p6_terms": p6_terms,
     "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_met": p8_met, "p8_mixture": p8_mixture, "p8_shares": p8_shares,
     "p9_found": p9_found, "p9_sentences": p9_sentences,
 }
 SQL = {
     "p1_found": _P1,
+    "p1_counts": _P1_COUNTS,
+    "p3_bounds": _P3_BOUNDS,
     "p2_found": f"select day, dst_addr, proto from ({_P2}) where n_distinct >= 30",
     "p2_sources": _P2,
     "p2_pairs": _P2_PAIRS,
