@@ -140,7 +140,7 @@ def percentiles(values: DataFrame, keys: list[str], quantiles: dict[str, tuple[i
     values is read twice: for the first histogram, and for the values of the cells it leaves open, which alone are written
     and read again by later passes. again: the rows of the second reading, with one more column, rid, that tells
     occurrences apart; rows equal in all of these are one. It spares dropping copies of all rows a second time, as the
-    cells' values are picked out first. Keys must not be called value or rid; other columns are ignored.
+    cells' values are picked out first. Keys must not be called value, rid, q or total; other columns are ignored.
     """
     ks = [f"__k{i}" for i in range(len(keys))]
     v, floating = _keyed(values, keys)
