@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,16 @@ def _level(df: DataFrame, made: dict[str, Column]) -> DataFrame:
     return df.select(*kept, one).select(*kept, *[F.col(f"__made.{n}").alias(n) for n in made])
 
 
+#: Headers that users add: protocol to what makes its fields from the payload's place in the frame.
+REGISTERED: dict[str, Callable[[Column, Column], dict[str, Column]]] = {}
+
+
+def register_header(protocol: str, make: Callable[[Column, Column], dict[str, Column]]) -> None:
+    """Adds a header above TCP or UDP: make(frame, offset) gives its fields, offset being where the payload begins. decode()
+    then has a column protocol_field for each of them, null where a frame has no payload."""
+    REGISTERED[protocol] = make
+
+
 def decode(frames: DataFrame, frame: str = "frame", names: list[str] | None = None) -> DataFrame:
     """frames with the columns of the packet schema and of single header fields.
 
@@ -61,6 +73,9 @@ def decode(frames: DataFrame, frame: str = "frame", names: list[str] | None = No
         "payload_off": F.when(good, l4 + F.col("__off")).cast("int"), "payload_len": F.when(good, F.col("__len")).cast("int"),
     })
     fields = _fields(f)
+    for protocol, make in REGISTERED.items():
+        there = F.col("payload_len") > 0
+        fields |= {f"{protocol}_{n}": F.when(there, c) for n, c in make(f, F.col("payload_off")).items()}
     wanted = {n: c for n, c in fields.items() if names is None or n in names}
     df = _level(df, wanted) if wanted else df
     if "frame_len" not in have:

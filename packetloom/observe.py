@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from packetloom.filterlang import Filter, holds
+from packetloom.filterlang.normalize import pruned
 from packetloom.functions.net import CHECKSUM, GAP, PREAMBLE
+from packetloom.plans.subscribe import Subscription
 
 
 def counted(packets: DataFrame, ignored_by: Filter | None = None) -> tuple[DataFrame, Observation]:
@@ -51,3 +53,15 @@ def histogram(df: DataFrame, column: str) -> DataFrame:
 def plan(df: DataFrame) -> str:
     """The formatted plan."""
     return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+
+
+def report(subs: list[Subscription]) -> str:
+    """What each subscription costs: the stage that decides its filter, its grain, the parsers it needs, the conjunctions
+    of its filter, and the condition under which a packet of its traffic is kept at all."""
+    lines = []
+    for s in subs:
+        f = s.parsed
+        lines.append(f"{s.name}({', '.join(s.datatypes)}): filter {s.filter or '(all)'}")
+        lines.append(f"  decided by: {f.stage()}; delivered by: {s.level.name.lower()}{f', every {s.streaming[1]} {s.streaming[0]}' if s.streaming else ''}; parsers: {', '.join(sorted(s.protocols)) or 'none'}")
+        lines += [f"  or {' and '.join(str(p) for p in q if p.proto != 'ethernet') or '(all)'}" for q in pruned(f.patterns)]
+    return "\n".join(lines)

@@ -3,20 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from packetloom.operators.ordering import numbered
+
 
 def pair_in_order(requests: DataFrame, responses: DataFrame, conn: list[str], order: list[str]) -> DataFrame:
     """The k-th request of a connection with its k-th response: conn, depth, request, response (structs, null if missing).
 
-    Both sides have conn and order columns; ties in order are broken by the whole row. Null conn values pair with none.
+    Both sides have conn and order columns, the first of order a number or a time. Null conn values pair with none. A
+    connection that holds most rows is numbered by ranges of the order, see ordering.numbered().
     """
 
     def ranked(df: DataFrame, name: str) -> DataFrame:
-        row = F.struct(*df.columns)
-        w = W.partitionBy(*conn).orderBy(*order, F.to_json(row))
-        return df.select(*conn, F.row_number().over(w).alias("depth"), row.alias(name))
+        return numbered(df, conn, order, "depth").select(*conn, "depth", F.struct(*df.columns).alias(name))
 
     return ranked(requests, "request").join(ranked(responses, "response"), [*conn, "depth"], "full")
 
@@ -28,9 +28,7 @@ def pair_by_transaction(queries: DataFrame, responses: DataFrame, conn: list[str
     """
 
     def ranked(df: DataFrame, name: str) -> DataFrame:
-        row = F.struct(*df.columns)
-        w = W.partitionBy(*conn, txid).orderBy(*order, F.to_json(row))
-        return df.select(*conn, txid, F.row_number().over(w).alias("nth"), row.alias(name))
+        return numbered(df, [*conn, txid], order, "nth").select(*conn, txid, "nth", F.struct(*df.columns).alias(name))
 
     return ranked(queries, "query").join(ranked(responses, "response"), [*conn, txid, "nth"], "full")
 

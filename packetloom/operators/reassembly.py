@@ -32,7 +32,8 @@ class Stream:
         if flags & ACK:
             self.last_ack = ack
         if self.next_seq is None:
-            if not flags & (SYN | ACK):
+            if not flags & (SYN | ACK):  # it waits for the segment that says where the stream begins
+                self._wait((pkt_id, seq, flags, payload))
                 return []
             self.next_seq = (seq + (1 if flags & SYN else 0)) % _WRAP
             if flags & SYN:
@@ -41,9 +42,7 @@ class Stream:
             seq = (seq + 1) % _WRAP
         out: list[tuple[int, bytes]] = []
         if not self._take(pkt_id, seq, flags, payload, out):
-            if len(self.waiting) >= self.most:
-                raise TooFarOutOfOrder
-            self.waiting.append((pkt_id, seq, flags, payload))
+            self._wait((pkt_id, seq, flags, payload))
             return out
         progress = True
         while progress and self.waiting:
@@ -55,6 +54,11 @@ class Stream:
                     progress = True
         return out
 
+    def _wait(self, segment: tuple[int, int, int, bytes]) -> None:
+        if len(self.waiting) >= self.most:
+            raise TooFarOutOfOrder
+        self.waiting.append(segment)
+
     def _take(self, pkt_id: int, seq: int, flags: int, payload: bytes, out: list) -> bool:
         """Consumes what is new of a segment; False if it lies in the future."""
         assert self.next_seq is not None

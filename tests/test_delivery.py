@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from packetloom.observe import counted, rates
 from packetloom.operators.conntrack import Timeouts, connections
 from packetloom.plans.subscribe import DATATYPES, Level, Subscription, SubscriptionError, deliver, deliver_all, load_subscriptions
-from packetloom.queries import activity, captures, flows, headers, protocols, services
+from packetloom.queries import activity, captures, fields, flows, headers, protocols, services
 from packetloom.functions.headers import decode
 from packetloom.sources import pcap, samples, sinks
 from packetloom.sources.adapters import packets_from_events
@@ -152,6 +152,13 @@ def test_capture_stream(spark, tmp_path):
     assert load_packets(spark, load_config(str(tmp_path / "c.toml"))).isStreaming
 
 
+def test_report():
+    from packetloom.observe import report
+
+    text = report([Subscription("tls.sni ~ 'x$' and tcp.port = 443", ("TlsHandshake",), "cb"), Subscription("", ("PktCount",), streaming=("packets", 3))])
+    assert "decided by: session; delivered by: session; parsers: tls" in text and "tls.sni ~ 'x$'" in text and "every 3 packets" in text
+
+
 def test_counters(spark):
     p = packets_from_events(spark, DATA)
     from packetloom.filterlang import Filter
@@ -163,7 +170,7 @@ def test_counters(spark):
     assert rates({"total_pkts": 10, "total_bytes": 1000}, 2)["ingress_bps"] == (1000 + 200) * 8 / 2
 
 
-SOME = ["p4_found", "p4_sessions", "p5_found", "p5_addresses", "p5_first_hour", "op_in_cidr6", "flt_precedence", "jn_cidr_range", "jn_rules_packets", "ct_timeout_tcp", "agg_connrecord", "agg_content_gaps", "agg_interarrivals", "agg_gap_figures", "agg_pktlists", "jn_conn_packets", "str_packets_n", "str_bytes_n", "str_seconds_s", "str_unsubscribe", "stg_conn_deliver", "op_bre", "ex_basic", "ex_protocols", "jn_dns_txid", "ct_decode", "obs_counters", *protocols.QUERIES]
+SOME = ["p4_found", "p4_sessions", "p5_found", "p5_addresses", "p5_first_hour", "op_in_cidr6", "flt_precedence", "jn_cidr_range", "jn_rules_packets", "ct_timeout_tcp", "agg_connrecord", "agg_content_gaps", "agg_interarrivals", "agg_gap_figures", "agg_pktlists", "jn_conn_packets", "str_packets_n", "str_bytes_n", "str_seconds_s", "str_unsubscribe", "stg_conn_deliver", "op_bre", "ex_basic", "ex_protocols", "jn_dns_txid", "ct_decode", "obs_counters", *protocols.QUERIES, *fields.QUERIES]
 
 
 @pytest.mark.parametrize("name", SOME)
@@ -172,7 +179,7 @@ def test_queries(spark, duck, name):
 
 
 def test_registry():
-    core = [activity, headers, flows, services, captures, protocols]
+    core = [activity, headers, flows, services, captures, protocols, fields]
     names = [n for m in core for n in m.QUERIES]
     assert len(names) == len(set(names)) and all(s in names for m in core for s in m.SQL)
     assert set(entry.oracle_sql()) <= set(entry.queries())

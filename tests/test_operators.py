@@ -109,6 +109,22 @@ def test_pairing(spark):
     assert {("c", 5, 1, "a", "A"), ("c", 5, 2, "b", None), ("c", 6, 1, None, "B")} <= got
 
 
+def test_numbered_by_ranges(spark):
+    from packetloom.operators.ordering import numbered
+
+    r = random.Random(6)
+    rows = [("hot", r.randrange(5000), i) for i in range(3000)] + [(f"k{i % 50}", r.choice([None, 1, 2, 3]), i) for i in range(500)] + [(None, 7, 1), (None, 8, 2)]
+    df = spark.createDataFrame(rows, "k string, t bigint, id int")
+    by = defaultdict(list)
+    for x in numbered(df, ["k"], ["t", "id"], "n", 16).collect():
+        by[x.k].append((x.n, x.t, x.id))
+    assert sum(map(len, by.values())) == len(rows)
+    for got in by.values():
+        want = sorted(((t, i) for _, t, i in got), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+        assert [(t, i) for _, t, i in sorted(got)] == want and [n for n, _, _ in sorted(got)] == list(range(1, len(got) + 1))
+    assert numbered(df.limit(0), ["k"], ["t"], "n").count() == 0
+
+
 def test_rules(spark):
     df = spark.createDataFrame([(1, 167772161, "x"), (2, 3323068416, None), (3, None, "y")], "id int, a bigint, v string")
     nets = spark.createDataFrame([("ten", 167772160, 8), ("all", 0, 0), ("host", 3323068416, 32)], "rule string, low bigint, prefix int")

@@ -73,6 +73,12 @@ def test_stream_in_any_order(isn, seed):
     assert s.fin and s.next_seq == (isn + 405) % (1 << 32)  # a FIN comes after its payload
 
 
+def test_stream_begins_late():
+    s = Stream()
+    assert s.push(1, 11, 0, 8, b"def") == [] and s.push(2, 8, 0, 8, b"abc") == []  # no SYN or ACK yet: they wait
+    assert s.push(3, 7, 0, SYN, b"") == [(3, b""), (2, b"abc"), (1, b"def")]
+
+
 def test_stream_overflow():
     s = Stream(most=2)
     s.push(0, 0, 0, SYN, b"")
@@ -149,6 +155,18 @@ def test_malformed(spark):
     assert all(r.proto is None and r.src_port is None for r in got[1:])
 
 
+def test_own_header(spark):
+    from packetloom.functions import headers
+
+    headers.register_header("mine", lambda f, at: {"kind": headers.number(f, at, 1), "size": headers.number(f, at + 1, 2)})
+    try:
+        rows = [(1, samples.udp("10.0.0.1", 1, "10.0.0.2", 2, b"\x07\x01\x00x")), (2, samples.udp("10.0.0.1", 1, "10.0.0.2", 2, b"")), (3, None)]
+        got = decode(spark.createDataFrame(rows, "pkt_id int, frame binary"), names=["mine_kind", "mine_size"]).orderBy("pkt_id").collect()
+        assert [(x.mine_kind, x.mine_size) for x in got] == [(7, 256), (None, None), (None, None)]
+    finally:
+        del headers.REGISTERED["mine"]
+
+
 def test_sessions_of_captures(frames):
     c = trace_connections(frames).cache()
     by = {(x.orig_port, x.service): x for x in c.collect()}
