@@ -98,20 +98,20 @@ _P3_KEYS = ["metric", "day", "service"]
 
 
 def _values(spark: SparkSession, d: str, once: bool = True) -> DataFrame:
-    """metric, day, service, value of every connection, each once; or of all rows, with rid to tell their values apart."""
-    c = table(spark, d, "connections").select("conn_id", day("start_ts").alias("day"), F.coalesce("service", F.lit("unknown")).alias("service"), "byte_count", "pkt_count", "interarrivals_ctos")
+    """metric, day (DATE), service, value of every connection, each once; or of all rows, with rid to tell values apart."""
+    c = table(spark, d, "connections").select("conn_id", F.to_date("start_ts").alias("day"), F.coalesce("service", F.lit("unknown")).alias("service"), "byte_count", "pkt_count", "interarrivals_ctos")
     one = lambda m, v, no: F.struct(F.lit(m).alias("metric"), v.alias("value"), no.alias("no"))
     gaps = F.transform(F.coalesce("interarrivals_ctos", F.array().cast("array<bigint>")), lambda g, i: one("interarrivals_ctos_p50", g, i))
     two = F.array(one("byte_count_p90", F.col("byte_count"), F.lit(0)), one("pkt_count_p50", F.col("pkt_count"), F.lit(0)))
     x = (c.distinct() if once else c).select("conn_id", "day", "service", F.explode(F.concat(two, gaps)).alias("x"))
-    rid = [] if once else [F.concat_ws("/", "conn_id", "x.no").alias("rid")]
+    rid = [] if once else [F.struct("conn_id", "x.no").alias("rid")]
     return x.select("x.metric", "day", "service", "x.value", *rid).where(F.col("value").isNotNull() & F.col("day").isNotNull())
 
 
 def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """The percentile of each metric by day and service, and the number of values."""
     shares = {m: (num, den) for m, (num, den, _) in LIMITS.items()}
-    return percentiles.percentiles(_values(spark, d), _P3_KEYS, shares, by="metric", again=_values(spark, d, once=False)).select(*_P3_KEYS, "value", "total")
+    return percentiles.percentiles(_values(spark, d), _P3_KEYS, shares, by="metric", again=_values(spark, d, once=False)).select("metric", F.col("day").cast("string").alias("day"), "service", "value", "total")
 
 
 def p3_bounds(spark: SparkSession, d: str) -> DataFrame:
