@@ -77,7 +77,8 @@ def decode(frames: DataFrame, frame: str = "frame", names: list[str] | None = No
         there = F.col("payload_len") > 0
         fields |= {f"{protocol}_{n}": F.when(there, c) for n, c in make(f, F.col("payload_off")).items()}
     wanted = {n: c for n, c in fields.items() if names is None or n in names}
-    df = _level(df, wanted) if wanted else df
+    # nothing builds on these, so a plain projection, which drops those that nobody asks for
+    df = df.withColumns(wanted) if wanted else df
     if "frame_len" not in have:
         df = df.withColumn("frame_len", F.length(f))
     return df.drop(*[c for c in df.columns if c.startswith("__")])

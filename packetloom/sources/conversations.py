@@ -51,12 +51,12 @@ def frames_of(conversations: DataFrame, port: int, proto: int = 6) -> DataFrame:
     TCP opens with its handshake, and closes with FIN of both sides (close fin), RST of the client (rst), or not at all.
     Turns are sent in order; a turn with a rank arrives after so many others, a lost one never. UDP turns are datagrams.
     """
-    size = lambda x: F.length(x["data"]).cast("bigint")
     zero = F.lit(0).cast("bigint")
-    said = lambda t, i, same: F.aggregate(F.filter(F.slice("turns", F.lit(1), i), lambda x: (x["up"] == t["up"]) if same else (x["up"] != t["up"])), zero, lambda a, x: a + size(x))
-    all_of = lambda up: F.aggregate(F.filter("turns", lambda x: x["up"] == F.lit(up)), zero, lambda a, x: a + size(x))
-    c = conversations.select(
-        "conn", "turns", "close", F.size("turns").alias("n"), all_of(True).alias("ups"), all_of(False).alias("downs"),
+    # bytes that each side has sent before each turn, and in all; columns of their own, so each is made once
+    sums = lambda up: F.aggregate("turns", F.array(zero), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.when(x["up"] == F.lit(up), F.length(x["data"]).cast("bigint")).otherwise(zero))))
+    c = conversations.select("conn", "turns", "close", F.size("turns").alias("n"), sums(True).alias("ups_at"), sums(False).alias("downs_at"))
+    c = c.select(
+        "*", F.element_at("ups_at", -1).alias("ups"), F.element_at("downs_at", -1).alias("downs"),
         F.pmod(F.col("conn") * 2654435761, F.lit(1 << 32).cast("bigint")).alias("isn_up"), F.pmod(F.col("conn") * 40503 + 77777, F.lit(1 << 32).cast("bigint")).alias("isn_down"),
     )
 
@@ -66,7 +66,8 @@ def frames_of(conversations: DataFrame, port: int, proto: int = 6) -> DataFrame:
 
     own = lambda t: F.when(t["up"], F.col("isn_up")).otherwise(F.col("isn_down"))
     other = lambda t: F.when(t["up"], F.col("isn_down")).otherwise(F.col("isn_up"))
-    sent = F.transform("turns", lambda t, i: F.struct(t.alias("t"), segment(i + 3, F.coalesce(t["at"], i) + 3, t["up"], PSH | ACK, own(t) + 1 + said(t, i, True), other(t) + 1 + said(t, i, False), t["data"]).alias("s")))
+    said = lambda t, i, mine, theirs: F.when(t["up"], F.get(mine, i)).otherwise(F.get(theirs, i))
+    sent = F.transform("turns", lambda t, i: F.struct(t.alias("t"), segment(i + 3, F.coalesce(t["at"], i) + 3, t["up"], PSH | ACK, own(t) + 1 + said(t, i, "ups_at", "downs_at"), other(t) + 1 + said(t, i, "downs_at", "ups_at"), t["data"]).alias("s")))
     kept = F.transform(F.filter(sent, lambda x: ~x["t"]["lost"]), lambda x: x["s"])
     if proto == 17:
         parts = kept
