@@ -171,9 +171,11 @@ def assign(packets: DataFrame, timeouts: Timeouts = Timeouts(), marks: dict[str,
 
     marks: conditions on packets by name; a column of each says whether any packet of the connection meets it. numbers:
     also nth (the packet's number in its connection, from 1), bytes_so_far, and gap_us (the time since the packet before
-    it in its direction, null for the first): each is counted within the cell, on top of what earlier cells come to.
+    it in its direction, null for the first): each is counted within the cell, on top of what earlier cells come to. Columns
+    of these names are replaced. Packets without addresses, ports or time are left out, an empty table gives no rows.
     """
     marks = marks or {}
+    packets = packets.drop("conn_no", "dir", *(["nth", "bytes_so_far", "gap_us"] if numbers else []), *marks)
     numbered = number_cells(_parts(packets, timeouts, marks), timeouts)
     conn = W.partitionBy(*KEY, "conn_no").orderBy("first_us")
     upto, earlier = conn.rowsBetween(W.unboundedPreceding, W.currentRow), conn.rowsBetween(W.unboundedPreceding, -1)

@@ -121,7 +121,7 @@ def match_filters(rows: DataFrame, rules: list[Rule], stage: str = "packet") ->
     """rows with rule STRING for each rule whose filter lets them through; a row may come with several rules.
 
     stage is packet, connection or session. Identical filters are decided once. Rows come through once, whatever the number
-    of rules; an empty list of rules gives no rows. Columns that begin with two underscores must not be among the rows'.
+    of rules; an empty list of rules gives no rows. A column rule is replaced; columns that begin with two underscores must not be among the rows'.
     """
     by_text: dict[str, list[str]] = {}
     for r in rules:
@@ -187,4 +187,4 @@ def match_filters(rows: DataFrame, rules: list[Rule], stage: str = "packet") ->
         marks.append(F.flatten(F.filter(F.array(*each), lambda x: x.isNotNull())))
     if not marks:
         return rows.withColumn("rule", F.lit(None).cast("string")).limit(0)
-    return out.select(*rows.columns, F.explode(F.array_distinct(F.concat(*marks))).alias("rule"))
+    return out.select(*[c for c in rows.columns if c != "rule"], F.explode(F.array_distinct(F.concat(*marks))).alias("rule"))

@@ -123,10 +123,14 @@ class Subscription:
 
 def load_subscriptions(path: str) -> list[Subscription]:
     """Subscriptions of a TOML file: [[subscriptions]] with filter, datatypes (one or many), callback, streaming."""
-    with open(path, "rb") as f:
-        found = tomllib.load(f).get("subscriptions", [])
+    with open(path, encoding="utf-8") as f:
+        return read_subscriptions(f.read())
+
+
+def read_subscriptions(text: str) -> list[Subscription]:
+    """Subscriptions of a TOML text, see load_subscriptions()."""
     out = []
-    for s in found:
+    for s in tomllib.loads(text).get("subscriptions", []):
         wanted = s["datatypes"]
         stream = s.get("streaming")
         unit = next(((k.lower(), v) for k, v in stream.items()), None) if stream else None

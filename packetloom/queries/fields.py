@@ -8,17 +8,21 @@ from pyspark.sql import functions as F
 from packetloom.filterlang import Filter, errors
 from packetloom.filterlang import fields as R
 from packetloom.filterlang.normalize import pruned
+from packetloom.functions.addresses import ip_bytes
 from packetloom.functions.headers import decode, payload
 from packetloom.observe import histogram
 from packetloom.operators import conntrack as C
 from packetloom.operators.trace import fold
 from packetloom.plans.staging import claim
+from packetloom.plans.subscribe import read_subscriptions
 from packetloom.queries.flows import _XE
-from packetloom.queries.protocols import _ENDS, _HTTP_SQL, _TLS_SQL, _closing_frames, _http_frames, _parsed, _tls_frames
+from packetloom.queries.protocols import _ENDS, _HTTP_SQL, _TLS_SQL, SQL as _PROTOCOLS, WHOLE, _closing_frames, _http_frames, _parsed, _tls_frames
 from packetloom.sources import pcap, sinks
 from packetloom.sources.adapters import packets_from_events
 from packetloom.sources.conversations import hexed
 from packetloom.sources.tables import table
+from packetloom.sources.traffic import address_text
+from packetloom.streaming.subscribed import firings
 
 # Header fields: frames whose every field is arithmetic on the packet's id, which SQL repeats
 
@@ -138,6 +142,45 @@ def fn_payload(spark: SparkSession, d: str) -> DataFrame:
     return x.select("pkt_id", payload().cast("string").alias("said"))
 
 
+def fn_ip_text(spark: SparkSession, d: str) -> DataFrame:
+    """Addresses of packets as text, those of IPv6 also read back from it."""
+    p = table(spark, d, "packets").select("pkt_id", "ip_version", "dst_ip").distinct()
+    text = address_text("dst_ip")
+    return p.select("pkt_id", F.when(F.col("ip_version") == 4, text).otherwise(F.hex(ip_bytes(text))).alias("dst"), F.length(text).between(3, 39).alias("plausible"))
+
+
+def str_spec(spark: SparkSession, d: str) -> DataFrame:
+    """Streaming subscriptions of a TOML specification over TLS connections: bytes at every packet, and every fourth."""
+    text = """
+[[subscriptions]]
+filter = "tls"
+datatypes = ["ByteCount", "FiveTuple"]
+callback = "each"
+streaming = { Packets = 1 }
+[[subscriptions]]
+filter = "tls and tcp.port = 443"
+datatypes = ["ByteCount", "FiveTuple"]
+callback = "fourth"
+streaming = { Packets = 4 }
+"""
+    frames, out = decode(_tls_frames(spark, d), names=[]), None
+    for sub in read_subscriptions(text):
+        one = firings(sub, frames, WHOLE).select(F.lit(sub.name).alias("callback"), "pkt_id", F.col("ByteCount").alias("byte_count"), F.col("firing").cast("bigint").alias("firing"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def src_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Captures taken up by a stream, written by it, and read back."""
+    captures, into = claim(spark, "arriving"), claim(spark, "streamed")
+    pcap.write(_closing_frames(spark, d), captures)
+    frames = spark.readStream.format("pcap").load(captures).select("pkt_id", "ts", "frame_len")
+    q = frames.writeStream.format("parquet").option("checkpointLocation", claim(spark, "progress")).start(into)
+    q.processAllAvailable()
+    q.stop()
+    return spark.read.schema("pkt_id bigint, ts timestamp, frame_len int").parquet(into).groupBy("frame_len").agg(F.count(F.lit(1)).alias("n"), F.min(F.unix_micros("ts")).alias("first_us"))
+
+
 class _Turns:
     """The largest frame of a connection, and how often its direction changes."""
 
@@ -199,7 +242,7 @@ def snk_exposition(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "fld_ipv4": _of("ipv4", "ip_version = 4"), "fld_ipv6": _of("ipv6", "ip_version = 6"), "fld_tcp": _of("tcp", "proto = 6"), "fld_udp": _of("udp", "proto = 17"), "fld_http": _session_fields(_http_frames, "http"), "fld_tls": _session_fields(_tls_frames, "tls"),
-    **{f.__name__: f for f in (fld_ethernet, flt_canonical, flt_errors, flt_stages, fn_payload, udf_tracked, obs_histogram, src_ports, snk_json, snk_log, snk_exposition)},
+    **{f.__name__: f for f in (fld_ethernet, flt_canonical, flt_errors, flt_stages, fn_payload, fn_ip_text, str_spec, src_stream, udf_tracked, obs_histogram, src_ports, snk_json, snk_log, snk_exposition)},
 }
 
 
@@ -226,6 +269,10 @@ select conn, sni, 771::bigint client_version, 771::bigint server_version, case w
     "flt_errors": _values(list(BROKEN.items()), "filter, error"),
     "flt_stages": _values([(t, *x) for t, x in STAGES.items()], "filter, stage, per_packet, parsers"),
     "fn_payload": "select o_orderkey * 4096 + 3 pkt_id, repeat('q', (o_orderkey % 50 + 1)::int) said from orders union all select o_orderkey * 4096 + 4, repeat('r', (o_custkey % 90 + 1)::int) from orders",
+    "fn_ip_text": "select distinct pkt_id, case when ip_version = 4 then concat_ws('.', dst_addr >> 24, (dst_addr >> 16) & 255, (dst_addr >> 8) & 255, dst_addr & 255) else hex(dst_ip) end dst, true plausible from packets",
+    "str_spec": f"with e as ({_PROTOCOLS['str_protocol_filter']}) select 'each' callback, pkt_id, byte_count, firing from e union all select 'fourth', pkt_id, byte_count, ((firing - 1) // 4 + 1)::bigint from e where (firing - 1) % 4 = 0",
+    "src_stream": f"""with p as (select o_orderkey conn, o_orderkey % 50 + 1 up, o_custkey % 90 + 1 down, unnest(range(0, 5 + {_ENDS})) k from orders)
+select (54 + case k when 3 then up when 4 then down else 0 end)::int frame_len, count(*)::bigint n, min(1700000000000000 + conn * 20000 + k * 1000) first_us from p group by 1""",
     "udf_tracked": f"""{_XE}, t as (select *, own <> lag(own) over (partition by hi, lo, proto, conn_no order by us, pkt_id) turn from r)
 select hi, lo, proto, conn_no::bigint conn_no, max(frame_len)::bigint largest, count(*) filter (turn)::bigint turns from t group by t.hi, t.lo, proto, t.conn_no""",
     "obs_histogram": "select " + ", ".join(f"quantile_disc(frame_len, {p}) p{str(p)[2:].ljust(2, '0')}" for p in (0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 0.999)) + " from (select distinct pkt_id, frame_len from packets)",

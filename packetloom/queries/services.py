@@ -9,7 +9,7 @@ from packetloom.filterlang import Filter
 from packetloom.functions.net import five_tuple_text, ipv4_subnet, transport_text
 from packetloom.operators.pairing import pair_by_transaction, pair_in_order
 from packetloom.operators.rules import Rule, match_filters, match_values
-from packetloom.plans.subscribe import Subscription, deliver, deliver_all
+from packetloom.plans.subscribe import Subscription, deliver, deliver_all, read_subscriptions
 from packetloom.sources.tables import table
 from packetloom.sources.traffic import connection_rows, dns_sessions, ssh_sessions, traffic_from_tables
 
@@ -91,9 +91,13 @@ def ex_basic(spark: SparkSession, d: str) -> DataFrame:
 TLDS = ("example", "test", "invalid")
 
 
+#: A specification as users keep it in a file.
+SPEC = "\n".join(f"[[subscriptions]]\nfilter = \"dns.query_domain ~ '^.*\\\\.{t}$'\"\ndatatypes = [\"DnsTransaction\", \"FilterStr\"]\ncallback = \"names\"\n" for t in TLDS)
+
+
 def ex_basic_file(spark: SparkSession, d: str) -> DataFrame:
-    """Several subscriptions with the same callback, each row with the filter that let it through."""
-    subs = [Subscription(f"dns.query_domain ~ '^.*\\.{t}$'", ("DnsTransaction", "FilterStr"), "names") for t in TLDS]
+    """Subscriptions of a TOML specification with the same callback, each row with the filter that let it through."""
+    subs = read_subscriptions(SPEC)
     return deliver_all(subs, traffic_from_tables(spark, d))["names"].groupBy("FilterStr").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("conn_id").alias("n_conns"))
 
 

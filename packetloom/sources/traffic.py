@@ -57,7 +57,7 @@ def traffic_from_tables(spark: SparkSession, d: str) -> Traffic:
     return Traffic(None, connection_rows(spark, d), sessions)
 
 
-def _ip_text(raw: str) -> F.Column:
+def address_text(raw: str) -> F.Column:
     """Text of 4 or 16 bytes."""
     number = F.conv(F.hex(raw), 16, 10).cast("bigint")
     groups = F.concat_ws(":", *[F.substring(F.lower(F.hex(raw)), 4 * i + 1, 4) for i in range(8)])
@@ -69,7 +69,7 @@ def connection_columns(c: DataFrame) -> DataFrame:
     pick = {"packets": lambda x: F.lit(True), "packets_orig": lambda x: x["dir"], "packets_resp": lambda x: ~x["dir"]}
     lists = {n: F.transform(F.filter("packet_ids", of), lambda x: x["pkt_id"]).alias(n) for n, of in pick.items()}
     number = lambda x: F.when(F.length(x) == 4, F.conv(F.hex(x), 16, 10).cast("bigint"))
-    return c.select("*", *lists.values()).withColumns({"orig": _ip_text("orig_ip"), "resp": _ip_text("resp_ip"), "orig_addr": number("orig_ip"), "resp_addr": number("resp_ip"), "duration_us": F.col("last_us") - F.col("first_us")})
+    return c.select("*", *lists.values()).withColumns({"orig": address_text("orig_ip"), "resp": address_text("resp_ip"), "orig_addr": number("orig_ip"), "resp_addr": number("resp_ip"), "duration_us": F.col("last_us") - F.col("first_us")})
 
 
 def traffic_from_frames(frames: DataFrame, protocols: set[str], timeouts: Timeouts = Timeouts(), most_out_of_order: int = 100) -> Traffic:
