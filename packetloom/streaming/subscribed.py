@@ -1,4 +1,5 @@
-"""Streaming subscriptions: callbacks while a connection goes on, for filters of any stage and all data that can be streamed.
+"""Subscriptions over streams: callbacks while a connection goes on, for filters of any stage and all data that can be
+streamed (firings), and sessions and connections as they are done (deliver_stream).
 
 A connection is traced packet by packet. A filter that packets decide matches at its first packet; one that asks for the
 protocol or a session matches when that is known, and triggers count from the next packet on. At each firing the data of
@@ -11,7 +12,7 @@ from __future__ import annotations
 import base64
 import json
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -25,7 +26,7 @@ from packetloom.filterlang.interpret import matches, on_connection
 from packetloom.operators.conntrack import KEY, Timeouts
 from packetloom.operators.reassembly import ACK, RST, SYN
 from packetloom.operators.trace import SCHEMA, Connection, Packet, packet_rows
-from packetloom.plans.subscribe import DATATYPES, Subscription, SubscriptionError, _project
+from packetloom.plans.subscribe import DATATYPES, Level, Subscription, SubscriptionError, _project
 from packetloom.sources.traffic import connection_columns
 from packetloom.streaming.triggers import Trigger, Until
 
@@ -90,8 +91,7 @@ class Subscribed:
         f: Filter = self.sub.parsed
         if c.prober.parser is None:
             return False
-        p = c.first
-        ends = {"ip_version": 4 if len(p.src_ip) == 4 else 6, "proto": p.proto, "orig_ip": p.src_ip, "resp_ip": p.dst_ip, "orig_port": p.src_port, "resp_port": p.dst_port}
+        ends = _ends(c)
         service = c.prober.parser.protocol
         wanted = next((x for d in self.sub.datatypes if (x := DATATYPES[d].protocol)), None)
         if f.stage() == "protocol" and wanted is None:
@@ -153,35 +153,135 @@ def _over_table(sub: Subscription, packets: DataFrame, timeouts: Timeouts, until
     return rows.mapInArrow(run, _FULL)
 
 
+class Whole:
+    """Sessions as they are parsed and connections as they end, of one connection key; packets come in order."""
+
+    def __init__(self, sub: Subscription, timeouts: Timeouts, most_out_of_order: int = 100):
+        self.sub, self.timeouts, self.most = sub, timeouts, most_out_of_order
+        self.no, self.seen, self.conn = 0, 0, None
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("sub", "timeouts")}
+
+    def bound(self, sub: Subscription, timeouts: Timeouts) -> Whole:
+        self.sub, self.timeouts = sub, timeouts
+        return self
+
+    def packet(self, p: Packet) -> list[dict]:
+        out: list[dict] = []
+        c = self.conn
+        if c:
+            window = self.timeouts.udp if p.proto == 17 else self.timeouts.establish if c.count == 1 else self.timeouts.tcp
+            if p.us - c.us[2] > window:
+                out += self.end("idle")
+                c = None
+        if c is None:
+            if p.proto == 6 and p.flags & (SYN | ACK | RST) != SYN:
+                return out
+            c = self.conn = Connection(p, self.sub.protocols, self.most, "InterArrivals" in self.sub.datatypes or bool(_LISTS & set(self.sub.datatypes)))
+        closed = c.add(p)
+        return out + (self.end(closed) if closed else self._sessions(c, None))
+
+    def end(self, how: str) -> list[dict]:
+        """What is due when a connection ends: sessions left unfinished, and the connection."""
+        c, self.conn = self.conn, None
+        if c is None:
+            return []
+        row = c.row(how, self.no) | {"pkt_id": None, "us": c.us[2], "firing": None}
+        out = self._sessions(c, row)
+        self.no, self.seen = self.no + 1, 0
+        if self.sub.level == Level.SESSION:
+            return out
+        service, f = row["service"], self.sub.parsed
+        found = c.sessions if f.stage() == "session" else [(service, None)]
+        wanted = next((x for d in self.sub.datatypes if (x := DATATYPES[d].protocol)), None)
+        held = wanted is None or any(name == wanted for name, _ in c.sessions)
+        return [row] if held and any(matches(f.tree, on_connection(_ends(c), name, s)) for name, s in found) else []
+
+    def _sessions(self, c: Connection, ended: dict | None) -> list[dict]:
+        if self.sub.level != Level.SESSION:
+            return []
+        new, at = c.sessions[self.seen :], self.seen
+        self.seen = len(c.sessions)
+        wanted = next(x for d in self.sub.datatypes if (x := DATATYPES[d].protocol))
+        hits = [at + i for i, (name, s) in enumerate(new) if name == wanted and matches(self.sub.parsed.tree, on_connection(_ends(c), name, s))]
+        if not hits:
+            return []
+        row = ended or c.row("open", self.no, ended=False) | {"pkt_id": None, "us": c.us[2], "firing": None}
+        return [row | {"sessions": [row["sessions"][i]]} for i in hits]
+
+
+def _ends(c: Connection) -> dict:
+    p = c.first
+    return {"ip_version": 4 if len(p.src_ip) == 4 else 6, "proto": p.proto, "orig_ip": p.src_ip, "resp_ip": p.dst_ip, "orig_port": p.src_port, "resp_port": p.dst_port}
+
+
+def deliver_stream(sub: Subscription, packets: DataFrame, timeouts: Timeouts = Timeouts(), late: str = "10 minutes") -> DataFrame:
+    """The rows of a subscription over a stream of decoded frames, as plans.subscribe.deliver() gives them over tables.
+
+    Packets come as they pass the filter, sessions when they are parsed (conn_id, session_id), connections when they end by
+    FIN, RST, or idle time, by the next packet of their ends or by the watermark (conn_id). Packets of connections that a
+    later stage decides can't be had from a stream. Lists of packets hold ids. The watermark follows the packets that the
+    filter keeps.
+    """
+    if sub.streaming:
+        raise SubscriptionError("the subscription has a trigger: see firings()")
+    f = sub.parsed
+    if sub.level == Level.PACKET:
+        if f.stage() != "packet":
+            raise SubscriptionError("packets of connections that are decided later can't be had from a stream")
+        return _project(packets.where(f.on_packets(packets.columns, exact=True)), sub, ["pkt_id"])
+    left = [d for d in sub.datatypes if d in ("EthAddr", "EtherTCI", "SessionList")]
+    if left:
+        raise SubscriptionError(f"can't be had from a stream: {left}")
+    kept = packets.where(f.on_packets(packets.columns))
+    rows = connection_columns(_stateful(kept, late, timeouts, lambda blob: (pickle.loads(blob).bound(sub, timeouts) if blob else Whole(sub, timeouts)), lambda s: s.end("idle")))
+    protocol = next((p for d in sub.datatypes if (p := DATATYPES[d].protocol)), None)
+    if protocol:
+        rows = rows.withColumn(protocol, F.get(F.filter("sessions", lambda x: x["protocol"] == protocol), F.lit(0))[protocol])
+    if sub.level == Level.SESSION:
+        return _project(rows.withColumn("session_id", F.get("sessions", F.lit(0))["session_no"]), sub, ["conn_id", "session_id"])
+    return _project(rows, sub, ["conn_id"])
+
+
 def _over_stream(sub: Subscription, packets: DataFrame, timeouts: Timeouts, until: Until | None, late: str) -> DataFrame:
-    rows = packet_rows(packets, keep=["ts"]).withWatermark("ts", late)
+    return _stateful(packets, late, timeouts, lambda blob: pickle.loads(blob).bound(sub, timeouts, until) if blob else Subscribed(sub, timeouts, until), lambda s: [])
+
+
+def _plain(v: object) -> object:
+    """A value as JSON can hold it: bytes in base64, maps as lists of entries."""
+    if isinstance(v, bytes | bytearray):
+        return base64.b64encode(v).decode()
+    if isinstance(v, dict):
+        return {k: _plain(x) for k, x in v.items()}
+    if isinstance(v, list):
+        return [_plain({"key": x[0], "value": x[1]}) if isinstance(x, tuple) else _plain(x) for x in v]
+    return v
 
-    def plain(v: object) -> object:
-        if isinstance(v, bytes | bytearray):
-            return base64.b64encode(v).decode()
-        if isinstance(v, dict):
-            return {k: plain(x) for k, x in v.items()}
-        if isinstance(v, list):
-            return [plain({"key": x[0], "value": x[1]}) if isinstance(x, tuple) else plain(x) for x in v]
-        return v
+
+def _stateful(packets: DataFrame, late: str, timeouts: Timeouts, load: Callable[[bytes | None], object], ended: Callable[[object], list[dict]]) -> DataFrame:
+    """Rows in _FULL of a state machine for each connection key. load makes one from its kept state, ended gives what is due
+    when the watermark has passed its idle time."""
+    rows = packet_rows(packets, keep=["ts"]).withWatermark("ts", late)
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        import packetloom.parsers  # noqa: F401
+        import packetloom.parsers  # noqa: F401 registers the parsers on the executor
 
+        s = load(state.get[0] if state.exists else None)
+        out: list[dict] = []
         if state.hasTimedOut:
+            out = ended(s)
             state.remove()
-            return
-        s = pickle.loads(state.get[0]).bound(sub, timeouts, until) if state.exists else Subscribed(sub, timeouts, until)
-        out, last = [], 0
-        for r in pd.concat(list(parts)).sort_values(["us", "pkt_id"]).itertuples(index=False):
-            row = s.packet(Packet(int(r.pkt_id), int(r.us), bool(r.from_hi), bytes(r.src_ip), int(r.src_port), bytes(r.dst_ip), int(r.dst_port), int(key[2]), int(r.flags), int(r.seq), int(r.ack), int(r.len), int(r.frame_len), None if r.data is None else bytes(r.data)))
-            last = max(last, int(r.us))
-            if row:
-                out.append(json.dumps(plain(row)))
-        state.update((pickle.dumps(s),))
-        idle = timeouts.udp if key[2] == 17 else timeouts.tcp
-        state.setTimeoutTimestamp(max((last + idle) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"row": out}, dtype=object)
+        else:
+            last = 0
+            for r in pd.concat(list(parts)).sort_values(["us", "pkt_id"]).itertuples(index=False):
+                row = s.packet(Packet(int(r.pkt_id), int(r.us), bool(r.from_hi), bytes(r.src_ip), int(r.src_port), bytes(r.dst_ip), int(r.dst_port), int(key[2]), int(r.flags), int(r.seq), int(r.ack), int(r.len), int(r.frame_len), None if r.data is None else bytes(r.data)))
+                last = max(last, int(r.us))
+                out += row if isinstance(row, list) else [row] if row else []
+            state.update((pickle.dumps(s),))
+            idle = timeouts.udp if key[2] == 17 else timeouts.tcp
+            state.setTimeoutTimestamp(max((last + idle) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"row": [json.dumps(_plain(x)) for x in out]}, dtype=object)
 
     fired = rows.groupBy(*KEY).applyInPandasWithState(step, "row string", "state binary", "append", GroupStateTimeout.EventTimeTimeout)
     entries = _FULL.replace("gaps: map<bigint, bigint>", "gaps: array<struct<key: bigint, value: bigint>>")

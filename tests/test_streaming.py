@@ -10,10 +10,10 @@ from packetloom.filterlang.interpret import matches, on_connection
 from packetloom.functions.headers import decode
 from packetloom.operators.conntrack import Timeouts
 from packetloom.operators.trace import trace_connections
-from packetloom.plans.subscribe import Subscription, SubscriptionError
+from packetloom.plans.subscribe import Subscription, SubscriptionError, deliver
 from packetloom.sources import pcap, samples
-from packetloom.sources.traffic import traffic_from_frames
-from packetloom.streaming.subscribed import firings
+from packetloom.sources.traffic import Traffic, traffic_from_frames
+from packetloom.streaming.subscribed import deliver_stream, firings
 from packetloom.streaming.triggers import deliver_firings
 from tests.test_delivery import run_stream
 
@@ -44,6 +44,35 @@ def test_stream_of_subscription_equals_table(spark, frames, k, tmp_path):
     assert plain(run_stream(firings(SUBS[k], stream, LONG), f"subscribed{k}")) == want and want
 
 
+DONE = [Subscription("tls", ("TlsHandshake", "FiveTuple")), Subscription("http.status_code >= 404", ("HttpTransaction",)), Subscription("dns.query_domain ~ 'test$'", ("DnsTransaction", "FilterStr")), Subscription("ssh.comments_ctos contains 'first'", ("ConnRecord",)), Subscription("tcp", ("PktCount", "FiveTuple")), Subscription("tls.sni = 'shop.example'", ("TlsHandshake", "ByteCount")), Subscription("udp and dns", ("ConnHistory",))]
+
+
+@pytest.mark.parametrize("k", range(len(DONE)))
+def test_delivery_over_a_stream(spark, frames, k, tmp_path):
+    """Sessions and connections of a stream are those of the table; a packet from much later lets the watermark pass them."""
+    table, folder = frames
+    sub = DONE[k]
+    want = plain(deliver(sub, traffic_from_frames(table, sub.protocols, Timeouts())))
+    later = [[(10**15 + 10**12 * (i + 1), f) for f in (samples.tcp("10.9.9.9", 9, "10.9.9.8", 9, 16, 5, 5, b""), samples.udp("10.9.9.9", 9, "10.9.9.8", 9, b""))] for i in range(2)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.pcap").write_bytes(open(f"{folder}/a.pcap", "rb").read())
+    for i, x in enumerate(later):
+        pcap.write_pcap(str(tmp_path / "in" / f"b{i}.pcap"), x)
+    pcap.register(spark)
+    stream = decode(spark.readStream.format("pcap").option("files_per_batch", 1).load(str(tmp_path / "in")))
+    assert plain(run_stream(deliver_stream(sub, stream, Timeouts(), "1 second"), f"delivered{k}")) == want and want
+
+
+def test_packets_over_a_stream(spark, frames):
+    table, folder = frames
+    pcap.register(spark)
+    stream = decode(spark.readStream.format("pcap").load(folder))
+    sub = Subscription("tcp.syn = 1", ("ZcFrame",))
+    assert run_stream(deliver_stream(sub, stream), "syns").count() == deliver(sub, Traffic(table, None, None)).count() > 0
+    with pytest.raises(SubscriptionError):
+        deliver_stream(Subscription("tls", ("ZcFrame",)), stream)
+
+
 def test_firings(spark, frames):
     table, _ = frames
     tls = firings(SUBS[0], table, LONG).where("FiveTuple.orig = '10.0.0.2'").orderBy("us").collect()
