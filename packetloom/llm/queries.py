@@ -198,6 +198,27 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_leaks(spark, d).where("own").select("doc_id", "item_id").distinct()
 
 
+# The rule of problem 7 said in SQL, apart from the operator's own code: words after undoing escapes, entities, tags, links,
+# gutters, invisible characters and full-width forms, and windows of 13 of them that one item alone holds.
+_WIDE, _NARROW = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F)))
+_UNSEEN = r"[\x{00ad}\x{061c}\x{180e}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{2064}\x{2066}-\x{206f}\x{feff}\x{fe00}-\x{fe0f}\x{034f}]"
+_BLOCK_TAGS = "p|br|hr|li|ul|ol|dl|dt|dd|div|td|th|tr|table|tbody|thead|section|article|pre|blockquote|h[1-6]|para"
+_P7 = rf"""
+with src as (select null::bigint d, item_id i, text from eval_items union all select doc_id, null, text from documents),
+a as (select d, i, regexp_replace(text, '\\\r?\n', '', 'g') t from src),
+u as (select d, i, case when contains(t, '\u') or contains(t, '\x') or contains(t, '\U') then list_aggregate(list_transform(
+    regexp_extract_all(t, '(?s)\\+(?:u\{{[0-9A-Fa-f]{{1,6}}\}}|u[0-9A-Fa-f]{{4}}|U[0-9A-Fa-f]{{8}}|x[0-9A-Fa-f]{{2}})|\\|[^\\]+'),
+    lambda p: case when regexp_matches(p, '^\\+[uUx][{{0-9A-Fa-f]') then chr(('0x' || regexp_extract(p, '([0-9A-Fa-f]+)\}}?$', 1))::int) else p end), 'string_agg', '') else t end t from a),
+e as (select d, i, regexp_replace(t, '\\+[nrtfvb0]', ' ', 'g') t from u),
+h as (select d, i, replace(replace(replace(replace(replace(replace(t, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' ') t from e),
+b as (select d, i, regexp_replace(regexp_replace(t, '(?i)</?(?:{_BLOCK_TAGS})\b[^<>]*>', ' ', 'g'), '</?[A-Za-z][^<>]*>|<!--|-->', '', 'g') t from h),
+g as (select d, i, regexp_replace(regexp_replace(t, '\]\([^()\s]*\)', ']', 'g'), '(?m)^[^\w\n]*\d+\s*[|\x{{2502}}]', ' ', 'g') t from b),
+n as (select d, i, regexp_extract_all(lower(translate(regexp_replace(t, '{_UNSEEN}', '', 'g'), '{_WIDE.replace("'", "''")}', '{_NARROW.replace("'", "''")}')), '[\p{{L}}\p{{N}}]+') w from g),
+win as (select d, i, unnest(list_transform(range(1, len(w) - 11), lambda k: array_to_string(w[k:k+12], ' '))) x from n),
+own as (select x, min(i) i from win where i is not null group by x having count(distinct i) = 1)
+select distinct win.d doc_id, own.i item_id from win join own using (x) where win.i is null
+"""
+
 # Problem 8
 
 
@@ -278,6 +299,7 @@ SQL = {
     "p3_percentiles": _P3,
     "p6_found": f"select field, term, mark from ({_P6}) where mark is not null",
     "p6_terms": _P6,
+    "p7_found": _P7,
     "p8_found": f"select source from ({_P8}) where not met",
     "p8_met": _P8,
 }

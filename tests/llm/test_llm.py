@@ -421,7 +421,7 @@ def test_split_table(spark):
 # Queries
 
 
-@pytest.mark.parametrize("name", ["p1_found", "p1_counts", "p3_bounds", "p2_found", "p2_sources", "p2_pairs", "p3_found", "p3_percentiles", "p6_found", "p6_terms", "p8_found", "p8_met"])
+@pytest.mark.parametrize("name", ["p1_found", "p1_counts", "p3_bounds", "p2_found", "p2_sources", "p2_pairs", "p3_found", "p3_percentiles", "p6_found", "p6_terms", "p7_found", "p8_found", "p8_met"])
 def test_queries(spark, duck, name):
     assert rows_of(entry.queries()[name](spark, DATA)) == rows_of_sql(duck, entry.oracle_sql()[name])
 
