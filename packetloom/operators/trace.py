@@ -216,15 +216,18 @@ def packet_rows(packets: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return with_key(packets).select(*KEY, "pkt_id", *cols, *(keep or [])).where(F.col("us").isNotNull())
 
 
-def trace_connections(packets: DataFrame, protocols: set[str] = frozenset(("tls", "http", "dns", "ssh", "quic")), timeouts: Timeouts = Timeouts(), most_out_of_order: int = 100, lists: bool = True) -> DataFrame:
+def trace_connections(packets: DataFrame, protocols: set[str] = frozenset(("tls", "http", "dns", "ssh", "quic")), timeouts: Timeouts = Timeouts(), most_out_of_order: int = 100, lists: bool = True, columns: list[str] | None = None) -> DataFrame:
     """One row for each connection, in SCHEMA. packets: decoded frames with pkt_id and ts, frame for the payload.
 
-    lists: whether gaps and reassembled packet ids are kept, which makes rows grow with connections. An empty table gives
+    columns: those of SCHEMA that are wanted, as rows leave Python whole: lists, flows and sessions that nobody reads cost
+    more than the tracing. lists: whether gaps and reassembled packet ids are kept, which makes rows grow with connections. An empty table gives
     no rows; packets without addresses or ports are dropped, and a null frame is a packet without readable payload.
     """
     rows = packet_rows(packets).repartition(*KEY).sortWithinPartitions(*KEY, "us", "pkt_id")
     wanted = frozenset(protocols)
-    schema = to_arrow_schema(packets.sparkSession.createDataFrame([], SCHEMA).schema)
+    full = packets.sparkSession.createDataFrame([], SCHEMA)
+    kept = full.select(*columns).schema if columns else full.schema
+    schema = to_arrow_schema(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import packetloom.parsers  # noqa: F401 registers the parsers on the executor
@@ -243,7 +246,7 @@ def trace_connections(packets: DataFrame, protocols: set[str] = frozenset(("tls"
         if out:
             yield pa.RecordBatch.from_pylist(out, schema)
 
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(run, kept)
 
 
 def sessions_of(connections: DataFrame) -> DataFrame:

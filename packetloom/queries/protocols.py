@@ -30,8 +30,11 @@ def _conn() -> Column:
     return conversation_of(F.col("orig_ip"), F.col("orig_port")).alias("conn")
 
 
-def _traced(frames: DataFrame, *protocols: str) -> DataFrame:
-    return trace_connections(decode(frames, names=["eth_src", "eth_dst"]), set(protocols), WHOLE)
+_ENDS_OF = ["conn_id", "orig_ip", "orig_port", "resp_ip", "resp_port"]
+
+
+def _traced(frames: DataFrame, *protocols: str, columns: tuple[str, ...] = ("sessions",)) -> DataFrame:
+    return trace_connections(decode(frames, names=[]), set(protocols), WHOLE, lists=False, columns=[*_ENDS_OF, *columns])
 
 
 def _parsed(frames: DataFrame, protocol: str) -> DataFrame:
@@ -73,13 +76,13 @@ def prs_http(spark: SparkSession, d: str) -> DataFrame:
 
 def stg_packet_deliver(spark: SparkSession, d: str) -> DataFrame:
     """All packets, from the first on, of the connections in which some session matches, by subscription."""
-    t = traffic_from_frames(decode(_http_frames(spark, d)), {"http"}, WHOLE)
+    t = traffic_from_frames(decode(_http_frames(spark, d), names=[]), {"http"}, WHOLE)
     return deliver(Subscription("http.uri ~ '/orders/[0-9]*7\\?p=1' and http.method = 'POST'", ("ZcFrame",)), t).select("pkt_id", F.length("ZcFrame").cast("bigint").alias("frame_len"))
 
 
 def agg_pktframes(spark: SparkSession, d: str) -> DataFrame:
     """Frames of each connection in order of arrival and of its originator's stream, by subscription."""
-    t = traffic_from_frames(decode(_http_frames(spark, d)), {"http"}, WHOLE)
+    t = traffic_from_frames(decode(_http_frames(spark, d), names=[]), {"http"}, WHOLE)
     rows = deliver(Subscription("http", ("BidirZcPktStream", "OrigPktStream", "RespPktsReassembled", "FiveTuple")), t)
     ip = F.unhex(F.concat(*[F.lpad(F.hex(F.split_part("FiveTuple.orig", F.lit("."), F.lit(i)).cast("bigint")), 2, "0") for i in range(1, 5)]))
     text = F.aggregate(F.transform("RespPktsReassembled", lambda f: F.substring(f, 55, 100_000).cast("string")), F.lit(""), lambda a, x: F.concat(a, x))
@@ -90,9 +93,9 @@ def ex_websites(spark: SparkSession, d: str) -> DataFrame:
     """Names asked for over DNS, HTTP, TLS and QUIC, without empty ones, as counters by protocol and name."""
     sites = {
         "dns": ("DnsTransaction", lambda: F.get("DnsTransaction.query.queries", F.lit(0)), lambda: traffic_from_tables(spark, d)),
-        "http": ("HttpTransaction", lambda: F.col("HttpTransaction.request.uri"), lambda: traffic_from_frames(decode(_http_frames(spark, d)), {"http"}, WHOLE)),
-        "tls": ("TlsHandshake", lambda: F.col("TlsHandshake.client_hello.server_name"), lambda: traffic_from_frames(decode(_tls_frames(spark, d)), {"tls"}, WHOLE)),
-        "quic": ("QuicStream", lambda: F.col("QuicStream.tls.client_hello.server_name"), lambda: traffic_from_frames(decode(_quic_frames(spark, d)), {"quic"}, WHOLE)),
+        "http": ("HttpTransaction", lambda: F.col("HttpTransaction.request.uri"), lambda: traffic_from_frames(decode(_http_frames(spark, d), names=[]), {"http"}, WHOLE)),
+        "tls": ("TlsHandshake", lambda: F.col("TlsHandshake.client_hello.server_name"), lambda: traffic_from_frames(decode(_tls_frames(spark, d), names=[]), {"tls"}, WHOLE)),
+        "quic": ("QuicStream", lambda: F.col("QuicStream.tls.client_hello.server_name"), lambda: traffic_from_frames(decode(_quic_frames(spark, d), names=[]), {"quic"}, WHOLE)),
     }
     out = None
     for protocol, (datatype, site, traffic) in sites.items():
@@ -106,7 +109,7 @@ def obs_tracking(spark: SparkSession, d: str) -> DataFrame:
     connection is seen without its first packet."""
     frames = _closing_frames(spark, d).where(~((F.col("pkt_id") % PLACES == 0) & (F.floor(F.col("pkt_id") / PLACES) % 5 == 0)))
     p = decode(frames)
-    return tracking_counters(p, trace_connections(p, set(), WHOLE, lists=False))
+    return tracking_counters(p, trace_connections(p, set(), WHOLE, lists=False, columns=["proto", "pkt_count", "byte_count"]))
 
 
 def str_session_filter(spark: SparkSession, d: str) -> DataFrame:
@@ -124,7 +127,7 @@ def str_protocol_filter(spark: SparkSession, d: str) -> DataFrame:
 
 def agg_sessionlist(spark: SparkSession, d: str) -> DataFrame:
     """Number of sessions in each connection's list."""
-    t = traffic_from_frames(decode(_http_frames(spark, d)), {"http"}, WHOLE)
+    t = traffic_from_frames(decode(_http_frames(spark, d), names=[]), {"http"}, WHOLE)
     rows = deliver(Subscription("http", ("SessionList", "FiveTuple")), t)
     ip = F.unhex(F.concat(*[F.lpad(F.hex(F.split_part("FiveTuple.orig", F.lit("."), F.lit(i)).cast("bigint")), 2, "0") for i in range(1, 5)]))
     return rows.select(conversation_of(ip, F.col("FiveTuple.orig_port")).alias("conn"), F.size("SessionList").cast("bigint").alias("n_sessions"))
@@ -175,7 +178,7 @@ def fn_ja3_md5(spark: SparkSession, d: str) -> DataFrame:
 
 def ex_golden(spark: SparkSession, d: str) -> DataFrame:
     """Name and bytes of every TLS handshake, by subscription."""
-    t = traffic_from_frames(decode(_tls_frames(spark, d)), {"tls"}, WHOLE)
+    t = traffic_from_frames(decode(_tls_frames(spark, d), names=[]), {"tls"}, WHOLE)
     rows = deliver(Subscription("tls", ("TlsHandshake", "FiveTuple", "ByteCount")), t)
     return rows.select("FiveTuple.orig", "FiveTuple.orig_port", F.coalesce("TlsHandshake.client_hello.server_name", F.lit("")).alias("sni"), F.col("ByteCount").alias("byte_count"))
 
@@ -304,7 +307,7 @@ def ct_reassembly(spark: SparkSession, d: str) -> DataFrame:
     c = c.select("conn", cut.alias("cut"), F.size(cut).alias("n"))
     mixed = F.transform("cut", lambda x, i: turn(True, ascii_hex(x), F.when(F.pmod("n", F.lit(7)) != 0, F.pmod(i * 7, F.col("n"))).otherwise(i)))
     p = decode(frames_of(c.select("conn", mixed.alias("turns"), F.lit("fin").alias("close")), 7))
-    order = trace_connections(p, set(), WHOLE).select(_conn(), "closed_by", F.posexplode("packets_orig_reassembled").alias("at", "pkt_id"))
+    order = trace_connections(p, set(), WHOLE, columns=[*_ENDS_OF, "closed_by", "packets_orig_reassembled"]).select(_conn(), "closed_by", F.posexplode("packets_orig_reassembled").alias("at", "pkt_id"))
     said = order.join(p.select("pkt_id", payload().alias("data")), "pkt_id").groupBy("conn", "closed_by").agg(F.sort_array(F.collect_list(F.struct("at", F.col("data").cast("string").alias("s")))).alias("l"))
     return said.select("conn", "closed_by", F.array_join("l.s", "").alias("text"))
 
@@ -317,7 +320,7 @@ def _closing_frames(spark: SparkSession, d: str) -> DataFrame:
 
 def ct_fin_rst(spark: SparkSession, d: str) -> DataFrame:
     """Connections that end by FIN, by RST, or are open at the end."""
-    return _traced(_closing_frames(spark, d)).select(_conn(), "closed_by", "history", "pkt_count", "byte_count", (F.col("last_us") - F.col("first_us")).alias("duration_us"))
+    return _traced(_closing_frames(spark, d), columns=("closed_by", "history", "pkt_count", "byte_count", "first_us", "last_us")).select(_conn(), "closed_by", "history", "pkt_count", "byte_count", (F.col("last_us") - F.col("first_us")).alias("duration_us"))
 
 
 def agg_chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -325,7 +328,7 @@ def agg_chunks(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("c_custkey")
     c = table(spark, d, "customer").select(k.alias("conn"), F.transform(F.sequence(F.lit(0).cast("bigint"), k % 100), lambda i: turn(True, F.lit("61" * 10), None, i % 4 == 2)).alias("turns"), F.lit(None).cast("string").alias("close"))
     f = F.col("orig_flow")
-    return _traced(frames_of(c, 9)).select(_conn(), F.size(f["chunks"]).cast("bigint").alias("n_chunks"), f["content_gaps"].cast("bigint").alias("content_gaps"), f["missed_bytes"].cast("bigint").alias("missed_bytes"), f["max_simult_gaps"].cast("bigint").alias("max_gaps"), F.coalesce(f["mean_pkts_to_fill"], F.lit(-1.0)).alias("mean_pkts_to_fill"), F.coalesce(f["median_pkts_to_fill"], F.lit(-1)).alias("median_pkts_to_fill"))
+    return _traced(frames_of(c, 9), columns=("orig_flow",)).select(_conn(), F.size(f["chunks"]).cast("bigint").alias("n_chunks"), f["content_gaps"].cast("bigint").alias("content_gaps"), f["missed_bytes"].cast("bigint").alias("missed_bytes"), f["max_simult_gaps"].cast("bigint").alias("max_gaps"), F.coalesce(f["mean_pkts_to_fill"], F.lit(-1.0)).alias("mean_pkts_to_fill"), F.coalesce(f["median_pkts_to_fill"], F.lit(-1)).alias("median_pkts_to_fill"))
 
 
 def src_pcap(spark: SparkSession, d: str) -> DataFrame:
