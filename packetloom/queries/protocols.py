@@ -39,8 +39,8 @@ def _traced(frames: DataFrame, *protocols: str, columns: tuple[str, ...] = ("ses
 
 def _parsed(frames: DataFrame, protocol: str) -> DataFrame:
     """conn and the columns of each session."""
-    c = _traced(frames, protocol)
-    return sessions_of(c).where(F.col("protocol") == protocol).join(c.select("conn_id", _conn()), "conn_id")
+    s = _traced(frames, protocol).select(_conn(), F.explode("sessions").alias("s"))
+    return s.where(F.col("s.protocol") == protocol).select("conn", f"s.{protocol}")
 
 
 # HTTP: the orders of a customer, asked for in one pipeline

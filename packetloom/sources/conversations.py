@@ -45,6 +45,13 @@ def conversation_of(ip: Column, port: Column) -> Column:
     return F.shiftleft((port - 20000).cast("bigint"), 24) + F.conv(F.hex(F.substring(ip, 2, 3)), 16, 10).cast("bigint")
 
 
+def _times(factor: int) -> Column:
+    """conn times a factor of 32 bits, modulo 2^32, by halves of the factor: the product itself may need over 64 bits."""
+    wrap = lambda x: F.pmod(x, F.lit(1 << 32).cast("bigint"))
+    low = wrap(F.col("conn"))
+    return wrap(wrap(low * (factor >> 16)) * (1 << 16) + low * (factor & 0xFFFF))
+
+
 def frames_of(conversations: DataFrame, port: int, proto: int = 6) -> DataFrame:
     """pkt_id, ts, frame of every packet. conversations: conn BIGINT (0 to 2^39), turns ARRAY of turn(), close STRING.
 
@@ -57,7 +64,7 @@ def frames_of(conversations: DataFrame, port: int, proto: int = 6) -> DataFrame:
     c = conversations.select("conn", "turns", "close", F.size("turns").alias("n"), sums(True).alias("ups_at"), sums(False).alias("downs_at"))
     c = c.select(
         "*", F.element_at("ups_at", -1).alias("ups"), F.element_at("downs_at", -1).alias("downs"),
-        F.pmod(F.col("conn") * 2654435761, F.lit(1 << 32).cast("bigint")).alias("isn_up"), F.pmod(F.col("conn") * 40503 + 77777, F.lit(1 << 32).cast("bigint")).alias("isn_down"),
+        _times(2654435761).alias("isn_up"), F.pmod(_times(40503) + 77777, F.lit(1 << 32).cast("bigint")).alias("isn_down"),
     )
 
     def segment(place: Column, at: Column, up: Column, flags: int, seq: Column, ack: Column, data: Column | None = None) -> Column:
