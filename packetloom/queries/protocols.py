@@ -308,7 +308,8 @@ def ct_reassembly(spark: SparkSession, d: str) -> DataFrame:
     mixed = F.transform("cut", lambda x, i: turn(True, ascii_hex(x), F.when(F.pmod("n", F.lit(7)) != 0, F.pmod(i * 7, F.col("n"))).otherwise(i)))
     p = decode(frames_of(c.select("conn", mixed.alias("turns"), F.lit("fin").alias("close")), 7))
     order = trace_connections(p, set(), WHOLE, columns=[*_ENDS_OF, "closed_by", "packets_orig_reassembled"]).select(_conn(), "closed_by", F.posexplode("packets_orig_reassembled").alias("at", "pkt_id"))
-    said = order.join(p.select("pkt_id", payload().alias("data")), "pkt_id").groupBy("conn", "closed_by").agg(F.sort_array(F.collect_list(F.struct("at", F.col("data").cast("string").alias("s")))).alias("l"))
+    # merged, as Spark expects both sides to be far smaller than they are and would broadcast one
+    said = order.join(p.select("pkt_id", payload().alias("data")).hint("merge"), "pkt_id").groupBy("conn", "closed_by").agg(F.sort_array(F.collect_list(F.struct("at", F.col("data").cast("string").alias("s")))).alias("l"))
     return said.select("conn", "closed_by", F.array_join("l.s", "").alias("text"))
 
 

@@ -21,3 +21,8 @@ def plan(df):
 
 def test_sessions_traced_once(spark):
     assert plan(protocols.prs_ssh(spark, DATA)).count("MapInArrow") == 1
+
+
+def test_no_broadcast_of_reassembled(spark):
+    p = plan(protocols.ct_reassembly(spark, DATA))
+    assert "SortMergeJoin" in p and "BroadcastHashJoin" not in p
