@@ -1,9 +1,10 @@
 """Packet captures as a Spark source and sink: format("pcap"), classic and next-generation files, batch and streaming.
 
 Files are read through Arrow's file systems, so a path may be local or a URI (s3://, gs://, hdfs://, file://). A classic
-file larger than split_bytes is read in ranges, each by a task of its own: a range begins at the first place from which
-record headers follow each other for longer than any frame can be. A task that reads up to the next range looks where
-that one begins; if the records it has read end elsewhere, it raises, so a range is never silently misread.
+file larger than split_bytes is read in ranges, each by a task of its own: a range begins where record headers lead that
+follow each other for longer than any frame can be. Bytes of a frame may look like a header that leads to a true one, so
+the first of them may be false; the last is the one to which most lead. A task that reads up to the next range looks
+where that one begins; if the records it has read end elsewhere, it raises, so a range is never silently misread.
 Next-generation files are one task each.
 
 Options: path (a file, a folder or a glob), mtu (frames longer on the wire are skipped; 9702 by default, 0 for none),
@@ -16,6 +17,7 @@ import fnmatch
 import os
 import struct
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -48,42 +50,48 @@ def _head(f, path: str) -> tuple[str, int]:
     return _MAGIC[magic]
 
 
-def _follows(data: bytes, at: int, order: str, unit: int, to_end: bool) -> bool:
-    """Whether record headers follow each other from data[at:] for longer than a frame can be, or to the end of the file."""
-    start = at
-    while at - start <= _LONGEST + 16:
-        if at == len(data):
-            return to_end
+def _leads(data: bytes, at: int, goal: int, order: str, unit: int, to_end: bool, known: dict[int, int | None]) -> int | None:
+    """Where record headers lead that follow each other from data[at:] up to the goal or the end of the file; None if they
+    don't. known: what has been found so far."""
+    path: list[int] = []
+    while at not in known:
+        if at >= goal:
+            there: int | None = at
+            break
         if at + 16 > len(data):
-            return to_end and at > start
+            there = len(data) if to_end and (path or at == len(data)) else None
+            break
+        path.append(at)
         _, part, kept, length = struct.unpack_from(order + "IIII", data, at)
         if kept > min(length, _LONGEST) or part >= 1_000_000 * unit or length == 0:
-            return False
+            there = None
+            break
         at += 16 + kept
-    return True
+    else:
+        there = known[at]
+    known.update(dict.fromkeys(path, there))
+    return there
 
 
 def first_record(f, size: int, start: int, order: str, unit: int) -> int:
-    """The place of the first record at or after start, or the size of the file."""
-    at, window = start, 3 * (_LONGEST + 16)
+    """The place of a record that all readers find, two longest frames after start, or the size of the file: the one to
+    which most places lead that may be records."""
+    at, near = start, _LONGEST + 16
     while at < size:
         f.seek(at)
-        data = f.read(window)
-        to_end = at + len(data) >= size
-        for i in range(len(data)):
-            if not to_end and i > _LONGEST + 16:
-                break
-            if _follows(data, i, order, unit, to_end):
-                return at + i
-        else:
-            return size
-        at += _LONGEST + 17
+        data = f.read(3 * near)
+        known: dict[int, int | None] = {}
+        led = Counter(_leads(data, i, 2 * near, order, unit, at + len(data) >= size, known) for i in range(min(len(data), near + 1)))
+        del led[None]
+        if led:
+            return min(at + max(led, key=lambda x: led[x]), size)
+        at += near + 1
     return size
 
 
 def read_pcap(path: str, start: int = 0, end: int | None = None) -> Iterator[tuple[int, int, int, bytes]]:
-    """(place in the file, microseconds, length on the wire, captured bytes) of each frame that begins in start..end; a
-    file cut short ends where it is cut."""
+    """(place in the file, microseconds, length on the wire, captured bytes) of each frame from first_record() of start to
+    that of end; a file cut short ends where it is cut."""
     system, name = _open(path)
     with system.open_input_file(name) as f:
         if f.read(4) == _NG:
@@ -94,8 +102,8 @@ def read_pcap(path: str, start: int = 0, end: int | None = None) -> Iterator[tup
         order, unit = _head(f, path)
         size = f.size()
         at = 24 if start <= 24 else first_record(f, size, start, order, unit)
+        stop = size if end is None or end >= size else first_record(f, size, end, order, unit)
         f.seek(at)
-        stop = size if end is None else end
         buffer, base = b"", at
         while at < stop:
             if at - base + 16 > len(buffer):
@@ -111,8 +119,8 @@ def read_pcap(path: str, start: int = 0, end: int | None = None) -> Iterator[tup
             here = at - base + 16
             yield at, sec * 1_000_000 + part // unit, length, buffer[here : here + kept]
             at += 16 + kept
-        if end is not None and end < size and at != (there := first_record(f, size, end, order, unit)):
-            raise ValueError(f"{path} can't be split at {end}: records go on at {at}, not {there}; read it with split_bytes 0")
+        if stop < size and at != stop:
+            raise ValueError(f"{path} can't be split at {end}: records go on at {at}, not {stop}; read it with split_bytes 0")
 
 
 def _read_ng(f) -> Iterator[tuple[int, int, bytes]]:

@@ -1,10 +1,13 @@
 """What breaks on large tables only: keys of any size, joins by estimates that are far too small."""
 
+import struct
+
 from pyspark.sql import functions as F
 from tests.conftest import DATA
 
 from packetloom.functions.headers import decode
 from packetloom.queries import protocols
+from packetloom.sources import pcap, samples
 from packetloom.sources.conversations import frames_of, turn
 
 
@@ -26,3 +29,13 @@ def test_sessions_traced_once(spark):
 def test_no_broadcast_of_reassembled(spark):
     p = plan(protocols.ct_reassembly(spark, DATA))
     assert "SortMergeJoin" in p and "BroadcastHashJoin" not in p
+
+
+def test_cut_inside_a_header_that_leads_to_a_record(spark, tmp_path):
+    # bytes 30 to 45 of a record look like a header of 1,600 bytes: its frames of 64 bytes let it lead to a true one
+    frames = [(i * 1000, samples.tcp("10.0.0.1", 20000, "198.18.0.1", 5555, 16, i, i, b"q" * 10)) for i in range(40_000)]
+    frames = [(us, f[:18] + b"\0\0\0\0" + struct.pack("<I", 1554)[:4] + f[26:]) for us, f in frames]
+    pcap.write_pcap(str(tmp_path / "x.pcap"), frames)
+    split = 24 + 80 * 12_000 + 5
+    df = pcap.read(spark, str(tmp_path / "x.pcap"), split_bytes=split)
+    assert df.rdd.getNumPartitions() > 2 and df.count() == df.select("pkt_id").distinct().count() == len(frames)
