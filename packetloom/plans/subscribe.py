@@ -120,6 +120,12 @@ class Subscription:
         """Protocols to be parsed for it."""
         return self.parsed.protocols() | {p for d in self.datatypes if (p := DATATYPES[d].protocol)}
 
+    @property
+    def needs(self) -> set[str]:
+        """Columns that its data are made of, for traffic_from_frames()."""
+        own = {n for d in self.datatypes for n in DATATYPES[d].needs}
+        return own | ({*_MORE} if "ConnRecord" in self.datatypes else set()) | ({"packet_ids"} if self.level == Level.PACKET else set())
+
 
 def load_subscriptions(path: str) -> list[Subscription]:
     """Subscriptions of a TOML file: [[subscriptions]] with filter, datatypes (one or many), callback, streaming."""
@@ -186,14 +192,20 @@ def deliver(sub: Subscription, traffic: Traffic) -> DataFrame:
     protocol = next((p for d in sub.datatypes if (p := DATATYPES[d].protocol)), None)
     ends = [c for c in traffic.connections.columns if c not in traffic.sessions.columns or c == "conn_id"]
     if level == Level.SESSION:
-        rows = traffic.sessions.where(F.col("protocol") == protocol).join(traffic.connections.select(*ends), "conn_id")
+        rows = _session_rows(traffic, ends).where(F.col("protocol") == protocol)
         return _project(rows.where(f.on_sessions()), sub, ["conn_id", "session_id"])
-    conns = traffic.connections
+    conns = traffic.connections if traffic.whole is None else traffic.whole
     conns = conns.where(f.on_connections()) if f.stage() != "session" else conns.join(_matched(f, traffic), "conn_id", "left_semi")
-    if protocol:  # the first session of the protocol, whether or not it is the one that matched
+    if protocol and traffic.whole is not None:  # as below; sessions come in their order
+        conns = conns.withColumn(protocol, F.get(F.filter("sessions", lambda s: s["protocol"] == protocol), F.lit(0))).where(F.col(protocol).isNotNull()).withColumn(protocol, F.col(protocol)[protocol])
+    elif protocol:  # the first session of the protocol, whether or not it is the one that matched
         first = traffic.sessions.where(F.col("protocol") == protocol).groupBy("conn_id").agg(F.min_by(protocol, "session_id").alias(protocol))
         conns = conns.join(first, "conn_id")
-    if "SessionList" in sub.datatypes:
+    if "SessionList" in sub.datatypes and traffic.whole is not None:
+        names = [c for c in traffic.sessions.columns if c not in ("conn_id", "session_id")]
+        text = lambda s: F.to_json(F.struct(s["session_no"].alias("session_id"), *[s[n].alias(n) for n in names]))
+        conns = conns.withColumn("sessions", F.coalesce(F.transform("sessions", text), F.array().cast("array<string>")))
+    elif "SessionList" in sub.datatypes:
         structs = [c for c in traffic.sessions.columns if c != "conn_id"]
         lists = traffic.sessions.groupBy("conn_id").agg(F.sort_array(F.collect_list(F.struct("session_id", F.to_json(F.struct(*structs)).alias("session")))).alias("sessions"))
         conns = conns.join(lists, "conn_id", "left").withColumn("sessions", F.coalesce(F.col("sessions.session"), F.array().cast("array<string>")))
@@ -206,16 +218,18 @@ _LISTS = ("packets", "packets_orig", "packets_resp", "packets_orig_reassembled",
 def _with_frames(conns: DataFrame, sub: Subscription, traffic: Traffic) -> DataFrame:
     """conns with frames (ARRAY<BINARY>) instead of ids in the lists of packets that are wanted, in the lists' order."""
     wanted = sorted({n for d in sub.datatypes for n in DATATYPES[d].needs if n in _LISTS})
-    if not wanted or traffic.packets is None or "frame" not in traffic.packets.columns:
+    source = traffic.packets if traffic.frames is None else traffic.frames
+    if not wanted or source is None or "frame" not in source.columns:
         return conns
-    frames = traffic.packets.select(F.col("pkt_id").alias("__id"), F.col("frame").alias("__frame"))
+    # merged, as what Spark expects of lists and of headers made from frames is far too small to broadcast by
+    frames = source.select(F.col("pkt_id").alias("__id"), F.col("frame").alias("__frame")).hint("merge")
     ids = None
     for n in wanted:
         one = conns.select(F.col("conn_id").alias("__conn"), F.lit(n).alias("__list"), F.posexplode(n).alias("__at", "__id"))
         ids = one if ids is None else ids.unionByName(one)
     placed = F.struct("__at", "__frame")
     lists = ids.join(frames, "__id").groupBy("__conn").agg(*[F.sort_array(F.collect_list(F.when(F.col("__list") == n, placed))).alias(f"__f_{n}") for n in wanted])
-    out = conns.join(lists, F.col("conn_id") == F.col("__conn"), "left").drop("__conn")
+    out = conns.join(lists.hint("merge"), F.col("conn_id") == F.col("__conn"), "left").drop("__conn")
     return out.withColumns({n: F.coalesce(F.col(f"__f_{n}.__frame"), F.array().cast("array<binary>")) for n in wanted}).drop(*[f"__f_{n}" for n in wanted])
 
 
@@ -224,8 +238,15 @@ def _matched(f: Filter, traffic: Traffic) -> DataFrame:
     if f.stage() != "session":
         return traffic.connections.where(f.on_connections()).select("conn_id")
     ends = [c for c in traffic.connections.columns if c not in traffic.sessions.columns or c == "conn_id"]
-    rows = traffic.sessions.join(traffic.connections.select(*ends), "conn_id")
-    return rows.where(f.on_sessions()).select("conn_id").distinct()
+    return _session_rows(traffic, ends).where(f.on_sessions()).select("conn_id").distinct()
+
+
+def _session_rows(traffic: Traffic, ends: list[str]) -> DataFrame:
+    """Sessions with the columns of their connections."""
+    if traffic.whole is None:
+        return traffic.sessions.join(traffic.connections.select(*ends), "conn_id")
+    own = [c for c in traffic.sessions.columns if c not in ("conn_id", "session_id")]
+    return traffic.whole.select(*ends, F.explode("sessions").alias("__s")).select(*ends, F.col("__s.session_no").alias("session_id"), *[F.col(f"__s.{c}").alias(c) for c in own])
 
 
 def deliver_all(subs: list[Subscription], traffic: Traffic) -> dict[str, DataFrame]:

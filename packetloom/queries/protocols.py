@@ -20,7 +20,7 @@ from packetloom.queries.services import _C
 from packetloom.sources import pcap, samples
 from packetloom.sources.conversations import PLACES, ascii_hex, block, conversation_of, frames_of, hexed, turn
 from packetloom.sources.tables import table
-from packetloom.sources.traffic import traffic_from_frames, traffic_from_tables
+from packetloom.sources.traffic import Traffic, traffic_from_frames, traffic_from_tables
 from packetloom.streaming.subscribed import firings
 
 WHOLE = Timeouts(offline=True)
@@ -43,6 +43,11 @@ def _parsed(frames: DataFrame, protocol: str) -> DataFrame:
     return s.where(F.col("s.protocol") == protocol).select("conn", f"s.{protocol}")
 
 
+def _traffic(frames: DataFrame, sub: Subscription) -> Traffic:
+    """Traffic with what one subscription reads."""
+    return traffic_from_frames(decode(frames, names=[]), sub.protocols, WHOLE, needs=sub.needs)
+
+
 # HTTP: the orders of a customer, asked for in one pipeline
 
 
@@ -178,8 +183,8 @@ def fn_ja3_md5(spark: SparkSession, d: str) -> DataFrame:
 
 def ex_golden(spark: SparkSession, d: str) -> DataFrame:
     """Name and bytes of every TLS handshake, by subscription."""
-    t = traffic_from_frames(decode(_tls_frames(spark, d), names=[]), {"tls"}, WHOLE)
-    rows = deliver(Subscription("tls", ("TlsHandshake", "FiveTuple", "ByteCount")), t)
+    sub = Subscription("tls", ("TlsHandshake", "FiveTuple", "ByteCount"))
+    rows = deliver(sub, _traffic(_tls_frames(spark, d), sub))
     return rows.select("FiveTuple.orig", "FiveTuple.orig_port", F.coalesce("TlsHandshake.client_hello.server_name", F.lit("")).alias("sni"), F.col("ByteCount").alias("byte_count"))
 
 

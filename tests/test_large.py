@@ -39,3 +39,7 @@ def test_cut_inside_a_header_that_leads_to_a_record(spark, tmp_path):
     split = 24 + 80 * 12_000 + 5
     df = pcap.read(spark, str(tmp_path / "x.pcap"), split_bytes=split)
     assert df.rdd.getNumPartitions() > 2 and df.count() == df.select("pkt_id").distinct().count() == len(frames)
+
+
+def test_golden_joins_nothing(spark):
+    assert "Join" not in plan(protocols.ex_golden(spark, DATA))
