@@ -132,8 +132,8 @@ def str_protocol_filter(spark: SparkSession, d: str) -> DataFrame:
 
 def agg_sessionlist(spark: SparkSession, d: str) -> DataFrame:
     """Number of sessions in each connection's list."""
-    t = traffic_from_frames(decode(_http_frames(spark, d), names=[]), {"http"}, WHOLE)
-    rows = deliver(Subscription("http", ("SessionList", "FiveTuple")), t)
+    sub = Subscription("http", ("SessionList", "FiveTuple"))
+    rows = deliver(sub, _traffic(_http_frames(spark, d), sub))
     ip = F.unhex(F.concat(*[F.lpad(F.hex(F.split_part("FiveTuple.orig", F.lit("."), F.lit(i)).cast("bigint")), 2, "0") for i in range(1, 5)]))
     return rows.select(conversation_of(ip, F.col("FiveTuple.orig_port")).alias("conn"), F.size("SessionList").cast("bigint").alias("n_sessions"))
 

@@ -43,3 +43,7 @@ def test_cut_inside_a_header_that_leads_to_a_record(spark, tmp_path):
 
 def test_golden_joins_nothing(spark):
     assert "Join" not in plan(protocols.ex_golden(spark, DATA))
+
+
+def test_session_lists_join_nothing(spark):
+    assert "Join" not in plan(protocols.agg_sessionlist(spark, DATA))
