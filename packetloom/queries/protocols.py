@@ -87,8 +87,8 @@ def stg_packet_deliver(spark: SparkSession, d: str) -> DataFrame:
 
 def agg_pktframes(spark: SparkSession, d: str) -> DataFrame:
     """Frames of each connection in order of arrival and of its originator's stream, by subscription."""
-    t = traffic_from_frames(decode(_http_frames(spark, d), names=[]), {"http"}, WHOLE)
-    rows = deliver(Subscription("http", ("BidirZcPktStream", "OrigPktStream", "RespPktsReassembled", "FiveTuple")), t)
+    sub = Subscription("http", ("BidirZcPktStream", "OrigPktStream", "RespPktsReassembled", "FiveTuple"))
+    rows = deliver(sub, _traffic(_http_frames(spark, d), sub))
     ip = F.unhex(F.concat(*[F.lpad(F.hex(F.split_part("FiveTuple.orig", F.lit("."), F.lit(i)).cast("bigint")), 2, "0") for i in range(1, 5)]))
     text = F.aggregate(F.transform("RespPktsReassembled", lambda f: F.substring(f, 55, 100_000).cast("string")), F.lit(""), lambda a, x: F.concat(a, x))
     return rows.select(conversation_of(ip, F.col("FiveTuple.orig_port")).alias("conn"), F.size("BidirZcPktStream").cast("bigint").alias("n"), F.size("OrigPktStream").cast("bigint").alias("n_orig"), F.regexp_count(text, F.lit("HTTP/1.1 (200|404|500)")).cast("bigint").alias("n_responses"), F.md5(text.cast("binary")).alias("responses"))

@@ -47,3 +47,8 @@ def test_golden_joins_nothing(spark):
 
 def test_session_lists_join_nothing(spark):
     assert "Join" not in plan(protocols.agg_sessionlist(spark, DATA))
+
+
+def test_no_broadcast_of_frames(spark):
+    p = plan(protocols.agg_pktframes(spark, DATA))
+    assert "SortMergeJoin" in p and "BroadcastHashJoin" not in p
