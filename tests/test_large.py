@@ -52,3 +52,7 @@ def test_session_lists_join_nothing(spark):
 def test_no_broadcast_of_frames(spark):
     p = plan(protocols.agg_pktframes(spark, DATA))
     assert "SortMergeJoin" in p and "BroadcastHashJoin" not in p
+
+
+def test_websites_join_only_tables(spark):
+    assert plan(protocols.ex_websites(spark, DATA)).count("Join ") <= 1
